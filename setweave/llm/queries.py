@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setweave.llm import fusion, spellings
+from setweave.llm import fusion, spellings, together
 
 SCORES = {"log_score": 1.0, "cell_value": 1.0, "wlw": 1.0, "gww": 1.0, "edf": 1.0}
 
@@ -30,6 +30,15 @@ def p3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.fuse(table(spark, sf_dir, "entity_scores"), SCORES).select("list_id", "entity_id", F.round("score", 6).alias("score"), "n_scores")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return together.co_occurrence(table(spark, sf_dir, "matrix_cells")).select(F.col("item_a").alias("row_key_a"), F.col("item_b").alias("row_key_b"))
+
+
+def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = together.co_occurrence(table(spark, sf_dir, "matrix_cells"), min_llr=10.83)
+    return pairs.select("item_a", "item_b", "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"), F.round("llr", 6).alias("llr"))
+
+
 _FORMS = r"""
 lowered AS (SELECT ext_id, lower(content) AS c, position('::' IN content) AS cut FROM extractions
   WHERE regexp_matches(content, '[\p{L}\p{N}]') AND ext_id IS NOT NULL),
@@ -47,7 +56,22 @@ fit AS (SELECT *, (rank() OVER w - 1 + count(*) OVER t / 2.0) / count(*) OVER l
 fused AS (SELECT list_id, entity_id, avg({fusion.normal_quantile_sql("p", "")}) AS score, count(*) AS n_scores FROM fit GROUP BY ALL)
 """
 
+_PAIRS = """
+cells AS (SELECT DISTINCT row_key AS r, column_key AS c FROM matrix_cells WHERE row_key IS NOT NULL AND column_key IS NOT NULL),
+sizes AS (SELECT r, count(*) AS k FROM cells GROUP BY r),
+total AS (SELECT count(DISTINCT c) AS n FROM cells),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS n_ab FROM cells a JOIN cells b ON a.c = b.c AND a.r < b.r GROUP BY ALL HAVING count(*) >= 5),
+pairs AS (SELECT a, b, n_ab, x.k AS n_a, y.k AS n_b, n FROM shared JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b, total WHERE n_ab * n >= 10 * x.k * y.k)
+"""
+_TERM = "CASE WHEN {k} > 0 THEN ({k}) * ln(({k}) * CAST(n AS DOUBLE) / (({r}) * CAST({c} AS DOUBLE))) ELSE 0 END"
+_LLR = " + ".join(
+    _TERM.format(k=k, r=r, c=c) for k, r, c in (("n_ab", "n_a", "n_b"), ("n_a - n_ab", "n_a", "(n - n_b)"), ("n_b - n_ab", "(n - n_a)", "n_b"), ("n - n_a - n_b + n_ab", "(n - n_a)", "(n - n_b)"))
+)
+
 SQL = {
+    "p4_found": f"WITH {_PAIRS} SELECT a AS row_key_a, b AS row_key_b FROM pairs",
+    "p4_pairs": f"""WITH {_PAIRS}, told AS (SELECT *, 2 * ({_LLR}) AS llr FROM pairs)
+SELECT a AS item_a, b AS item_b, n_ab, n_a, n_b, n, round(n_ab * CAST(n AS DOUBLE) / (n_a * n_b), 6) AS lift, round(llr, 6) AS llr FROM told WHERE llr >= 10.83""",
     "p2_found": f"""WITH {_FORMS}, firsts AS (SELECT *, min(ext_id) OVER (PARTITION BY form) AS keep_id FROM forms)
 SELECT keep_id, ext_id AS dup_id FROM firsts WHERE ext_id > keep_id""",
     "p3_found": f"""WITH {_RANKED}, placed AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY round(score, 9) DESC, entity_id) AS k FROM fused)
@@ -56,4 +80,4 @@ SELECT list_id, entity_id FROM placed WHERE k <= 10""",
     "p2_copies": f"WITH {_FORMS} SELECT min(ext_id) AS keep_id, count(*) AS n_copies FROM forms GROUP BY form",
 }
 
-QUERIES = {"p2_found": p2_found, "p2_copies": p2_copies, "p3_found": p3_found, "p3_ranking": p3_ranking}
+QUERIES = {"p2_found": p2_found, "p2_copies": p2_copies, "p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_pairs": p4_pairs}
