@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setweave.llm import fusion, spellings, together
+from setweave.llm import fusion, garbled, sentences, spellings, together
 
 SCORES = {"log_score": 1.0, "cell_value": 1.0, "wlw": 1.0, "gww": 1.0, "edf": 1.0}
 
@@ -39,6 +39,25 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("item_a", "item_b", "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"), F.round("llr", 6).alias("llr"))
 
 
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uris = garbled.find_garbled(table(spark, sf_dir, "warc"), "record_id", "warc_target_uri", percent=True).withColumnRenamed("record_id", "rec_id")
+    contents = garbled.find_garbled(table(spark, sf_dir, "extractions"), "ext_id", "content").withColumnRenamed("ext_id", "rec_id")
+    return uris.select(F.lit("warc").alias("src"), "*").unionByName(contents.select(F.lit("extractions").alias("src"), "*"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_repaired(spark, sf_dir).select("src", "rec_id")
+
+
+def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sentences.split_sentences(docs, "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_sentences(spark, sf_dir).select("doc_id", "end_pos")
+
+
 _FORMS = r"""
 lowered AS (SELECT ext_id, lower(content) AS c, position('::' IN content) AS cut FROM extractions
   WHERE regexp_matches(content, '[\p{L}\p{N}]') AND ext_id IS NOT NULL),
@@ -80,4 +99,4 @@ SELECT list_id, entity_id FROM placed WHERE k <= 10""",
     "p2_copies": f"WITH {_FORMS} SELECT min(ext_id) AS keep_id, count(*) AS n_copies FROM forms GROUP BY form",
 }
 
-QUERIES = {"p2_found": p2_found, "p2_copies": p2_copies, "p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_pairs": p4_pairs}
+QUERIES = {"p2_found": p2_found, "p2_copies": p2_copies, "p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_repaired": p5_repaired, "p8_found": p8_found, "p8_sentences": p8_sentences}
