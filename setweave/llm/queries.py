@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setweave.llm import fusion, garbled, sentences, spellings, together
+from setweave.llm import fusion, garbled, leakage, sentences, spellings, together
 
 SCORES = {"log_score": 1.0, "cell_value": 1.0, "wlw": 1.0, "gww": 1.0, "edf": 1.0}
 
@@ -49,6 +49,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_repaired(spark, sf_dir).select("src", "rec_id")
 
 
+def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_leaks(spark, sf_dir).select("item_id", "doc_id")
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id")
+
+
 def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sentences.split_sentences(docs, "doc_id", "text")
@@ -87,7 +99,18 @@ _LLR = " + ".join(
     _TERM.format(k=k, r=r, c=c) for k, r, c in (("n_ab", "n_a", "n_b"), ("n_a - n_ab", "n_a", "(n - n_b)"), ("n_b - n_ab", "(n - n_a)", "n_b"), ("n - n_a - n_b + n_ab", "(n - n_a)", "(n - n_b)"))
 )
 
+_LEAKS = r"""
+texts AS (SELECT 'i' AS kind, item_id AS id, lang, text FROM eval_items UNION ALL SELECT 'd', doc_id, NULL, text FROM documents),
+units AS (SELECT kind, id, 'w' AS "by", regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') AS u FROM texts WHERE kind = 'd' OR lang IS NULL OR lang NOT IN ('ja', 'zh-CN')
+  UNION ALL SELECT kind, id, 'c', regexp_extract_all(lower(text), '[\p{L}\p{N}]') FROM texts WHERE kind = 'd' OR lang IN ('ja', 'zh-CN')),
+sized AS (SELECT *, if("by" = 'w', 12, 24) AS k FROM units),
+grams AS (SELECT DISTINCT kind, id, "by", hash(u[i:i + k - 1]) AS g FROM sized, unnest(range(1, greatest(len(u) - k + 2, 1))) AS t(i) WHERE len(u) >= k),
+leaked AS (SELECT DISTINCT i.id AS item_id, d.id AS doc_id FROM grams i JOIN grams d ON i.kind = 'i' AND d.kind = 'd' AND i."by" = d."by" AND i.g = d.g)
+"""
+
 SQL = {
+    "p6_found": f"WITH {_LEAKS} SELECT item_id, doc_id FROM leaked",
+    "p6_clean": f"WITH {_LEAKS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaked)",
     "p4_found": f"WITH {_PAIRS} SELECT a AS row_key_a, b AS row_key_b FROM pairs",
     "p4_pairs": f"""WITH {_PAIRS}, told AS (SELECT *, 2 * ({_LLR}) AS llr FROM pairs)
 SELECT a AS item_a, b AS item_b, n_ab, n_a, n_b, n, round(n_ab * CAST(n AS DOUBLE) / (n_a * n_b), 6) AS lift, round(llr, 6) AS llr FROM told WHERE llr >= 10.83""",
@@ -99,4 +122,4 @@ SELECT list_id, entity_id FROM placed WHERE k <= 10""",
     "p2_copies": f"WITH {_FORMS} SELECT min(ext_id) AS keep_id, count(*) AS n_copies FROM forms GROUP BY form",
 }
 
-QUERIES = {"p2_found": p2_found, "p2_copies": p2_copies, "p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_repaired": p5_repaired, "p8_found": p8_found, "p8_sentences": p8_sentences}
+QUERIES = {"p2_found": p2_found, "p2_copies": p2_copies, "p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_leaks": p6_leaks, "p6_clean": p6_clean, "p8_found": p8_found, "p8_sentences": p8_sentences}
