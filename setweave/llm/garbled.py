@@ -93,7 +93,7 @@ def _kind(c: str) -> tuple[int, str, float]:
     if cat[0] == "M":
         return _OTHER, "m", 0.0
     if o < 0x250 or 0x1E00 <= o < 0x1F00:
-        return (_UPPER if c.isupper() else _LOWER), "l", 0.0
+        return (_UPPER if c.isupper() else _LOWER), "l", (1.0 if 0x180 <= o < 0x250 and c not in "ƠơƯưȘșȚțƏə" else 0.0)
     if 0x370 <= o < 0x400:
         return (_UPPER if c.isupper() else _LOWER), "g", 0.0
     if 0x400 <= o < 0x530:
@@ -138,7 +138,7 @@ _MIXED |= {(b, a): 0.0 for a, b in _MIXED}
 
 def cost(text: str) -> float:
     """How garbled ``text`` looks; 0 for ordinary text, and never more than a few units for unusual one."""
-    total, last, last_script, last_ascii = 0.0, _SPACE, "", True
+    total, last, last_script, last_ascii, bridge = 0.0, _SPACE, "", True, False  # bridge: a mark right after a letter
     for c in text:
         kind, script, own = _kind(c)
         total += own
@@ -154,8 +154,14 @@ def cost(text: str) -> float:
                 total += 0.75 if was or (last in (_SYMBOL, _MARK) and not last_ascii) else 0.0
             elif last == _SYMBOL and (letter or kind == _MARK):
                 total += 0.75 if letter else 0.25
-            elif kind == _MARK and was and last_script == "l" or letter and last == _MARK and script == "l":
+            elif kind == _MARK and was and last_script == "l":
                 total += 0.25
+                bridge = c != "’"
+            elif letter and last == _MARK:
+                total += 0.75 if bridge else 0.25 if script == "l" else 0.0
+            bridge = bridge and kind == _MARK
+        else:
+            bridge = False
         last, last_script, last_ascii = kind, script, plain
     return total
 
@@ -254,7 +260,7 @@ def repair(text: str, max_layers: int = MAX_LAYERS) -> tuple[str, list[str]]:
     left, new, layers = _undo(text, _UTF8_FIRST, max_layers)
     if left > 0:
         other = _undo(text, _UTF8_FIRST[::-1], max_layers)
-        if other[0] < left:
+        if other[0] <= left - 1.5:
             _, new, layers = other
     return new, layers
 

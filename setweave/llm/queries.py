@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setweave.llm import fusion, garbled, leakage, sentences, spellings, together
+from setweave.llm import fusion, garbled, leakage, mixing, sentences, spellings, together
 
 SCORES = {"log_score": 1.0, "cell_value": 1.0, "wlw": 1.0, "gww": 1.0, "edf": 1.0}
 
@@ -61,6 +61,14 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id")
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).copies
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).shares
+
+
 def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sentences.split_sentences(docs, "doc_id", "text")
@@ -122,4 +130,4 @@ SELECT list_id, entity_id FROM placed WHERE k <= 10""",
     "p2_copies": f"WITH {_FORMS} SELECT min(ext_id) AS keep_id, count(*) AS n_copies FROM forms GROUP BY form",
 }
 
-QUERIES = {"p2_found": p2_found, "p2_copies": p2_copies, "p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_leaks": p6_leaks, "p6_clean": p6_clean, "p8_found": p8_found, "p8_sentences": p8_sentences}
+QUERIES = {"p2_found": p2_found, "p2_copies": p2_copies, "p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_leaks": p6_leaks, "p6_clean": p6_clean, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_sentences": p8_sentences}

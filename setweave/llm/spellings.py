@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What canonicalization ignores: white space and punctuation of all scripts, and the ASCII punctuation that Unicode
-#: counts as symbols.
-IGNORED = r"[\p{IsWhite_Space}\p{IsPunctuation}$+<=>^`|~]+"
+#: counts as symbols. Punctuation that is newer than the Java virtual machine's tables is added by number.
+IGNORED = r"[\p{IsWhite_Space}\p{IsPunctuation}$+<=>^`|~\u061D\u1B7D\u1B7E\u2E53-\u2E5D]+"
 SEPARATOR = "::"
 
 
