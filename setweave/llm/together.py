@@ -5,8 +5,8 @@ neighbours that it was seen with. Stripes of one item are added up, first within
 
 * Stripes travel in bundles: one row holds many items' stripes as flat arrays, and the bundle an entry goes to depends
   on both item and neighbour, so a hot item's stripe is spread evenly.
-* An item that is in so many groups that no pair of it can reach ``min_lift`` is left out beforehand; there can be only
-  as many of them as a group has items on average times ``min_lift``, whatever the size of the data.
+* An item that is in so many groups that no pair of it can reach ``min_lift`` is left out beforehand; there are at most
+  as many of them as a group has items on average times ``min_lift``, and they are broadcast only if counted to be few.
 * A wide group is never paired with itself in full. If ``min_shared`` groups must be shared, each item may hide its
   ``min_shared - 1`` widest ones: a pair that shares enough still meets in another. What two items share among hidden
   groups is added afterwards from the items' short lists of them, so the counts are exact.
@@ -31,6 +31,8 @@ WIDE = 1024
 BUFFER = 1_000_000
 PER_BUCKET = 2_000_000
 SEEDS = range(8)
+#: Most rows of a set of items that is sent to all tasks; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 BUNDLE = "bucket int, a array<bigint>, b array<bigint>, n array<int>, met array<int>"
@@ -44,6 +46,11 @@ def group_key(c: Column) -> list[Column]:
     return [F.xxhash64(F.lit(101), c).alias("g1"), F.xxhash64(c, F.lit(211)).alias("g2")]
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """``ids`` (a stored table of numbers) to be broadcast, if it is small enough."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+
+
 def _sum_up(a: np.ndarray, b: np.ndarray, n: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, ...]:
     """Entries of one (a, b) added up, in the order of a, then b."""
     if not len(a):
@@ -176,8 +183,8 @@ def co_occurrence(cells: DataFrame, item: str = "row_key", group: str = "column_
 
     # items in more than n / min_lift groups: cells bound them from above, so few need their groups counted
     suspects = items.where(F.col("cells") > n / min_lift).select("i")
-    heavy = stash(cells.join(F.broadcast(suspects), "i", "left_semi").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") * min_lift > n).select("i"), "heavy")
-    cells = cells.join(F.broadcast(heavy), "i", "left_anti")
+    heavy = stash(cells.join(_small(suspects), "i", "left_semi").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") * min_lift > n).select("i"), "heavy")
+    cells = cells.join(_small(heavy), "i", "left_anti")
 
     hidden = None
     if figures["widest"] > wide:
