@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from setweave.plans import small_files
+from setweave.plans import small_files, text_queries
 
-MODULES = [small_files]
+MODULES = [small_files, text_queries]
 
 
 def queries() -> dict:
