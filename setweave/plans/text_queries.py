@@ -151,7 +151,7 @@ SELECT record_id, CASE WHEN strpos(t, '</TITLE>') > 0 THEN substr(t, 1, strpos(t
     "string_helpers": """SELECT ext_id, '"' || content || '"' AS quoted, content AS unquoted, wrapper_id || wrapper_id AS twice, concat_ws('_', wrapper_id, ext_id) AS merged, regexp_replace(lower(wrapper_id), '[^a-z0-9]+', '-', 'g') AS file_name,
 round(log2(tf), 9) AS log2_tf, lpad(CAST(tf AS VARCHAR), 5, ' ') AS right_aligned, CAST(tf * 1000 AS BIGINT) AS parsed FROM extractions""",
     "wrapper_escape": f"SELECT ext_id, {_FIELD} AS escaped, content AS back FROM extractions",
-    "page_meta": """WITH t AS (SELECT record_id, regexp_extract(body, '(?is)<title[^>]*>(.*?)</title>', 1) AS t, list_filter(list_transform(string_split_regex(lower(regexp_replace(body, '<[^<>]+>', '', 'g')), '[-:,|]'), lambda x: trim(x)), lambda x: x <> '') AS k FROM warc)
+    "page_meta": """WITH t AS (SELECT record_id, regexp_extract(body, '(?is)<title[^>]*>(.*?)</title>', 1) AS t, list_filter(list_transform(string_split_regex(lower(regexp_replace(body, '<[^<>]+>', '', 'g')), '[-:,|]'), lambda x: trim(x, ' ')), lambda x: x <> '') AS k FROM warc)
 SELECT record_id, nullif(trim(regexp_replace(t, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '') AS title, array_to_string(list_filter(k, lambda x, i: list_position(k, x) = i), '|') AS keywords FROM t""",
     "hiragana_filter": r"SELECT doc_id FROM documents WHERE NOT coalesce(regexp_matches(text, '[\x{3040}-\x{309F}]'), FALSE)",
     "name_density": """WITH r AS (SELECT DISTINCT list_id, entity FROM entity_scores WHERE list_id IS NOT NULL AND entity IS NOT NULL), s AS (SELECT list_id, avg(length(entity)) AS m, stddev_pop(length(entity)) AS s FROM r GROUP BY list_id)
