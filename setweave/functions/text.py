@@ -173,7 +173,7 @@ def page_meta(html: Column, name: str) -> Column:
 
 def keywords(meta: Column) -> Column:
     """The keywords of a list: lower-cased, split at comma, bar, colon and hyphen, each once, none of them empty."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.lower(meta), "[-:,|]"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.lower(meta), "[-:,|]"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def has_hiragana(s: Column) -> Column:
