@@ -112,7 +112,8 @@ def unique_relations(df: DataFrame, kind: int) -> DataFrame:
             keep.append(fresh)
         return pairs[keep]
 
-    return df.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(lambda rows: greedy(rows[df.columns]), df.schema)
+    columns = df.columns
+    return df.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(lambda rows: greedy(rows[columns]), df.schema)
 
 
 def assign_score(df: DataFrame, seeds: Column | None = None) -> DataFrame:
