@@ -31,7 +31,7 @@ def synonyms(name: Column) -> Column:
     """What a gold entity's name may be written as: lower-cased, hyphens as spaces; with and without optional characters;
     English plurals and article where there is a Latin letter."""
     s = F.trim(F.replace(F.lower(name), F.lit("-"), F.lit(" ")))
-    inner = s.rlike(f"^.+{OPTIONAL}.+$")
+    inner = s.rlike(rf"(?s)^.+{OPTIONAL}.+\z")
     without = F.when(inner, F.trim(F.regexp_replace(s, OPTIONAL, "")))
     spaced = F.when(inner, F.trim(F.regexp_replace(F.regexp_replace(s, OPTIONAL, " "), r"\s+", " ")))
     latin, y = s.rlike("[a-zA-Z]"), s.endswith("y")
