@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from setweave.plans import entity_queries, evaluation_queries, expansion_queries, proximity_queries, ranking_queries, small_files, source_queries, text_queries
+from setweave.plans import entity_queries, evaluation_queries, expansion_queries, proximity_queries, ranking_queries, small_files, source_queries, streaming_queries, text_queries
 
-MODULES = [small_files, text_queries, ranking_queries, entity_queries, expansion_queries, source_queries, proximity_queries, evaluation_queries]
+MODULES = [small_files, text_queries, ranking_queries, entity_queries, expansion_queries, source_queries, proximity_queries, evaluation_queries, streaming_queries]
 
 
 def queries() -> dict:
