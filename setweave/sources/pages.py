@@ -13,7 +13,7 @@ WORD = r"[\p{L}\p{N}]+"
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """``path, text`` of all page files below ``root``, each read whole."""
+    """``path, text`` of all page files below ``root``, each read whole; empty files give no row."""
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", PAGE_FILES).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
