@@ -11,7 +11,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from setweave.runtime import stash
 
@@ -70,8 +69,8 @@ def bayesian_sets(facts: DataFrame, seeds: Sequence[str], log: bool = True) -> D
 
 def binarized(cells: DataFrame) -> DataFrame:
     """Of ``row, col, value`` the cells whose share of their row is above twice the column's mean share."""
-    share = F.col("value") / F.sum("value").over(W.partitionBy("row"))
-    shares = cells.withColumn("share", share)
+    sums = cells.groupBy("row").agg(F.sum("value").alias("row_sum"))  # not a window: one row may hold a third of all cells
+    shares = cells.join(sums, "row").withColumn("share", F.col("value") / F.col("row_sum")).drop("row_sum")
     rows = cells.agg(F.count_distinct("row").alias("n"))
     means = shares.groupBy("col").agg(F.sum("share").alias("total")).crossJoin(F.broadcast(rows)).select("col", (F.col("total") / F.col("n")).alias("mean"))
     return shares.join(means, "col").where(F.col("share") > 2 * F.col("mean")).select("row", "col")
