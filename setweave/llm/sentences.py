@@ -43,7 +43,7 @@ NUMBERED = frozenset("no nr nos núm num n p pp pág pag pags art vol стр №
 # Abbreviations that may stand last in a sentence; they end it unless a small letter follows.
 LAST = frozenset("etc inc ltd co corp jr a.m p.m u.s usw u.a ecc ltda s.a s.p.a др т.д т.п проч руб uu ee.uu a.c d.c j.-c".split())
 # Abbreviations of two parts that are often written with a space between them.
-PARTED = frozenset("z.b d.h u.a s.o v.chr n.chr a.c d.c p.ex p.ej p.es ee.uu ff.aa т.е т.д т.п т.к н.э e.g i.e a.m p.m j.-c".split())
+PARTED = frozenset("z.B d.h u.a s.o v.Chr n.Chr a.C d.C p.ex p.ej p.es EE.UU FF.AA т.е т.д т.п т.к н.э e.g i.e a.m p.m J.-C".split())
 # Abbreviations that are also common words, so only a small letter or a number after them tells.
 EITHER = frozenset("в с е es in ed am a ex no тыс".split())
 _ALL = frozenset(" ".join(ABBREVIATIONS.values()).split())
@@ -236,12 +236,12 @@ class _Block:
             return False
         word = found.group().strip("-'’.")
         low = word.lower()
-        spaced = _spaced(text, found.start(), start, low)  # u. a., т. д., EE. UU.
-        if spaced in LAST or low in LAST:
-            return False
-        if spaced and spaced in ALWAYS:
+        spaced = _spaced(text, found.start(), start, word)  # u. a., т. д., EE. UU., but not initials
+        if spaced in PARTED and spaced.lower() in ALWAYS:
             return True
-        if len(word) <= 2 and (more := _PART.match(text, nxt)) and f"{low}.{more.group(1).lower()}" in PARTED:
+        if spaced in PARTED or low in LAST and not (len(word) == 3 and word.isupper()):
+            return False
+        if len(word) <= 2 and (more := _PART.match(text, nxt)) and f"{word}.{more.group(1)}" in PARTED:
             return True  # the first half of z. B.
         if low in YEARS:
             return not text[max(start, found.start() - 2) : found.start()].strip()[-1:].isnumeric()
@@ -272,10 +272,10 @@ _PART = re.compile(r"([^\W\d_]{1,4})\.")
 _SPACED = re.compile(r"(?:^|[\s(\"“„«])((?:[^\W\d_]{1,2}\.[  ]?)+)$")
 
 
-def _spaced(text: str, at: int, start: int, low: str) -> str:
-    """An abbreviation of several parts that ends with ``low``, without its spaces: ``u. a`` as ``u.a``."""
+def _spaced(text: str, at: int, start: int, word: str) -> str:
+    """An abbreviation of several parts that ends with ``word``, without its spaces: ``u. a`` as ``u.a``."""
     m = _SPACED.search(text, max(start, at - 12), at)
-    return re.sub(r"\s", "", m.group(1)).lower() + low if m else ""
+    return re.sub(r"\s", "", m.group(1)) + word if m else ""
 
 
 def _closing(stack: list, x: str) -> int | None:
