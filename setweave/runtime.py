@@ -42,8 +42,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path nobody else uses, in the shared folder."""
-    return f"{shared_dir(spark)}/{SCRATCH}/{name}-{uuid.uuid4().hex}"
+    """A path nobody else uses, in the application's part of the shared folder."""
+    return f"{shared_dir(spark)}/{SCRATCH}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all temporary tables of this application; results that were not written anywhere else go with them."""
+    drop_path(spark, f"{shared_dir(spark)}/{SCRATCH}/{spark.sparkContext.applicationId}")
 
 
 def stash(df: DataFrame, name: str = "t") -> DataFrame:
