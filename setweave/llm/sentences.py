@@ -43,7 +43,7 @@ NUMBERED = frozenset("no nr nos núm num n p pp pág pag pags art vol стр №
 # Abbreviations that may stand last in a sentence; they end it unless a small letter follows.
 LAST = frozenset("etc inc ltd co corp jr a.m p.m u.s usw u.a ecc ltda s.a s.p.a др т.д т.п проч руб uu ee.uu a.c d.c j.-c".split())
 # Abbreviations of two parts that are often written with a space between them.
-PARTED = frozenset("z.B d.h u.a s.o v.Chr n.Chr a.C d.C p.ex p.ej p.es EE.UU FF.AA т.е т.д т.п т.к н.э e.g i.e a.m p.m J.-C".split())
+PARTED = frozenset("z.B d.h u.a s.o v.Chr n.Chr a.C d.C p.ex p.ej p.es EE.UU FF.AA S.A т.е т.д т.п т.к н.э e.g i.e a.m p.m J.-C".split())
 # Abbreviations that are also common words, so only a small letter or a number after them tells.
 EITHER = frozenset("в с е es in ed am a ex no тыс".split())
 _ALL = frozenset(" ".join(ABBREVIATIONS.values()).split())
