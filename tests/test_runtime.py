@@ -17,16 +17,15 @@ def test_without_the_optional_part():
 
     import __spark_entry__ as e
 
-    names = set(e.queries())
-    sys.modules["setweave.llm.queries"], kept = None, sys.modules.pop("setweave.llm.queries", None)
+    kept = {k: sys.modules.pop(k) for k in list(sys.modules) if k.startswith("setweave.llm")}
+    sys.modules["setweave.llm"] = None
     try:
         bare = importlib.reload(e)
-        assert {"p1_found", "expand_set"} <= set(bare.queries()) <= names and not any(n.startswith("p2_") for n in bare.queries())
+        assert {"p1_found", "expand_set"} <= set(bare.queries()) and not any(n.startswith("p2_") for n in bare.queries())
         assert set(bare.oracle_sql()) <= set(bare.queries())
     finally:
-        del sys.modules["setweave.llm.queries"]
-        if kept is not None:
-            sys.modules["setweave.llm.queries"] = kept
+        del sys.modules["setweave.llm"]
+        sys.modules.update(kept)
         importlib.reload(e)
 
 
