@@ -65,7 +65,9 @@ SUSPECT = re.compile("[�\x80-\x9f-ƒ]|[" + re.escape(_WEST) + "]{2}|" +
 _W = "[" + re.escape(_WEST) + "]"
 _WORD_RUN = re.compile(rf"(?<![A-Za-z]){_W}{{3,}}(?![A-Za-z])")
 _PAIRS_RUN = re.compile(rf"{_W}{{4,}}|(?<=[぀-鿿가-힣]){_W}{{2,}}|{_W}{{2,}}(?=[぀-鿿가-힣])")
-_TOKEN = re.compile(rf"(?=[^\s/_+:?&=]*{_W}[^\s/_+:?&=]*{_W}[^\s/_+:?&=]*{_W})[^\s/_+:?&=]+|ƒ[!-~](?:[!-~]?ƒ[!-~])+")
+_HIGH = re.compile(_W)
+_TOKEN = re.compile(r"[^\s/_+:?&=]+")
+_KANA_AS_TEXT = re.compile("ƒ[!-~](?:[!-~]?ƒ[!-~])+")
 _CYRILLIC_RUN = re.compile(f"[{_CYR}]{{3,}}")
 
 # Punctuation that stands next to letters in ordinary text.
@@ -196,6 +198,8 @@ def _as_other(text: str, assumed: str, meant: str, piece: re.Pattern) -> str | N
 
     def back(m: re.Match) -> str:
         run = m.group()
+        if piece is _TOKEN and len(_HIGH.findall(run)) < 3 and not _KANA_AS_TEXT.search(run):
+            return run
         raw = bytearray()
         for c in run:
             if c < "\x80":
@@ -224,7 +228,7 @@ def _from_others(text: str) -> Iterator[tuple[str, str]]:
     tries = [(w, m, _WORD_RUN) for w in WESTERN for m in ONE_BYTE] if _WORD_RUN.search(text) else []
     if _PAIRS_RUN.search(text):
         tries += [(w, m, _PAIRS_RUN) for w in WESTERN for m in MORE_BYTES if m != "shift_jis"]
-    if _TOKEN.search(text):
+    if "ƒ" in text or len(_HIGH.findall(text)) >= 3:
         tries += [(w, m, _TOKEN) for w in WESTERN for m in ("shift_jis", "gb18030", "big5")]
     if _CYRILLIC_RUN.search(text):
         tries += [(w, m, _CYRILLIC_RUN) for w, m in CYRILLIC]

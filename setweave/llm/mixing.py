@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -45,13 +46,26 @@ def _encoding(path: str):
     return _encodings[path]
 
 
+#: White space in a row that the tokenizer's splitter takes; longer runs are cut there, each piece counted by itself.
+LONGEST_SPACE = 10_000
+_SPACE_RUN = re.compile(rf"\s{{{LONGEST_SPACE}}}")
+
+
+def _pieces(text: str) -> Iterator[str]:
+    at = 0
+    for m in _SPACE_RUN.finditer(text):
+        yield text[at : m.end()]
+        at = m.end()
+    yield text[at:]
+
+
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, source, tokens`` of ``docs`` (same columns, with ``text``); null and empty texts have 0 tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(vocabulary).encode_ordinary
         for batch in batches:
-            sizes = [len(encode(x.as_py())) for x in batch.column(2)]
+            sizes = [sum(len(encode(piece)) for piece in _pieces(x.as_py())) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], ["doc_id", "source", "tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

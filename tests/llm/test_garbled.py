@@ -71,3 +71,8 @@ def test_random_text_never_fails():
     rng = random.Random(2)
     for _ in range(300):
         G.examine("".join(chr(rng.choice([rng.randrange(0x80, 0x180), rng.randrange(0x20, 0x3000), rng.randrange(0x4E00, 0xD7A3)])) for _ in range(12)), rng.random() < 0.5)
+
+
+def test_long_tokens_take_linear_time():
+    for text in ("é" + "a" * 200_000, "éÃ" + "b" * 100_000 + "©", "ÇÃO" * 30_000, "ƒ" + "x" * 100_000):
+        G.examine(text)

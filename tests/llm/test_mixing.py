@@ -42,3 +42,9 @@ def test_empty_tables_and_bad_targets(spark):
     assert M.mix(docs(spark, {"big": 3}), targets.limit(0)).copies.count() == 0
     with pytest.raises(ValueError):
         M.mix(docs(spark, {"big": 3}), targets.union(targets))
+
+
+def test_long_texts(spark):
+    rows = [(1, "s", " " * 2_000_000 + "a"), (2, "s", "x" * 300_000), (3, "s", "山" * 100_000), (4, "s", "a  b")]
+    got = {r.doc_id: r.tokens for r in M.count_tokens(spark.createDataFrame(rows, "doc_id int, source string, text string")).collect()}
+    assert all(got.values()) and got[4] == len(M._encoding(M.VOCABULARY).encode_ordinary("a  b"))
