@@ -35,7 +35,7 @@ ROWS = [
 
 @pytest.mark.parametrize("target,per_block", [(10, 3), (C.TARGET_BYTES, 100_000)])
 def test_store_holds_each_record_once(spark, tmp_path, target, per_block):
-    store = C.consolidate(spark, listing(spark, ROWS), str(tmp_path / "store"), target, per_block)
+    store = C.consolidate(spark, listing(spark, ROWS + ROWS[:3]), str(tmp_path / "store"), target, per_block)
     got = C.read_store(spark, store)
     assert sorted((r.file_id, r.line_no) for r in got.collect()) == brute(ROWS)
     assert store.n_records == got.count()
