@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Sequence
 
 import numpy as np
@@ -273,6 +272,3 @@ def shuffled_trial(names: Sequence[str], k: int, trial: int) -> list[str]:
     """The seeds of a trial: repeatable, different from trial to trial."""
     return sorted(names, key=lambda n: _order(trial * 7919 + 13, n))[:k]
 
-
-def log_or_zero(x: float) -> float:
-    return math.log(x) if x > 0 else 0.0

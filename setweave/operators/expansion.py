@@ -25,7 +25,6 @@ class Expansion:
     settings: P.Settings = P.Settings()
     feature: str = "WLW"
     noisy: bool = False
-    keep: int = E.KEEP_ABOVE
 
 
 def facts_of(patterns: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -185,7 +184,7 @@ class SetExpander:
 
     def configured(self, **changes) -> SetExpander:
         """The same expander with other parameters (``feature``, ``noisy``, or any of the settings)."""
-        own = {k: v for k, v in changes.items() if k in ("feature", "noisy", "keep")}
+        own = {k: v for k, v in changes.items() if k in ("feature", "noisy")}
         rest = {k: v for k, v in changes.items() if k not in own}
         self.how = replace(self.how, settings=replace(self.how.settings, **rest), **own)
         return self

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setweave.functions import text as T
 from setweave.operators import entities as E
 from setweave.operators import expansion as X
 from setweave.operators import patterns as P
