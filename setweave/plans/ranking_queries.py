@@ -16,8 +16,9 @@ ROUNDS = 3
 def facts(spark: SparkSession, sf: str) -> DataFrame:
     """Facts of the extractions table: contents by wrapper and page, with the lengths of both."""
     pages = load(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.length("text").alias("doc_len"))
-    rows = load(spark, sf, "extractions").select(F.col("doc_id").alias("doc"), F.col("wrapper_id").alias("wrapper"), T.tidy(F.col("content")).alias("entity"), "tf", F.length("wrapper_id").alias("ctx_len"))
-    return rows.where("entity <> ''").join(pages, "doc", "left")
+    name = F.explode(F.filter(F.array(T.tidy(F.col("content"))), lambda x: x != "")).alias("entity")  # tidied once, not again by a filter
+    rows = load(spark, sf, "extractions").select(F.col("doc_id").alias("doc"), F.col("wrapper_id").alias("wrapper"), name, "tf", F.length("wrapper_id").alias("ctx_len"))
+    return rows.join(pages, "doc", "left")
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
