@@ -30,6 +30,8 @@ MAX_LAYERS = 4
 LEAST_DROP = 1.0
 #: The drop that a repair into another encoding than UTF-8 needs, whose decoding proves less.
 LEAST_DROP_OTHER = 2.0
+#: The drop of single letters whose surroundings show that they were garbled: the least there is.
+LEAST_DROP_LETTER = 0.25
 #: Cost from which a text without a repair is still reported: controls from lost bytes.
 HOPELESS = 6.0
 
@@ -57,11 +59,15 @@ def _utf8_pattern(table: dict[str, int]) -> str:
     return f"{_chars(table, 0xC2, 0xDF)}{follow}|{_chars(table, 0xE0, 0xEF)}{follow}{{2}}|{_chars(table, 0xF0, 0xF4)}{follow}{{3}}"
 
 
+LETTER_IN = {e: re.compile(_chars(TABLES[e], 0xC3, 0xC8) + _chars(TABLES[e], 0x80, 0xBF)) for e in ASSUMED}
 UTF8_IN = {e: re.compile(f"(?:{_utf8_pattern(TABLES[e])})+") for e in ASSUMED}
 _WEST = "".join(sorted({c for e in WESTERN for c in TABLES[e]}))
 _CYR = "Ѐ-ӿ─-╿▀-▟"
 #: What a text must have for a repair to be tried at all.
 SUSPECT = re.compile("[�\x80-\x9f-ƒ]|[" + re.escape(_WEST) + "]{2}|" + "|".join(f"{_chars(TABLES[e], 0xC2, 0xF4)}{_chars(TABLES[e], 0x80, 0xBF)}" for e in ASSUMED if e not in ("latin-1", "cp1252")))
+#: Characters around a letter that its words are looked for in.
+NEARBY = 40
+_WORD_BEFORE, _WORD_AFTER = re.compile(r"\w+(?=[\W_]*$)"), re.compile(r"[\W_]*[^\W_]+")
 _W = "[" + re.escape(_WEST) + "]"
 _WORD_RUN = re.compile(rf"(?<![A-Za-z]){_W}{{3,}}(?![A-Za-z])")
 _PAIRS_RUN = re.compile(rf"{_W}{{4,}}|(?<=[぀-鿿가-힣]){_W}{{2,}}|{_W}{{2,}}(?=[぀-鿿가-힣])")
@@ -193,6 +199,45 @@ def _as_utf8(text: str, encoding: str) -> str | None:
     return out if out != text else None
 
 
+def _lower_nearby(before: str, after: str) -> bool:
+    """Whether the word before or after has a small letter."""
+    words = (_WORD_BEFORE.search(before), _WORD_AFTER.match(after))
+    return any(c.islower() for w in words if w for c in w.group())
+
+
+def _plausible(new: str, first: str, follow: str, before: str, after: str) -> bool:
+    """Whether ``first`` and ``follow`` are the letter ``new`` garbled, by the text around them.
+
+    In capitals, and alone, a real letter may stand before a closing quote or a no-break space, as in «IRMÃ».
+    """
+    kind, script, own = _kind(new)
+    if script != "l" or own:
+        return False
+    lower, last = kind == _LOWER, before[-1:]
+    if last.islower():
+        return lower and not (first.islower() and _kind(first)[1] == "l" and _kind(follow)[0] == _MARK)
+    if not first.isupper() or _kind(first)[1] != "l" or TABLES["latin-1"].get(first) != 0xC3:
+        return False
+    symbol = _kind(follow)[0] == _SYMBOL
+    if last.isalpha() and before[-2:-1].isalpha():
+        return symbol and last.isupper() and not lower and not after[:1].isdigit()
+    if symbol:
+        return not after.lstrip()[:1].isdigit() and (not last.isalpha() or _lower_nearby(before, after))
+    return lower and follow in "\xa0\xad¡" and not after[:1].isalnum() and _lower_nearby(before, after)
+
+
+def _letters_as_utf8(text: str, encoding: str) -> str | None:
+    table, out, end = TABLES[encoding], "", 0
+    for m in LETTER_IN[encoding].finditer(text):
+        out += text[end : m.start()]
+        first, follow = m.group()
+        new = bytes((table[first], table[follow])).decode("utf-8")
+        out += new if _plausible(new, first, follow, out[-NEARBY:], text[m.end() : m.end() + NEARBY]) else m.group()
+        end = m.end()
+    out += text[end:]
+    return out if out != text else None
+
+
 def _as_other(text: str, assumed: str, meant: str, piece: re.Pattern) -> str | None:
     table = TABLES[assumed]
 
@@ -224,6 +269,12 @@ def _from_utf8(text: str) -> Iterator[tuple[str, str]]:
             yield f"utf-8 as {e}", new
 
 
+def _from_letters(text: str) -> Iterator[tuple[str, str]]:
+    for e in ASSUMED:
+        if (new := _letters_as_utf8(text, e)) is not None:
+            yield f"utf-8 as {e}", new
+
+
 def _from_others(text: str) -> Iterator[tuple[str, str]]:
     tries = [(w, m, _WORD_RUN) for w in WESTERN for m in ONE_BYTE] if _WORD_RUN.search(text) else []
     if _PAIRS_RUN.search(text):
@@ -252,18 +303,18 @@ def _undo(text: str, kinds: tuple, max_layers: int) -> tuple[float, str, list[st
     return now, text, layers
 
 
-_UTF8_FIRST = ((_from_utf8, LEAST_DROP), (_from_others, LEAST_DROP_OTHER))
+_UTF8, _OTHERS, _LETTERS_LAST = (_from_utf8, LEAST_DROP), (_from_others, LEAST_DROP_OTHER), (_from_letters, LEAST_DROP_LETTER)
 
 
 def repair(text: str, max_layers: int = MAX_LAYERS) -> tuple[str, list[str]]:
     """``text`` with every layer of wrong decoding undone for which the cost drops, and the layers, outermost first.
 
     Bytes that are UTF-8 are hardly so by chance, so that is tried first; where it leaves garbling, the other encodings
-    are tried first, and the cheaper result counts.
+    are tried first, and the cheaper result counts. Single letters that cost little come last, by what is around them.
     """
-    left, new, layers = _undo(text, _UTF8_FIRST, max_layers)
+    left, new, layers = _undo(text, (_UTF8, _OTHERS, _LETTERS_LAST), max_layers)
     if left > 0:
-        other = _undo(text, _UTF8_FIRST[::-1], max_layers)
+        other = _undo(text, (_OTHERS, _UTF8, _LETTERS_LAST), max_layers)
         if other[0] <= left - 1.5:
             _, new, layers = other
     return new, layers
@@ -294,7 +345,7 @@ def examine(text: str, percent: bool = False) -> tuple[str | None, str, list[str
     if plain.isascii() or not SUSPECT.search(plain):
         return None
     before = cost(plain)
-    if before < 0.75:
+    if before < 0.75 and next(_from_letters(plain), None) is None:
         return None
     new, layers = repair(plain)
     if layers:

@@ -76,3 +76,19 @@ def test_random_text_never_fails():
 def test_long_tokens_take_linear_time():
     for text in ("é" + "a" * 200_000, "éÃ" + "b" * 100_000 + "©", "ÇÃO" * 30_000, "ƒ" + "x" * 100_000):
         G.examine(text)
+
+
+@pytest.mark.parametrize("text", ["Café", "perché ...", "più", "città", "città témñunô", "é vero", "vado à Roma", "Là dove", "CITTÀ", "CAFÉ", "tû", "cosí"])
+def test_single_letters_at_the_end_of_words(text):
+    for layers in (1, 2):
+        wrong = text
+        for _ in range(layers):
+            wrong = "".join(misread(c, "cp1252") if c > "\x7f" else c for c in wrong)
+        assert G.examine(wrong) == (text, "restored", ["utf-8 as cp1252"] * layers)
+    assert G.examine("coraÃ§ão nônéf")[0] == "coração nônéf"
+    assert G.examine("http://x/wiki/cittÃ\xa0_födü", True)[0] == "http://x/wiki/città_födü"
+
+
+@pytest.mark.parametrize("text", ["«IRMÃ»", "IRMÃ”", "10 Å²", "A Ã\xa0 B", "«Ã»", "IRMÃ®", "“NéRèFÉtáSÉ”", "«gÖdçAlÑUTÉnÉ»", "SÖgüfÇadôlÖ\xa0teKUgufo", "naïveté» d", "café© x", "NESCAFÉ™"])
+def test_real_letters_before_marks_are_left_alone(text):
+    assert G.examine(text) is None
