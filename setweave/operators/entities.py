@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from setweave.functions.text import gaussian
+from setweave.runtime import stash
 
 TINY = 1e-8
 MIN_LENGTH_PROBABILITY = 1e-4
@@ -83,6 +86,24 @@ def ranked(df: DataFrame, k: int, by: str = "weight") -> DataFrame:
     return top(df, k, by=by).withColumn("rank", F.row_number().over(W.orderBy(*natural_order(by))))
 
 
+def numbered(df: DataFrame, keys: Sequence[str] = (), by: str = "weight") -> DataFrame:
+    """``df`` with ``rank`` from 1 over the whole list in natural order, or over the list of each of ``keys``.
+
+    The order is split by range, wherever the cuts fall; a piece's ranks go on from the counts of the pieces before it,
+    so ranks are exact and no task sorts a long list alone. The pieces are written once, as ranges come from a sample.
+    """
+    keys, order = list(keys), natural_order(by)
+    placed = stash(df.repartitionByRange(*keys, *order).withColumn("_piece", F.spark_partition_id()), "pieces")
+    counts = placed.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_piece").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
+    same = F.col("_piece") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    rank = F.col("_before") + F.row_number().over(W.partitionBy(*keys, "_piece").orderBy(*order))
+    return placed.join(offsets, same).select(*df.columns, rank.alias("rank"))
+
+
 def reduce_size(df: DataFrame, above: int = KEEP_ABOVE, keep: int = KEEP) -> DataFrame:
     """A list of more than ``above`` entities cut to the ``keep`` first, less the weight of the first one cut off."""
     if df.limit(above + 1).count() <= above:
@@ -94,26 +115,25 @@ def reduce_size(df: DataFrame, above: int = KEEP_ABOVE, keep: int = KEEP) -> Dat
 
 def unique_relations(df: DataFrame, kind: int) -> DataFrame:
     """Pairs ``arg1, arg2, rank`` of a ranked list: the first of each arg1 (1), of each arg2 (2), or (3) those of which
-    neither part was taken before, in the order of the list. Kind 3 is sequential: it takes a list that was cut to a
-    bounded size (``reduce_size``), as one group."""
+    neither part was taken before, in the order of the list. ``rank`` is anything that has an order, and unique.
+
+    Kind 3 is sequential, but what it takes depends on few pairs: later pairs of an arg1 change nothing, and a pair takes
+    its arg2 unless its arg1 is the arg2 that an earlier pair took. Rounds settle all pairs of which the earlier ones are
+    settled; there are as many rounds as the longest chain of such pairs has links.
+    """
     if kind in (1, 2):
         by = f"arg{kind}"
         return df.withColumn("_k", F.row_number().over(W.partitionBy(by).orderBy("rank"))).where("_k = 1").drop("_k")
-
-    def greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-        pairs = pairs.sort_values("rank", kind="stable")
-        taken, keep = set(), []
-        for a, b in zip(pairs.arg1, pairs.arg2):
-            fresh = a not in taken
-            taken.add(a)
-            if fresh:  # the second part is only taken note of where the first one is new
-                fresh = b not in taken
-                taken.add(b)
-            keep.append(fresh)
-        return pairs[keep]
-
     columns = df.columns
-    return df.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(lambda rows: greedy(rows[columns]), df.schema)
+    state = stash(unique_relations(df, 1).withColumn("_takes", F.lit(None).cast("boolean")), "relations")
+    while not state.where("_takes IS NULL").isEmpty():
+        rank, takes = F.col("rank"), F.col("_takes")
+        taken = state.where("_takes IS NULL OR _takes").groupBy(F.col("arg2").alias("_arg")).agg(F.min(F.when(takes, rank)).alias("_sure"), F.min(F.when(takes.isNull(), rank)).alias("_perhaps"))
+        settled = F.when(takes.isNotNull(), takes).when(F.col("_sure") < rank, False).when(F.col("_perhaps") < rank, F.lit(None)).otherwise(True)
+        state = stash(state.join(taken, F.col("arg1").eqNullSafe(F.col("_arg")), "left").select(*columns, settled.alias("_takes")), "relations")
+    firsts = unique_relations(state.where("_takes"), 2).select(*columns)
+    names = state.select(F.col("arg1").alias("_arg"), F.col("rank").alias("_rank"))
+    return firsts.join(names, F.col("arg2").eqNullSafe(F.col("_arg")) & (F.col("_rank") <= F.col("rank")), "left_anti")
 
 
 def assign_score(df: DataFrame, seeds: Column | None = None) -> DataFrame:

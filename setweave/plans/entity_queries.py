@@ -63,7 +63,7 @@ def top_entities(spark, sf):
 
 
 def entity_order(spark, sf):
-    return E.ranked(extracted(spark, sf), 1000).select("rank", "entity")
+    return E.numbered(extracted(spark, sf)).select(F.col("rank").cast("int").alias("rank"), "entity")
 
 
 def reduce_size(spark, sf):
@@ -71,9 +71,10 @@ def reduce_size(spark, sf):
 
 
 def _pairs(spark, sf) -> DataFrame:
-    best = E.ranked(extracted(spark, sf).where(E.is_relational(F.col("entity"))), 5000)
+    """All pairs, in natural order: ``rank`` is what the order goes by."""
+    pairs = extracted(spark, sf).where(E.is_relational(F.col("entity")))
     cut = F.split("entity", "::", 2)
-    return best.select(F.trim(cut[0]).alias("arg1"), F.trim(cut[1]).alias("arg2"), "rank")
+    return pairs.select(F.trim(cut[0]).alias("arg1"), F.trim(cut[1]).alias("arg2"), F.struct((-F.col("weight")).alias("w"), F.length("entity").alias("n"), "entity").alias("rank"))
 
 
 def relation_filter(spark, sf):

@@ -1,9 +1,12 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from setweave.operators import entities as E
 from setweave.operators import expansion as X
 from setweave.operators import ranking as R
+from setweave.plans import entity_queries as Q
 
 FACTS = "doc bigint, wrapper string, entity string, tf bigint, ctx_len int, doc_len int"
 NAV = [(1, w, e, 1, 25, 1319) for w, es in (("w1", ["nicht", "aulich", "für", "sch", "erüver"]), ("w2", ["aulich", "für", "sch", "erüver", "enau"])) for e in es]
@@ -104,3 +107,49 @@ def test_seed_policies():
     assert X.subsets(["a", "b", "c", "d"], 2) == [("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "d"), ("c", "d")]
     with pytest.raises(ValueError):
         X.SeedSelector("OTHER", ["a"]).select()
+
+
+def greedy(pairs):
+    taken, keep = set(), []
+    for a, b in pairs:
+        fresh = a not in taken
+        taken.add(a)
+        if fresh:
+            fresh = b not in taken
+            taken.add(b)
+        if fresh:
+            keep.append((a, b))
+    return keep
+
+
+def test_unique_relations_against_brute_force(spark):
+    rng = random.Random(7)
+    for names in (5, 60, 400):
+        pairs = [(f"n{rng.randrange(names)}", f"n{rng.randrange(names)}") for _ in range(300)]
+        df = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(pairs)], "arg1 string, arg2 string, rank int")
+        assert [(r.arg1, r.arg2) for r in E.unique_relations(df, 3).orderBy("rank").collect()] == greedy(pairs)
+
+
+def test_numbers_of_whole_lists(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("aab"), f"e{i}", float(rng.randrange(3))) for i in range(500)]
+    df = spark.createDataFrame(rows, "list string, entity string, weight double")
+    want = lambda rs: [e for _, e, _ in sorted(rs, key=lambda r: (-r[2], len(r[1]), r[1]))]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small pieces stay apart
+    try:
+        assert [(r["rank"], r.entity) for r in E.numbered(df).orderBy("rank").collect()] == list(enumerate(want(rows), 1))
+        for k in "ab":
+            assert [(r["rank"], r.entity) for r in E.numbered(df, ["list"]).where(F.col("list") == k).orderBy("rank").collect()] == list(enumerate(want([r for r in rows if r[0] == k]), 1))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_queries_take_all_entities_and_pairs(spark, tmp_path):
+    pairs = [(f"{rng}x", f"{rng % 4999}y") for rng in range(6000)]
+    rows = [(1, "w", f"{a}::{b}", 1) for a, b in pairs]
+    spark.createDataFrame(rows, "doc_id bigint, wrapper_id string, content string, tf bigint").write.parquet(f"{tmp_path}/extractions.parquet")
+    spark.createDataFrame([(1, "text")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.kind, r.n) for r in Q.relation_filter(spark, str(tmp_path)).groupBy("kind").agg(F.count("arg1").alias("n")).collect()} == {(1, 6000), (2, 4999)}
+    order = sorted(pairs, key=lambda p: (len("::".join(p)), "::".join(p)))
+    assert {(r.arg1, r.arg2) for r in Q.relation_filter_both(spark, str(tmp_path)).collect()} == set(greedy(order))
+    assert [r.entity for r in Q.entity_order(spark, str(tmp_path)).orderBy("rank").collect()] == ["::".join(p) for p in order]
