@@ -12,7 +12,7 @@ Only those pairs of contexts count that can't be made longer without losing seed
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from os.path import commonprefix
@@ -376,9 +376,9 @@ def induce(pages: DataFrame, seeds: Iterable[str | tuple[str, str]], settings: S
                 yield pa.RecordBatch.from_arrays(columns, ["id", "doc_len", *names, "contents"])
 
     low = F.lower(F.col("text"))
-    tokens = sorted(set(known.tokens()))
-    hits = sum((low.contains(t).cast("int") for t in tokens), F.lit(0))
-    pages = pages.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").where(hits >= (1 if settings.uniseed or len(tokens) < 2 else 2))
+    tokens = Counter(known.tokens())  # of seeds that share a token a page with it may hold all
+    hits = sum((F.when(low.contains(t), n).otherwise(0) for t, n in sorted(tokens.items())), F.lit(0))
+    pages = pages.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").where(hits >= (1 if settings.uniseed or tokens.total() < 2 else 2))
     return pages.mapInArrow(run, f"id {kind}, doc_len int, {SCHEMA}").withColumnRenamed("id", id_col)
 
 

@@ -100,3 +100,13 @@ def test_frame(spark):
     assert P.seed_occurrences(pages.where("doc_id < 5"), ["aulich"]).count() == 4
     uni = P.induce(pages.where("doc_id = 1").limit(1), ["aulich"], P.Settings(stopwords=(), uniseed=True))
     assert uni.count() > 0
+
+
+def test_seeds_that_share_their_longest_word(spark):
+    page = "<table>" + "".join(f"<tr><td>{n}</td><td>{i}</td></tr>" for i, n in enumerate(["usa", "fort zabuso", "japan", "zabuso 95", "north kelu"])) + "</table>"
+    seeds = ["fort zabuso", "zabuso 95", "lone mirefa"]
+    known = P.Seeds(seeds)
+    settings = P.Settings(stopwords=(), bracket=2)
+    want = list(P.patterns_of(page, known, settings, P.ContentFilter(settings, known.shortest)))
+    got = P.induce(spark.createDataFrame([(1, page)], "doc_id bigint, text string"), seeds, settings).collect()
+    assert want and {(r.left, r.right) for r in got} == {(p["left"], p["right"]) for p in want}
