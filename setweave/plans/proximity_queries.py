@@ -118,7 +118,7 @@ def category_save_wrappers(spark, sf):
 def predict_category(spark, sf):
     """Keywords of documents: the words of their URL's last step."""
     last = F.regexp_extract("url", r"/([^/.]*)[^/]*$", 1)
-    meta = load(spark, sf, "documents").where("url IS NOT NULL").select("doc_id", F.explode(T.keywords(F.concat_ws(",", last, F.regexp_extract("url", r"://[^/]+/([a-z]+)/", 1)))).alias("keyword"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.col("site").alias("title"), F.substring("text", 1, 300).alias("descr"))
+    meta = load(spark, sf, "documents").where("url IS NOT NULL").select("doc_id", F.explode(T.keywords(F.concat_ws(",", last, F.regexp_extract("url", r"://[^/]+/([a-z]+)/", 1)))).alias("keyword"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.col("site").alias("title"), F.col("text").alias("descr"))
     return K.predict(meta).withColumn("score", F.round("score", 6))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from setweave.operators import category as K
 from setweave.operators import evaluation as V
 from setweave.operators import proximity as N
+from setweave.plans import proximity_queries as Q
 
 
 def test_synonyms(spark):
@@ -94,3 +95,9 @@ def test_perceptron():
     data = [((1.0, x), 1) for x in (1, 2, 3)] + [((1.0, -x), -1) for x in (1, 2, 3)]
     model = V.VotedPerceptron().fit(data)
     assert all(model.decide(x)[0] == y for x, y in data)
+
+
+def test_keywords_late_in_a_text_count(spark, tmp_path):
+    row = (1, "http://x.test/list/fort.html", "x " * 1000 + "fort", "x.test", 0.5)
+    spark.createDataFrame([row], "doc_id bigint, url string, text string, site string, weight double").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.keyword: r.score for r in Q.predict_category(spark, str(tmp_path)).collect()} == {"fort": 2.5, "list": 1.5}
