@@ -44,18 +44,29 @@ def mark(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     first of a gold entity, 2 for its repetitions. A name of two gold entities counts for the smaller id."""
     known = gold.groupBy("list", F.col("synonym").alias("entity")).agg(F.min("gold_id").alias("gold_id"))
     joined = ranked.join(known, ["list", "entity"], "left")
-    first = F.row_number().over(W.partitionBy("list", "gold_id").orderBy("rank"))
+    alone = F.when(F.col("gold_id").isNull(), F.col("rank"))  # what isn't gold isn't one group
+    first = F.row_number().over(W.partitionBy("list", "gold_id", alone).orderBy("rank"))
     return joined.withColumn("correct", F.when(F.col("gold_id").isNull(), 0).when(first == 1, 1).otherwise(2)).drop("gold_id")
 
 
-def precision_recall(marked: DataFrame, n_gold: DataFrame) -> DataFrame:
+#: Ranks of a list that one task takes running sums over.
+PIECE = 1 << 16
+
+
+def precision_recall(marked: DataFrame, n_gold: DataFrame, piece: int = PIECE) -> DataFrame:
     """``list, rank, precision, recall, f1`` along each list: hits of any synonym to rank, first hits to gold entities.
 
-    ``rank`` counts from 1 without gaps. Lists are result lists, cut to a bounded size; each is one window.
+    ``rank`` counts from 1 without gaps. Sums run over pieces of ``piece`` ranks, and go on from the sums of those before.
     """
-    along = W.partitionBy("list").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
-    hits, firsts = F.sum(F.when(F.col("correct") > 0, 1).otherwise(0)).over(along), F.sum(F.when(F.col("correct") == 1, 1).otherwise(0)).over(along)
-    out = marked.withColumn("precision", hits / F.col("rank")).withColumn("firsts", firsts).join(n_gold, "list").withColumn("recall", F.col("firsts") / F.col("n_gold"))
+    hit, new = F.when(F.col("correct") > 0, 1).otherwise(0), F.when(F.col("correct") == 1, 1).otherwise(0)
+    placed = marked.withColumn("_piece", F.floor((F.col("rank") - 1) / piece))
+    before = W.partitionBy("list").orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    sums = placed.groupBy("list", "_piece").agg(F.sum(hit).alias("_h"), F.sum(new).alias("_f"))
+    sums = sums.select("list", "_piece", F.coalesce(F.sum("_h").over(before), F.lit(0)).alias("_hits"), F.coalesce(F.sum("_f").over(before), F.lit(0)).alias("_firsts"))
+    along = W.partitionBy("list", "_piece").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
+    run = placed.withColumn("_h", F.sum(hit).over(along)).withColumn("_f", F.sum(new).over(along)).join(sums, ["list", "_piece"])
+    out = run.withColumn("precision", (F.col("_hits") + F.col("_h")) / F.col("rank")).withColumn("firsts", F.col("_firsts") + F.col("_f")).drop("_piece", "_h", "_f", "_hits", "_firsts")
+    out = out.join(n_gold, "list").withColumn("recall", F.col("firsts") / F.col("n_gold"))
     f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
     return out.withColumn("f1", f1)
 

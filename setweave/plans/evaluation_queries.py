@@ -13,15 +13,14 @@ from setweave.plans.expansion_queries import SEEDS, TWO, pages
 from setweave.plans.ranking_queries import FACTS, facts
 from setweave.plans.text_queries import load
 
-LONGEST = 1000  # entities of a result list
+LONGEST = 1000  # entities of a result list in the SQL; the queries take all
 
 
 def lists(spark: SparkSession, sf: str) -> DataFrame:
     """``list, entity, rank, score``: the scored lists as results, by pattern-length weight."""
     rows = load(spark, sf, "entity_scores").where("list_id IS NOT NULL AND entity IS NOT NULL AND wlw IS NOT NULL AND NOT isnan(wlw) AND abs(wlw) < 1e300")
     best = rows.groupBy(F.col("list_id").alias("list"), "entity").agg(F.max("wlw").alias("weight"))
-    order = W.partitionBy("list").orderBy(*E.natural_order())
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LONGEST).withColumn("score", F.col("weight") / 20).drop("weight")
+    return E.numbered(best, ["list"]).withColumn("rank", F.col("rank").cast("int")).withColumn("score", F.col("weight") / 20).drop("weight")
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,7 +88,7 @@ def experiment_grid(spark, sf):
     for feature in ("log_score", "cell_value", "wlw", "gww", "edf"):
         rows = load(spark, sf, "entity_scores").where(f"list_id IS NOT NULL AND entity IS NOT NULL AND {feature} IS NOT NULL AND NOT isnan({feature}) AND abs({feature}) < 1e300")
         best = rows.groupBy(F.col("list_id").alias("list"), "entity").agg(F.max(feature).cast("double").alias("weight"))
-        ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("list").orderBy(*E.natural_order()))).where(F.col("rank") <= LONGEST)
+        ranked = E.numbered(best, ["list"])
         row = V.mean_average_precision(V.precision_recall(V.mark(ranked, gold(spark, sf)), n_gold(spark, sf))).select(F.lit(feature).alias("feature"), "map")
         out = row if out is None else out.unionByName(row)
     return out.rollup("feature").agg(F.round(F.avg("map"), 9).alias("map"), F.count(F.lit(1)).alias("n_lists")).withColumn("feature", F.coalesce("feature", F.lit("mean")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from setweave.operators import category as K
 from setweave.operators import evaluation as V
 from setweave.operators import proximity as N
+from setweave.plans import evaluation_queries as L
 from setweave.plans import proximity_queries as Q
 
 
@@ -101,3 +102,13 @@ def test_keywords_late_in_a_text_count(spark, tmp_path):
     row = (1, "http://x.test/list/fort.html", "x " * 1000 + "fort", "x.test", 0.5)
     spark.createDataFrame([row], "doc_id bigint, url string, text string, site string, weight double").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.keyword: r.score for r in Q.predict_category(spark, str(tmp_path)).collect()} == {"fort": 2.5, "list": 1.5}
+
+
+def test_long_lists_are_measured_whole(spark, tmp_path):
+    rows = [(1, i, f"e{i:04}", 3000.0 - i, 20 if i == 1500 else 0) for i in range(1501)]
+    spark.createDataFrame(rows, "list_id bigint, entity_id bigint, entity string, wlw double, edf bigint").write.parquet(f"{tmp_path}/entity_scores.parquet")
+    last = L.precision_recall(spark, str(tmp_path)).orderBy("rank").collect()[-1]
+    assert (last["rank"], last.recall, last.precision) == (1501, 1.0, round(1 / 1501, 9))
+    measured = L.measured(spark, str(tmp_path)).orderBy("rank").collect()
+    pieces = V.precision_recall(L.marked(spark, str(tmp_path)), L.n_gold(spark, str(tmp_path)), piece=7).orderBy("rank").collect()
+    assert [(r["rank"], r.precision, r.recall, r.f1) for r in pieces] == [(r["rank"], r.precision, r.recall, r.f1) for r in measured]
