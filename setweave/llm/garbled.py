@@ -4,6 +4,7 @@ A candidate repair encodes the text in the encoding that was wrongly assumed and
 that was meant; it is repeated for nested layers. It counts only if the *garbling cost* of the text drops. The cost is a
 sum over neighbouring characters (control characters, symbols next to letters, capitals within words, runs of accented
 letters, letters of different scripts side by side, rare ideographs), so it needs neither a language nor a corpus.
+Garbling that hides in character references (``&#195;&#169;``) or, of a URI, in percent codes is looked for as well.
 """
 
 from __future__ import annotations
@@ -12,26 +13,29 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from html import unescape
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Encodings that UTF-8 is wrongly read in.
-ASSUMED = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "mac_roman", "koi8_r", "cp866", "iso8859_2", "cp1254", "cp1253")
-# Encodings other than UTF-8 that text is meant in while it is read in a Western one.
+#: Encodings that UTF-8 is wrongly read in.
+ASSUMED = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8_r", "cp866", "iso8859_2", "cp1254", "cp1253")
+#: Encodings other than UTF-8 that text is meant in while it is read in a Western one.
 ONE_BYTE = ("cp1251", "koi8_r", "cp866", "cp1253", "cp1256")
 MORE_BYTES = ("gb18030", "euc_jp", "shift_jis", "euc_kr", "big5")
 WESTERN = ("cp1252", "latin-1")
-# Cyrillic encodings that are mistaken for one another.
+#: Cyrillic encodings that are mistaken for one another.
 CYRILLIC = (("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1251", "cp866"), ("cp866", "cp1251"))
-MAX_LAYERS = 4
+#: The drop of the cost that a repair into UTF-8 needs, except for single letters (LEAST_DROP_LETTER).
 LEAST_DROP = 1.0
 #: The drop that a repair into another encoding than UTF-8 needs, whose decoding proves less.
 LEAST_DROP_OTHER = 2.0
 #: The drop of single letters whose surroundings show that they were garbled: the least there is.
 LEAST_DROP_LETTER = 0.25
+#: Encodings of which a letter within a Latin word needs no drop.
+OF_OTHER_SCRIPTS = ("cp1251", "cp1253")
 #: Cost from which a text without a repair is still reported: controls from lost bytes.
 HOPELESS = 6.0
 
@@ -61,8 +65,17 @@ def _utf8_pattern(table: dict[str, int]) -> str:
 
 LETTER_IN = {e: re.compile(_chars(TABLES[e], 0xC3, 0xC8) + _chars(TABLES[e], 0x80, 0xBF)) for e in ASSUMED}
 UTF8_IN = {e: re.compile(f"(?:{_utf8_pattern(TABLES[e])})+") for e in ASSUMED}
+#: Encodings whose characters for the bytes from 0xE0 on, or for those that follow, are common letters of other languages.
+AMBIGUOUS = ("cp437", "cp850", "mac_roman", "koi8_r", "cp866", "cp1253")
+#: Runs that hardly happen to be UTF-8: three sequences of two bytes, or two of three.
+_STRONG_IN = {
+    e: re.compile(f"(?:{_chars(t, 0xC2, 0xDF)}{_chars(t, 0x80, 0xBF)}){{3}}" + (f"|(?:{_chars(t, 0xE0, 0xEF)}{_chars(t, 0x80, 0xBF)}{{2}}){{2}}" if e not in AMBIGUOUS else ""))
+    for e, t in ((e, TABLES[e]) for e in ASSUMED if e != "cp850")
+}
 _WEST = "".join(sorted({c for e in WESTERN for c in TABLES[e]}))
 _CYR = "Ѐ-ӿ─-╿▀-▟"
+#: First words of the names of digits that are in use beside those of ASCII.
+DIGITS_OF = frozenset("FULLWIDTH ARABIC-INDIC EXTENDED DEVANAGARI BENGALI THAI CIRCLED CJK IDEOGRAPHIC SUPERSCRIPT SUBSCRIPT ROMAN VULGAR".split())
 #: What a text must have for a repair to be tried at all.
 SUSPECT = re.compile("[�\x80-\x9f-ƒ]|[" + re.escape(_WEST) + "]{2}|" + "|".join(f"{_chars(TABLES[e], 0xC2, 0xF4)}{_chars(TABLES[e], 0x80, 0xBF)}" for e in ASSUMED if e not in ("latin-1", "cp1252")))
 #: Characters around a letter that its words are looked for in.
@@ -76,7 +89,7 @@ _TOKEN = re.compile(r"[^\s/_+:?&=]+")
 _KANA_AS_TEXT = re.compile("ƒ[!-~](?:[!-~]?ƒ[!-~])+")
 _CYRILLIC_RUN = re.compile(f"[{_CYR}]{{3,}}")
 
-# Punctuation that stands next to letters in ordinary text.
+#: Punctuation that stands next to letters in ordinary text.
 _PLAIN = frozenset("«»“”„‟‘’‚‹›…–—¡¿·•。、「」『』《》〈〉！？，：；（）　\xa0­ー〜・")
 _CONTROL, _LOWER, _UPPER, _DIGIT, _SPACE, _ASCII_MARK, _MARK, _SYMBOL, _OTHER = range(9)
 
@@ -97,7 +110,7 @@ def _kind(c: str) -> tuple[int, str, float]:
     if cat[0] in "PS" or cat in ("No", "Cf") or c in "ªºµƒˆ˜":
         return _SYMBOL, "", 0.0
     if cat[0] == "N":
-        return _DIGIT, "", 0.0
+        return _DIGIT, "", (0.0 if unicodedata.name(c, "?").split()[0] in DIGITS_OF else 1.0)
     if cat[0] == "M":
         return _OTHER, "m", 0.0
     if o < 0x250 or 0x1E00 <= o < 0x1F00:
@@ -126,31 +139,42 @@ def _encodes(c: str, encoding: str) -> bytes | None:
         return None
 
 
+def _levels(c: str) -> tuple[bool, bool, bool]:
+    """Which national standards have an ideograph among their frequent characters (the first level)."""
+    gb, big5, jis = (_encodes(c, e) or b"\0" for e in ("gb2312", "big5", "euc_jp"))
+    return 0xB0 <= gb[0] <= 0xD7, 0xA4 <= big5[0] <= 0xC6, len(jis) == 2 and 0xB0 <= jis[0] <= 0xCF
+
+
 def _common_ideograph(c: str) -> bool:
-    """Whether a national standard has it among its frequent characters (the first level)."""
-    b = _encodes(c, "gb2312")
-    if b and 0xB0 <= b[0] <= 0xD7:
-        return True
-    b = _encodes(c, "big5")
-    if b and 0xA4 <= b[0] <= 0xC6:
-        return True
-    b = _encodes(c, "euc_jp")
-    return bool(b and len(b) == 2 and 0xB0 <= b[0] <= 0xCF)
+    return any(_levels(c))
 
 
 _LETTERS = (_LOWER, _UPPER, _OTHER)
-# Scripts whose letters may stand side by side.
-_MIXED = {(a, b): 0.0 for group in ("al", "hkoa", "ac") for a in group for b in group} | {("m", x): 0.0 for x in ("m", "DEVAN", "ARABI", "HEBRE", "BENGA", "TAMIL", "TELUG", "THAI ")}
+#: Scripts whose letters may stand side by side.
+_MIXED = {(a, b): 0.0 for group in ("al", "hka", "oa", "c", "g") for a in group for b in group} | {("m", x): 0.0 for x in ("m", "DEVAN", "ARABI", "HEBRE", "BENGA", "TAMIL", "TELUG", "THAI ")}
 _MIXED |= {(b, a): 0.0 for a, b in _MIXED}
 
 
+def _ordinary_pair(before: int, first: int, second: int, after: int) -> bool:
+    """Whether two accented letters in a row are ordinary for where they stand: coração, CORAÇÃO, Łódź."""
+    if first == second:
+        return first in (before, after) or first == _LOWER and before == _UPPER if first == _LOWER or after != _LOWER != before else False
+    return first == _UPPER and before not in (_LOWER, _UPPER) and after != _UPPER
+
+
 def cost(text: str) -> float:
     """How garbled ``text`` looks; 0 for ordinary text, and never more than a few units for unusual one."""
     total, last, last_script, last_ascii, bridge = 0.0, _SPACE, "", True, False  # bridge: a mark right after a letter
+    run, before, first = 0, _SPACE, _SPACE  # accented letters in a row, what stands before them, and the first's case
     for c in text:
         kind, script, own = _kind(c)
         total += own
         plain = c < "\x80"
+        if script == "l":
+            run, before, first = (run + 1, before, first) if run else (1, last if last_ascii else _SPACE, kind)
+        elif run:
+            total -= run == 2 and _ordinary_pair(before, first, last, kind)
+            run = 0
         if not plain or not last_ascii:
             letter, was = kind in _LETTERS, last in _LETTERS
             if letter and was:
@@ -165,18 +189,27 @@ def cost(text: str) -> float:
             elif kind == _MARK and was and last_script == "l":
                 total += 0.25
                 bridge = c != "’"
+            elif kind == _MARK and was:
+                bridge = c in "«»¡¿…"
             elif letter and last == _MARK:
                 total += 0.75 if bridge else 0.25 if script == "l" else 0.0
             bridge = bridge and kind == _MARK
         else:
             bridge = False
         last, last_script, last_ascii = kind, script, plain
-    return total
+    return total - (run == 2 and _ordinary_pair(before, first, last, _SPACE))
+
+
+@lru_cache(maxsize=1 << 16)
+def _foreign(c: str) -> float:
+    """A small cost of ideographs that not all standards have among their frequent ones, and of Hangul."""
+    return 0.05 * (3 - sum(_levels(c))) if "\u4e00" <= c < "\ua000" else 0.15 if "\uac00" <= c < "\ud7a4" else 0.0
 
 
-def _capitals(text: str) -> float:
-    """A small cost that tells apart decodings which differ in case: capitals after the first letter of a word."""
-    return 0.1 * sum(1 for a, b in zip(text, text[1:]) if b.isupper() and a.isalpha() and b > "\x7f")
+def _oddity(text: str) -> float:
+    """A small cost that tells apart decodings which differ in case or language: capitals after the first letter of a
+    word, and ideographs that are frequent in one country only."""
+    return 0.1 * sum(1 for a, b in zip(text, text[1:]) if b.isupper() and a.isalpha() and b > "\x7f") + sum(map(_foreign, text))
 
 
 def _bytes(run: str, table: dict[str, int]) -> bytes | None:
@@ -205,7 +238,7 @@ def _lower_nearby(before: str, after: str) -> bool:
     return any(c.islower() for w in words if w for c in w.group())
 
 
-def _plausible(new: str, first: str, follow: str, before: str, after: str) -> bool:
+def _plausible(new: str, first: str, follow: str, before: str, after: str, encoding: str) -> bool:
     """Whether ``first`` and ``follow`` are the letter ``new`` garbled, by the text around them.
 
     In capitals, and alone, a real letter may stand before a closing quote or a no-break space, as in «IRMÃ».
@@ -213,17 +246,22 @@ def _plausible(new: str, first: str, follow: str, before: str, after: str) -> bo
     kind, script, own = _kind(new)
     if script != "l" or own:
         return False
-    lower, last = kind == _LOWER, before[-1:]
+    lower, last, (was, of, _) = kind == _LOWER, before[-1:], _kind(first)
+    alone = not last.isalnum() and not after[:1].isalnum()
+    if of in ("c", "g"):  # a letter of another script within or at the end of a Latin word
+        return "a" <= last.lower() <= "z" and (_kind(follow)[1] != of or "a" <= after[:1].lower() <= "z") or lower and "a" <= after[:1].lower() <= "z"
+    if was == _SYMBOL:  # lines of boxes and roots don't stand before one letter or shade
+        return lower or last.isalpha() or after[:1].isalpha()
     if last.islower():
-        return lower and not (first.islower() and _kind(first)[1] == "l" and _kind(follow)[0] == _MARK)
-    if not first.isupper() or _kind(first)[1] != "l" or TABLES["latin-1"].get(first) != 0xC3:
+        return lower and not (first.islower() and of == "l" and _kind(follow)[0] == _MARK)
+    if not first.isupper() or of != "l" or TABLES[encoding].get(first) != 0xC3:
         return False
     symbol = _kind(follow)[0] == _SYMBOL
     if last.isalpha() and before[-2:-1].isalpha():
         return symbol and last.isupper() and not lower and not after[:1].isdigit()
     if symbol:
-        return not after.lstrip()[:1].isdigit() and (not last.isalpha() or _lower_nearby(before, after))
-    return lower and follow in "\xa0\xad¡" and not after[:1].isalnum() and _lower_nearby(before, after)
+        return not after.lstrip()[:1].isdigit() and (not last.isalpha() or _lower_nearby(before, after) or not lower)
+    return lower and follow in "\xa0\xad¡" and not after[:1].isalnum() and (_lower_nearby(before, after) or alone and follow == "\xad")
 
 
 def _letters_as_utf8(text: str, encoding: str) -> str | None:
@@ -232,7 +270,7 @@ def _letters_as_utf8(text: str, encoding: str) -> str | None:
         out += text[end : m.start()]
         first, follow = m.group()
         new = bytes((table[first], table[follow])).decode("utf-8")
-        out += new if _plausible(new, first, follow, out[-NEARBY:], text[m.end() : m.end() + NEARBY]) else m.group()
+        out += new if _plausible(new, first, follow, out[-NEARBY:], text[m.end() : m.end() + NEARBY], encoding) else m.group()
         end = m.end()
     out += text[end:]
     return out if out != text else None
@@ -263,19 +301,19 @@ def _as_other(text: str, assumed: str, meant: str, piece: re.Pattern) -> str | N
     return out if out != text else None
 
 
-def _from_utf8(text: str) -> Iterator[tuple[str, str]]:
+def _from_utf8(text: str) -> Iterator[tuple[str, str, float]]:
     for e in ASSUMED:
         if (new := _as_utf8(text, e)) is not None:
-            yield f"utf-8 as {e}", new
+            yield f"utf-8 as {e}", new, 0.0 if e in _STRONG_IN and _STRONG_IN[e].search(text) else LEAST_DROP
 
 
-def _from_letters(text: str) -> Iterator[tuple[str, str]]:
+def _from_letters(text: str) -> Iterator[tuple[str, str, float]]:
     for e in ASSUMED:
         if (new := _letters_as_utf8(text, e)) is not None:
-            yield f"utf-8 as {e}", new
+            yield f"utf-8 as {e}", new, 0.0 if e in OF_OTHER_SCRIPTS else LEAST_DROP_LETTER
 
 
-def _from_others(text: str) -> Iterator[tuple[str, str]]:
+def _from_others(text: str) -> Iterator[tuple[str, str, float]]:
     tries = [(w, m, _WORD_RUN) for w in WESTERN for m in ONE_BYTE] if _WORD_RUN.search(text) else []
     if _PAIRS_RUN.search(text):
         tries += [(w, m, _PAIRS_RUN) for w in WESTERN for m in MORE_BYTES if m != "shift_jis"]
@@ -285,37 +323,34 @@ def _from_others(text: str) -> Iterator[tuple[str, str]]:
         tries += [(w, m, _CYRILLIC_RUN) for w, m in CYRILLIC]
     for w, m, piece in tries:
         if (new := _as_other(text, w, m, piece)) is not None:
-            yield f"{m} as {w}", new
+            yield f"{m} as {w}", new, LEAST_DROP_OTHER
 
 
-def _undo(text: str, kinds: tuple, max_layers: int) -> tuple[float, str, list[str]]:
+def _undo(text: str, kinds: tuple) -> tuple[float, str, list[str]]:
+    """Layers are undone while the cost drops (or the text, which then gets shorter, is UTF-8 beyond doubt)."""
     layers: list[str] = []
     now = cost(text)
-    while len(layers) < max_layers and now > 0:
-        for tries, least in kinds:
-            found = [(c + _capitals(new), i, how, new, c) for i, (how, new) in enumerate(tries(text)) if (c := cost(new)) <= now - least]
+    while True:
+        for tries in kinds:
+            found = [(c + _oddity(new), i, how, new, c) for i, (how, new, least) in enumerate(tries(text)) if (c := cost(new)) <= now - least]
             if found:
                 break
         else:
-            break
+            return now, text, layers
         _, _, how, text, now = min(found)
         layers.append(how)
-    return now, text, layers
 
 
-_UTF8, _OTHERS, _LETTERS_LAST = (_from_utf8, LEAST_DROP), (_from_others, LEAST_DROP_OTHER), (_from_letters, LEAST_DROP_LETTER)
-
-
-def repair(text: str, max_layers: int = MAX_LAYERS) -> tuple[str, list[str]]:
+def repair(text: str) -> tuple[str, list[str]]:
     """``text`` with every layer of wrong decoding undone for which the cost drops, and the layers, outermost first.
 
     Bytes that are UTF-8 are hardly so by chance, so that is tried first; where it leaves garbling, the other encodings
     are tried first, and the cheaper result counts. Single letters that cost little come last, by what is around them.
     """
-    left, new, layers = _undo(text, (_UTF8, _OTHERS, _LETTERS_LAST), max_layers)
-    if left > 0:
-        other = _undo(text, (_OTHERS, _UTF8, _LETTERS_LAST), max_layers)
-        if other[0] <= left - 1.5:
+    left, new, layers = _undo(text, (_from_utf8, _from_others, _from_letters))
+    if left > 0 or len(layers) > 1 and not any(p.search(text) for p in _STRONG_IN.values()):
+        other = _undo(text, (_from_others, _from_utf8, _from_letters))
+        if other[0] < left or other[0] == left and len(other[2]) < len(layers):
             _, new, layers = other
     return new, layers
 
@@ -335,22 +370,34 @@ def unpercent(uri: str) -> str:
     return _PERCENT.sub(back, uri)
 
 
+_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def resolved(text: str) -> str:
+    """``text`` with its character references resolved, also those that are written as references themselves."""
+    while _REFERENCE.search(text) and (new := unescape(text)) != text:
+        text = new
+    return text
+
+
 def examine(text: str, percent: bool = False) -> tuple[str | None, str, list[str]] | None:
     """``(repaired, status, layers)`` of a garbled value, None for one that isn't.
 
     status: ``restored``; ``partly`` where garbling is left; ``lost`` where nothing could be restored (characters were
-    replaced when it was decoded). With ``percent`` the value is a URI that may hide its garbling in percent codes.
+    replaced when it was decoded). Garbling counts as well if it shows only once character references are resolved;
+    with ``percent`` the value is a URI that may hide it in percent codes.
     """
     plain = unpercent(text) if percent and "%" in text else text
+    plain = resolved(plain) if "&" in plain else plain
     if plain.isascii() or not SUSPECT.search(plain):
         return None
     before = cost(plain)
-    if before < 0.75 and next(_from_letters(plain), None) is None:
+    if before < 0.75 and next(_from_letters(plain), None) is None and not any(p.search(plain) for p in _STRONG_IN.values()):
         return None
     new, layers = repair(plain)
     if layers:
-        return new, ("partly" if "�" in new or cost(new) >= HOPELESS else "restored"), layers
-    if "�" in plain or any("\x80" <= c <= "\x9f" for c in plain) and before >= HOPELESS:
+        return new, ("partly" if cost(new) > 0 else "restored"), layers
+    if "\ufffd" in plain or any("\x80" <= c <= "\x9f" for c in plain) and before >= HOPELESS:
         return None, "lost", []
     return None
 
@@ -374,8 +421,8 @@ def _run(percent: bool):
 
 
 def _worth_a_look(value: Column, percent: bool) -> Column:
-    """Values of ASCII only can't be garbled; they don't leave the JVM."""
-    look = value.rlike(r"[^\x00-\x7F]")
+    """Values of ASCII without references or codes can't be garbled; they don't leave the JVM."""
+    look = value.rlike(r"[^\x00-\x7F]|&#?[0-9A-Za-z]+;")
     return look | value.rlike("%[89A-Fa-f]") if percent else look
 
 

@@ -55,6 +55,7 @@ def test_lost_and_uris():
     assert G.examine("http://x/%C3%83%C2%A9t%C3%83%C2%A9", True)[0] == "http://x/été"
     assert G.examine("http://x/%C3%A9t%C3%A9", True) is None and G.examine("http://x/%E9t%E9", True) is None
     assert G.examine("http://x/%EF%BF%BD", True)[1] == "lost"
+    assert G.examine("·Çó") is None
     assert G.examine("%C3%83%C2%A9") is None
 
 
@@ -92,3 +93,47 @@ def test_single_letters_at_the_end_of_words(text):
 @pytest.mark.parametrize("text", ["«IRMÃ»", "IRMÃ”", "10 Å²", "A Ã\xa0 B", "«Ã»", "IRMÃ®", "“NéRèFÉtáSÉ”", "«gÖdçAlÑUTÉnÉ»", "SÖgüfÇadôlÖ\xa0teKUgufo", "naïveté» d", "café© x", "NESCAFÉ™"])
 def test_real_letters_before_marks_are_left_alone(text):
     assert G.examine(text) is None
+
+
+WORDS = ["café", "voilà", "niño", "ñ", "ü", "CAFÉ", "Zürich", "São", "coração", "CORAÇÃO", "été", "à Paris", "naïve", "Ångström", "œuvre", "straße", "Łódź", "Київ", "Ελλάδα", "שלום", "東京", "서울", "“hello”", "it’s", "Đà Nẵng", "città"]
+
+
+@pytest.mark.parametrize("layers", range(1, 7))
+def test_layers_have_no_limit(layers):
+    for assumed in ("cp1252", "latin-1"):
+        for text in WORDS:
+            wrong = text
+            for _ in range(layers):
+                wrong = misread(wrong, assumed)
+            hit = G.examine(wrong)
+            assert hit and hit[:2] == (text, "restored") and len(hit[2]) == layers, (wrong[:40], hit)
+
+
+# share of WORDS that come back exactly from one wrong decoding; the rest is ambiguous, as a letter of another script alone
+RECALL = {"cp1252": 1.0, "latin-1": 1.0, "cp1250": 0.95, "cp437": 0.95, "cp850": 0.8, "mac_roman": 0.85, "cp1251": 0.75, "koi8_r": 0.8, "cp866": 0.9, "iso8859_2": 0.8, "cp1254": 0.95, "cp1253": 0.8}
+
+
+@pytest.mark.parametrize("assumed", RECALL)
+def test_recall_by_encoding(assumed):
+    back = [(hit := G.examine(misread_any(w, assumed))) is not None and hit[0] == w for w in WORDS]
+    assert sum(back) / len(back) >= RECALL[assumed], [w for w, x in zip(WORDS, back) if not x]
+
+
+def misread_any(text, assumed):
+    return "".join(chr(b) if _undefined(b, assumed) else bytes([b]).decode(assumed) for b in text.encode("utf-8"))
+
+
+@pytest.mark.parametrize("text,back", [("c&#195;&#169;t&#195;&#169;", "cété"), ("&Atilde;&copy;t&Atilde;&copy;", "été"), ("&#xC3;&#xA9;t&#xC3;&#xA9;", "été"), ("&amp;#195;&amp;#169;t&#195;&#169;", "été"), ("&#208;&#188;&#208;&#176;&#208;&#187;", "мал"), ("&#230;&#150;&#185;&#227;&#131;&#141;", "方ネ")])
+def test_garbling_in_references(spark, text, back):
+    assert G.examine(text) == (back, "restored", ["utf-8 as cp1252"])
+    df = spark.createDataFrame([(1, text)], "id bigint, t string")
+    assert G.find_garbled(df, "id", "t").count() == 1
+
+
+@pytest.mark.parametrize("text", ["caf&#233;", "R&D; x", "&amp;", "&eacute;t&eacute;", "&unknown;", "a&b;c", "Рівне", "РІЧ", "перо ремяка пеняре", "КНЯЗЬ", "нОВЫЙ"])
+def test_references_and_cyrillic_of_ordinary_text(text):
+    assert G.examine(text) is None
+
+
+def test_partly_where_garbling_is_left():
+    assert G.examine("Ã©tÃ© f\ufffdn")[1] == "partly"
