@@ -33,6 +33,9 @@ CASES = {
 }
 
 
+CASES["«\xa0Oui\xa0!\xa0» dit-il. «\xa0Non.\xa0» Il part."] = ["«\xa0Oui\xa0!\xa0» dit-il.", "«\xa0Non.\xa0»", "Il part."]
+
+
 @pytest.mark.parametrize("text", CASES)
 def test_cases(text):
     assert cut(text) == CASES[text]
@@ -64,3 +67,48 @@ def test_frame(spark):
     got = S.split_sentences(df)
     assert sorted((r.doc_id or 0, r.sentence_no, r.start_pos, r.end_pos) for r in got.collect()) == [(0, 1, 0, 4), (0, 2, 4, 6), (1, 1, 0, 4), (1, 1, 0, 4), (1, 2, 4, 9), (1, 2, 4, 9)]
     assert S.split_sentences(df.limit(0)).count() == 0
+
+
+# a letter of the script, and a terminator of it
+SCRIPTS = {"Brahmi": "𑀓𑁇", "Samaritan": "ࠀ࠽", "Philippine": "ᜃ᜶", "Balinese": "ᬅ᭽", "Latin": "a‽", "Chakma": "𑄃𑅁", "Sharada": "𑆃𑇅", "Khojki": "𑈀𑈸", "Tirhuta": "𑒁𑗂", "Siddham": "𑖀𑗃", "Coptic": "ⲁ⳹", "Kharosthi": "𐨀𐩖", "Sogdian": "𐼰𐽕", "Bamum": "ꚠ꛳", "Meetei": "ꯀ꯫", "Lisu": "ꓐ꓿", "Vai": "ꔀ꘎", "Burmese": "က။", "Ethiopic": "ሀ።", "Khmer": "ក។", "Tibetan-like": "ᠠ᠃", "Armenian": "ա։", "Arabic": "ا۔", "Urdu": "ب؟", "Devanagari": "क।", "Han": "山。", "Halfwidth": "ｱ｡", "Pahawh": "𖬀𖬷", "Tai Tham": "ᨠ᪨", "Duployan": "𛰀𛲟", "Nko": "ߊ߹", "Syriac": "ܐ܀", "Vertical": "山︒"}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_terminators_of_scripts(script):
+    letter, mark = SCRIPTS[script]
+    assert cut(f"{letter * 3}{mark} {letter * 2}{mark} {letter}") == [f"{letter * 3}{mark}", f"{letter * 2}{mark}", letter]
+
+
+def test_every_terminator_of_the_standard_ends_a_sentence():
+    import regex
+
+    for mark in regex.findall(r"\p{SB=STerm}", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))):
+        assert S.sentence_ends(f"Ab{mark} Cd") == [3, 6], f"{ord(mark):04X}"
+
+
+def test_suppression_is_by_language():
+    ends = lambda text, lang=None: len(S.sentence_ends(text, lang))
+    assert [ends("She works at env. The rest.", x) for x in ("en", "de")] == [2, 2]
+    assert [ends("Il compte env. Trente pas.", x) for x in ("fr", None)] == [1, 1]
+    assert ends("They wrote in av. The rest stayed.", "en") == 2 and ends("Die Frl. Meier kam zu der Tür.", "de") == 1
+    assert ends("Une page.\n\nMr. Smith said that the house was old.", "fr") == 2  # a paragraph in another language
+    assert ends("Paragraph.\n\nУл. Мира и др. Потом.", "en") == 3  # another script
+    assert ends("Qxz env. Qrt", "xx") == 1  # nothing tells the language: all are suppressed
+
+
+def test_marks_far_from_their_words():
+    far = "x" * 500
+    assert S.sentence_ends(f"www.{far}.A{far}.Bc{far} is it. No.") == [4 + 500 + 2 + 500 + 3 + 500 + 7, 4 + 500 + 2 + 500 + 3 + 500 + 11]
+    assert cut("“" * 9 + "a. b" + "(" + "c. " * 50 + ") d. E.") == ["“" * 9 + "a. b" + "(" + "c. " * 50 + ") d.", "E."]
+    assert cut("「はい。」と" + "彼" * 60 + "は言った。次。") == ["「はい。」と" + "彼" * 60 + "は言った。", "次。"]
+
+
+def test_deep_stacks_take_linear_time():
+    for text in ("“" * 100_000 + "a.) " * 50_000, "“a. " * 50_000, "([{" * 50_000 + ")]}." * 50_000, "x/" * 100_000 + "y.Ab" * 50_000, "a. " * 100_000):
+        assert S.sentence_ends(text)[-1] == len(text.rstrip())
+
+
+def test_language_column(spark):
+    df = spark.createDataFrame([(1, "Il a env. Trente.", "fr-CA"), (2, "It is env. Thirty.", "en"), (3, "A. b", None)], "doc_id bigint, text string, lang string")
+    assert sorted((r.doc_id, r.end_pos) for r in S.split_sentences(df).collect()) == [(1, 17), (2, 10), (2, 18), (3, 4)]
+    assert S.split_sentences(df.drop("lang")).count() == 3
