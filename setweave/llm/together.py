@@ -3,13 +3,15 @@
 Every group (a column, a basket, a session) contributes to each of its items a stripe, an associative array of the
 neighbours that it was seen with. Stripes of one item are added up, first within a task, then over all tasks.
 
-* Stripes travel in bundles: one row holds many items' stripes as flat arrays, and the bundle an entry goes to depends
-  on both item and neighbour, so a hot item's stripe is spread evenly.
+* A stripe is one row: the item, its neighbours in order, and how often each was met. Rows are shuffled by item and
+  merged as they arrive in order, so a task holds one item's stripe at a time. A hot item's stripe is split into pieces
+  by a hash of the neighbour.
 * An item that is in so many groups that no pair of it can reach ``min_lift`` is left out beforehand; there are at most
   as many of them as a group has items on average times ``min_lift``, and they are broadcast only if counted to be few.
-* A wide group is never paired with itself in full. If ``min_shared`` groups must be shared, each item may hide its
-  ``min_shared - 1`` widest ones: a pair that shares enough still meets in another. What two items share among hidden
-  groups is added afterwards from the items' short lists of them, so the counts are exact.
+* In a wide group only those items meet that show it. All wide groups are put into one order, and each item hides its
+  last ``min_shared - 1``: two items that share enough groups then both show the first wide group they share, or meet in
+  a group that isn't wide. Those that meet are compared block by block; what the candidates share among hidden groups is
+  looked up afterwards, so the counts are exact.
 """
 
 from __future__ import annotations
@@ -27,15 +29,18 @@ from setweave.runtime import stash
 
 #: Members from which a group counts as wide.
 WIDE = 1024
-#: Entries that a task adds up before it sends a bundle, and that a bundle's receiver is planned for.
+#: Entries that a task adds up before it sends stripes, and that the receiver of stripes is planned for.
 BUFFER = 1_000_000
-PER_BUCKET = 2_000_000
+PER_TASK = 500_000
+#: Most items whose stripes are split; the bound of what is sent to all tasks for that.
+HOT_ITEMS = 1_000_000
 SEEDS = range(8)
 #: Most rows of a set of items that is sent to all tasks; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-BUNDLE = "bucket int, a array<bigint>, b array<bigint>, n array<int>, met array<int>"
+#: ``more`` is the most that item and neighbour can share among hidden groups; there is none without wide groups.
+STRIPE = "item bigint, piece int, neighbours array<bigint>, counts array<int>, more array<int>"
 
 
 def item_key(c: Column, seed: int) -> Column:
@@ -51,38 +56,73 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
 
 
-def _sum_up(a: np.ndarray, b: np.ndarray, n: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Entries of one (a, b) added up, in the order of a, then b."""
+def _sum_up(a: np.ndarray, b: np.ndarray, n: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Entries of one (a, b) added up, in the order of a, then b; ``more`` is the same for all of a pair."""
     if not len(a):
-        return a, b, n, met
+        return a, b, n, more
     order = np.lexsort((b, a))
-    a, b, n, met = a[order], b[order], n[order], met[order]
+    a, b, n, more = a[order], b[order], n[order], more[order]
     first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-    return a[first], b[first], np.add.reduceat(n, first), np.add.reduceat(met, first)
+    return a[first], b[first], np.add.reduceat(n, first), more[first]
 
 
-def _bucket(a: np.ndarray, b: np.ndarray, n_buckets: int) -> np.ndarray:
+def _piece(b: np.ndarray, pieces: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = (a.astype(np.uint64) * _MIX) ^ b.astype(np.uint64)
+        x = b.astype(np.uint64) * _MIX
         x = (x ^ (x >> np.uint64(29))) * _MIX
-    return ((x >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int32)
+    return ((x >> np.uint64(33)) % pieces.astype(np.uint64)).astype(np.int32)
 
 
 def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
-def _bundles(parts: list[tuple[np.ndarray, ...]], n_buckets: int) -> pa.RecordBatch | None:
-    if not parts:
-        return None
-    a, b, n, met = _sum_up(*(np.concatenate(x) for x in zip(*parts)))
-    to = _bucket(a, b, n_buckets)
-    order = np.argsort(to, kind="stable")
-    starts = np.flatnonzero(np.concatenate(([True], np.diff(to[order]) != 0)))
-    offsets = np.append(starts, len(order))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(to[order][starts]), *(_lists(x[order], offsets) for x in (a, b, n.astype(np.int32), met.astype(np.int32)))], ["bucket", "a", "b", "n", "met"]
-    )
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of lists, one after the other, and where each list begins and ends among them."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+class _Known:
+    """What is special of some items of a batch: the pieces of their stripes, and their number of wide groups."""
+
+    def __init__(self, column: pa.Array):
+        flat = column.flatten()
+        ids = flat.field("i").to_numpy()
+        self.ids, first = np.unique(ids, return_index=True)
+        self.pieces, self.wide = flat.field("pieces").to_numpy()[first], flat.field("wide").to_numpy()[first]
+
+    def of(self, values: np.ndarray, items: np.ndarray, default: int) -> np.ndarray:
+        if not len(self.ids):
+            return np.full(len(items), default, np.int32)
+        at = np.minimum(np.searchsorted(self.ids, items), len(self.ids) - 1)
+        return np.where(self.ids[at] == items, values[at], default).astype(np.int32)
+
+
+class _Stripes:
+    """Adds up what a task meets, and gives it out as stripes."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, known: _Known) -> None:
+        more = np.minimum(known.of(known.wide, a, 0), known.of(known.wide, b, 0))
+        self.parts.append((a, b, _piece(b, known.of(known.pieces, a, 1)), more))
+        self.held += len(a)
+
+    def out(self) -> pa.RecordBatch:
+        a, b, piece, more = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts, self.held = [], 0
+        order = np.lexsort((b, piece, a))
+        a, b, piece, more = a[order], b[order], piece[order], more[order]
+        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        n = np.diff(np.append(first, len(a))).astype(np.int32)
+        a, b, piece, more = a[first], b[first], piece[first], more[first]
+        starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (piece[1:] != piece[:-1]))))
+        offsets = np.append(starts, len(a))
+        extra = _lists(more, offsets) if more.any() else pa.nulls(len(starts), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(a[starts]), pa.array(piece[starts]), _lists(b, offsets), _lists(n, offsets), extra], ["item", "piece", "neighbours", "counts", "more"])
 
 
 def _self_pairs(flat: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -99,55 +139,69 @@ def _self_pairs(flat: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndar
             yield members[:, i].ravel(), members[:, j].ravel()
 
 
-def _stripes_of_groups(n_buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for batch in batches:
-            items = batch.column(0)
-            flat, offsets = items.values.to_numpy(), items.offsets.to_numpy()
-            for a, b in _self_pairs(flat, offsets):
-                parts.append((a, b, np.ones(len(a), np.int64), np.ones(len(a), np.int64)))
-                held += len(a)
-                if held >= BUFFER:
-                    yield _bundles(parts, n_buckets)
-                    parts, held = [], 0
-        if parts:
-            yield _bundles(parts, n_buckets)
-
-    return run
+def _stripes_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (items of a group, what is special of them): the stripes of the items."""
+    stripes = _Stripes()
+    for batch in batches:
+        known = _Known(batch.column(1))
+        for a, b in _self_pairs(*_flat(batch.column(0))):
+            stripes.add(a, b, known)
+            if stripes.held >= BUFFER:
+                yield stripes.out()
+    if stripes.held:
+        yield stripes.out()
+
+
+def _stripes_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (block, another or the same block of a wide group, what is special of their items): the stripes."""
+    stripes = _Stripes()
+    for batch in batches:
+        known = _Known(batch.column(3))
+        (left, l_at), (right, r_at) = _flat(batch.column(0)), _flat(batch.column(1))
+        for k, same in enumerate(batch.column(2).to_pylist()):
+            u, v = left[l_at[k] : l_at[k + 1]], right[r_at[k] : r_at[k + 1]]
+            step = max(1, BUFFER // max(1, len(v)))
+            for s in range(0, len(u), step):
+                x, y = np.repeat(u[s : s + step], len(v)), np.tile(v, len(u[s : s + step]))
+                keep = x < y if same else x != y
+                x, y = x[keep], y[keep]
+                if len(x):
+                    stripes.add(np.minimum(x, y), np.maximum(x, y), known)
+                if stripes.held >= BUFFER:
+                    yield stripes.out()
+    if stripes.held:
+        yield stripes.out()
 
 
-def _stripes_of_wide(n_buckets: int):
-    """Of rows (item, hidden, block of other members that don't hide the group): the item's stripe."""
+def _merge(min_n: int):
+    """Adds up stripes that come in the order of (item, piece), and gives out the pairs that may share ``min_n`` groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for batch in batches:
-            own, hidden, others = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
-            sizes, flat = np.diff(others.offsets.to_numpy()), others.values.to_numpy()[others.offsets[0].as_py() : others.offsets[-1].as_py()]
-            x, h = np.repeat(own, sizes), np.repeat(hidden, sizes)
-            keep = h | (flat > x)  # two that show the group meet once; one that hides it meets only those that show it
-            x, h, y = x[keep], h[keep], flat[keep]
-            for s in range(0, len(x), BUFFER):
-                u, v = x[s : s + BUFFER], y[s : s + BUFFER]
-                parts.append((np.minimum(u, v), np.maximum(u, v), np.ones(len(u), np.int64), (~h[s : s + BUFFER]).astype(np.int64)))
-                held += len(u)
-                if held >= BUFFER:
-                    yield _bundles(parts, n_buckets)
-                    parts, held = [], 0
-        if parts:
-            yield _bundles(parts, n_buckets)
-
-    return run
 
+        def flush(last: bool) -> pa.RecordBatch:
+            nonlocal parts, held
+            a, b, n, more = _sum_up(*(np.concatenate(x) for x in zip(*parts)))
+            cut = len(a) if last else np.searchsorted(a, a[-1])  # the last item's stripe may go on
+            parts, held = [(a[cut:], b[cut:], n[cut:], more[cut:])], len(a) - cut
+            a, b, n, more = a[:cut], b[:cut], n[:cut], more[:cut]
+            keep = (a == b) | (n + more >= min_n)
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a, b, n, more)], ["a", "b", "n", "more"])
 
-def _merge(min_n: int):
-    def run(group: pa.Table) -> pa.Table:
-        flat = [group.column(c).combine_chunks() for c in ("a", "b", "n", "met")]
-        flat = [(c.chunk(0) if isinstance(c, pa.ChunkedArray) else c).flatten().to_numpy().astype(np.int64) for c in flat]
-        a, b, n, met = _sum_up(*flat)
-        keep = (a == b) | ((n >= min_n) & (met > 0))
-        return pa.table({"a": a[keep], "b": b[keep], "n": n[keep]})
+        for batch in batches:
+            b, offsets = _flat(batch.column(2))
+            a = np.repeat(batch.column(0).to_numpy(), np.diff(offsets))
+            n = _flat(batch.column(3))[0].astype(np.int64)
+            more, m_at = batch.column(4), np.zeros(len(b), np.int64)
+            if more.null_count < len(more):
+                filled = np.repeat(more.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets))
+                m_at[filled] = more.drop_null().flatten().to_numpy()
+            parts.append((a, b, n, m_at))
+            held += len(a)
+            if held >= BUFFER:
+                yield flush(False)
+        if parts:
+            yield flush(True)
 
     return run
 
@@ -158,7 +212,43 @@ def log_likelihood_ratio(n_ab: Column, n_a: Column, n_b: Column, n: Column) -> C
     return 2 * (term(n_ab, n_a, n_b) + term(n_a - n_ab, n_a, n - n_b) + term(n_b - n_ab, n - n_a, n_b) + term(n - n_a - n_b + n_ab, n - n_a, n - n_b))
 
 
-def co_occurrence(cells: DataFrame, item: str = "row_key", group: str = "column_key", min_shared: int = 5, min_lift: float = 10.0, min_llr: float = 0.0, wide: int = WIDE, per_bucket: int = PER_BUCKET) -> DataFrame:
+def _wide_groups(cells: DataFrame, widths: DataFrame, wide: int, min_shared: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells outside wide groups, cells (i, g1, g2, w, hidden) of wide groups, and (i, wide) how many an item is in."""
+    groups = stash(widths.where(F.col("w") > wide), "wide")
+    within = cells.join(_small(groups), ["g1", "g2"]).distinct()
+    last = F.row_number().over(W.partitionBy("i").orderBy(F.col("w").desc(), "g1", "g2"))
+    within = stash(within.withColumn("hidden", last < min_shared).select("i", "g1", "g2", "hidden"), "members")
+    return cells.join(_small(groups.select("g1", "g2")), ["g1", "g2"], "left_anti"), within, stash(within.groupBy("i").agg(F.count(F.lit(1)).cast("int").alias("wide")), "within")
+
+
+def _blocks_that_meet(within: DataFrame, special: DataFrame, wide: int) -> DataFrame:
+    """``left, right, same, special``: of each wide group every two blocks of the items that show it, none wider than
+    about ``wide``."""
+    shows = within.where("NOT hidden").select("i", "g1", "g2")
+    shows = shows.join(shows.groupBy("g1", "g2").agg(F.ceil(F.count(F.lit(1)) / wide).alias("k")), ["g1", "g2"]).join(special, "i")
+    block = shows.groupBy("g1", "g2", "k", F.pmod(F.xxhash64("i"), "k").alias("block")).agg(F.collect_list("i").alias("items"), F.collect_list(F.expr(SPECIAL)).alias("special"))
+    # every block is sent to where it meets the blocks of no lower number
+    left = block.withColumn("other", F.explode(F.sequence("block", F.col("k") - 1))).select("g1", "g2", "other", "block", F.col("items").alias("left"), F.col("special").alias("of_left"))
+    right = block.select("g1", "g2", F.col("block").alias("other"), F.col("items").alias("right"), F.col("special").alias("of_right"))
+    return left.join(right, ["g1", "g2", "other"]).select("left", "right", (F.col("block") == F.col("other")).alias("same"), F.concat("of_left", "of_right").alias("special"))
+
+
+#: What tasks have to know of an item that is hot or in wide groups.
+SPECIAL = "struct(i, coalesce(pieces, 1) AS pieces, coalesce(wide, 0) AS wide)"
+
+
+def _add_hidden(pairs: DataFrame, within: DataFrame, min_shared: int) -> DataFrame:
+    """``a, b, n`` with what the two share among wide groups that either hides: its ≤ min_shared - 1 hidden ones are
+    looked up among all of the other's, the other's hidden ones among those that it shows."""
+    asked = pairs.where("more > 0").select("a", "b")
+    hidden = lambda own, other: asked.join(within.where("hidden").select(F.col("i").alias(own), "g1", "g2"), own).select("a", "b", F.col(other).alias("i"), "g1", "g2")
+    first = hidden("a", "b").join(within.select("i", "g1", "g2"), ["i", "g1", "g2"])
+    second = hidden("b", "a").join(within.where("NOT hidden").select("i", "g1", "g2"), ["i", "g1", "g2"])
+    found = first.unionByName(second).groupBy("a", "b").agg(F.count(F.lit(1)).alias("also"))
+    return pairs.join(found, ["a", "b"], "left").select("a", "b", (F.col("n") + F.coalesce("also", F.lit(0))).alias("n")).where(F.col("n") >= min_shared)
+
+
+def co_occurrence(cells: DataFrame, item: str = "row_key", group: str = "column_key", min_shared: int = 5, min_lift: float = 10.0, min_llr: float = 0.0, wide: int = WIDE, per_task: int = PER_TASK) -> DataFrame:
     """``item_a, item_b, n_ab, n_a, n_b, n, lift, llr`` of all pairs (a < b by code point) that share at least
     ``min_shared`` groups, of which ``n_ab * n >= min_lift * n_a * n_b``, with ``llr >= min_llr``.
 
@@ -176,44 +266,37 @@ def co_occurrence(cells: DataFrame, item: str = "row_key", group: str = "column_
         raise RuntimeError("items can't be told apart by any seed")
     cells = cells.select(item_key(F.col("item"), seed).alias("i"), *group_key(F.col("grp")))
     widths = stash(cells.groupBy("g1", "g2").agg(F.count(F.lit(1)).cast("bigint").alias("w")), "groups")
-    short = F.least(F.col("w"), F.lit(wide)).cast("double")
-    figures = widths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(short * (short + 1) / 2), F.lit(0.0)).alias("entries"), F.coalesce(F.max("w"), F.lit(0)).alias("widest")).first()
-    n = figures["n"]
-    n_buckets = max(1, math.ceil(figures["entries"] / per_bucket))
+    narrow = F.when(F.col("w") <= wide, F.col("w").cast("double")).otherwise(0.0)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    figures = widths.agg(F.count(F.lit(1)).alias("n"), zero(F.sum(narrow * (narrow + 1) / 2)).alias("entries"), zero(F.sum("w")).alias("cells"), F.coalesce(F.max("w"), F.lit(0)).alias("widest")).first()
+    n, entries = figures["n"], figures["entries"]
 
     # items in more than n / min_lift groups: cells bound them from above, so few need their groups counted
     suspects = items.where(F.col("cells") > n / min_lift).select("i")
     heavy = stash(cells.join(_small(suspects), "i", "left_semi").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") * min_lift > n).select("i"), "heavy")
     cells = cells.join(_small(heavy), "i", "left_anti")
 
-    hidden = None
+    # stripes of items with many cells are split
+    per_cell = max(1.0, entries / max(1, figures["cells"]))
+    hot = items.where(F.col("cells") > max(per_task / per_cell, figures["cells"] / HOT_ITEMS)).join(_small(heavy), "i", "left_anti")
+    special = stash(hot.select("i", F.ceil(F.col("cells") * per_cell / per_task).cast("int").alias("pieces")), "hot").withColumn("wide", F.lit(0))
+    within = None
     if figures["widest"] > wide:
-        wide_groups = stash(widths.where(F.col("w") > wide), "wide")
-        in_wide = cells.join(wide_groups, ["g1", "g2"]).distinct()
-        top = F.row_number().over(W.partitionBy("i").orderBy(F.col("w").desc(), "g1", "g2"))
-        hides = in_wide.withColumn("k", top).where(F.col("k") <= min_shared - 1).select("i", "g1", "g2")
-        in_wide = stash(in_wide.join(hides.withColumn("hidden", F.lit(True)), ["i", "g1", "g2"], "left").withColumn("hidden", F.coalesce("hidden", F.lit(False))), "members")
-        shows = in_wide.where("NOT hidden")
-        blocks = shows.join(shows.groupBy("g1", "g2").agg(F.ceil(F.count(F.lit(1)) / wide).alias("k")), ["g1", "g2"])
-        blocks = blocks.groupBy("g1", "g2", F.pmod("i", "k").alias("block")).agg(F.collect_list("i").alias("others"))
-        met = in_wide.join(blocks, ["g1", "g2"]).select("i", "hidden", "others")
-        own = in_wide.groupBy("i").agg(F.count(F.lit(1)).cast("int").alias("k"))
-        own = own.select(F.lit(0).alias("bucket"), *[F.array(x).alias(c) for c, x in (("a", F.col("i")), ("b", F.col("i")), ("n", F.col("k")), ("met", F.lit(1)))])
-        hidden = stash(in_wide.where("hidden").groupBy("i").agg(F.collect_set(F.struct("g1", "g2")).alias("hidden")), "hidden")
-        cells = cells.join(wide_groups, ["g1", "g2"], "left_anti")
-    groups = cells.groupBy("g1", "g2").agg(F.collect_set("i").alias("items")).select("items")
-    bundles = groups.mapInArrow(_stripes_of_groups(n_buckets), BUNDLE)
-    if hidden is not None:
-        bundles = bundles.unionByName(met.mapInArrow(_stripes_of_wide(n_buckets), BUNDLE))
-    least = 1 if hidden is not None else min_shared
-    merged = stash(bundles.groupBy("bucket").applyInArrow(_merge(least), "a bigint, b bigint, n bigint"), "pairs")
+        cells, within, counts = _wide_groups(cells, widths, wide, min_shared)
+        special = stash(special.drop("wide").join(counts, "i", "full"), "special")
+    groups = cells.join(_small(special), "i", "left").groupBy("g1", "g2").agg(F.collect_set("i").alias("items"), F.collect_set(F.when(F.col("pieces").isNotNull() | F.col("wide").isNotNull(), F.expr(SPECIAL))).alias("special"))
+    stripes = groups.select("items", "special").mapInArrow(_stripes_of_groups, STRIPE)
+    if within is not None:
+        met = stash(_blocks_that_meet(within, special, wide).mapInArrow(_stripes_of_blocks, STRIPE), "met")
+        entries += met.agg(zero(F.sum(F.size("neighbours").cast("double")))).first()[0]
+        stripes = stripes.unionByName(met)
+    arriving = stripes.repartition(max(1, math.ceil(entries / per_task)), "item", "piece").sortWithinPartitions("item", "piece")
+    merged = stash(arriving.mapInArrow(_merge(min_shared), "a bigint, b bigint, n bigint, more bigint"), "pairs")
     sizes = merged.where("a = b").select(F.col("a").alias("i"), F.col("n").alias("k"))
     pairs = merged.where("a <> b")
-    if hidden is not None:
-        sizes = sizes.unionByName(own.select(F.element_at("a", 1).alias("i"), F.element_at("n", 1).cast("bigint").alias("k"))).groupBy("i").agg(F.sum("k").alias("k"))
-        lists = lambda c: hidden.select(F.col("i").alias(c), F.col("hidden").alias(f"h{c}"))
-        both = F.coalesce(F.size(F.array_intersect("ha", "hb")), F.lit(0))
-        pairs = pairs.join(lists("a"), "a", "left").join(lists("b"), "b", "left").select("a", "b", (F.col("n") + F.greatest(both, F.lit(0))).alias("n")).where(F.col("n") >= min_shared)
+    if within is not None:
+        sizes = sizes.unionByName(counts.select("i", F.col("wide").cast("bigint").alias("k"))).groupBy("i").agg(F.sum("k").alias("k"))
+        pairs = _add_hidden(pairs, within, min_shared)
     side = lambda c: sizes.select(F.col("i").alias(c), F.col("k").alias(f"n_{c}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(F.col("n") * n >= F.lit(min_lift) * F.col("n_a") * F.col("n_b"))
     named = lambda c: items.select(F.col("i").alias(c), F.col("item").alias(f"item_{c}"))
