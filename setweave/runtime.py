@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCRATCH = "setweave-scratch"
 
@@ -63,6 +64,15 @@ def stash(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of a table that is sent to all tasks; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def if_small(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``table`` (a stored one of short rows) to be broadcast if it is counted to be small, else as it is."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch table, on whatever file system it lies."""
     jvm = spark.sparkContext._jvm

@@ -51,6 +51,46 @@ def test_groups_are_intervals_of_the_running_sum(spark):
     assert ends.groupby("group_id").bytes.sum().max() <= 300 + 60
 
 
+def test_one_path_listed_very_often(spark, tmp_path):
+    rows = [(i, ("c/a.txt", "c//a.txt", "./c/a.txt")[i % 3], f"u\tw\nl\t{i % 2}\tr") for i in range(C.OFTEN * 3)] + [(7, "c/a.txt", "u\tw\nl\t1\tr")] * 200 + ROWS
+    store = C.consolidate(spark, listing(spark, rows), str(tmp_path / "store"), 10)
+    assert sorted((r.file_id, r.line_no) for r in C.read_store(spark, store).collect()) == brute(rows)
+
+
+def test_latest_version_counts_and_sizes_come_from_payloads(spark):
+    at = lambda d: dt.datetime(2024, 1, d)
+    rows = [(1, "a.txt", None, at(1), "u\tw\nold\tx\tr", "", ""), (2, "./a.txt", 0, at(2), "u\tw\nnéw\ty\tr\nl\tz\tr", "", ""), (3, "a.txt", 5, None, "u\tw\nnull\tx\tr", "", ""), (4, "b.txt", -3, at(1), None, "", "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.path: (r.file_id, r.row_id, r.bytes, r.n_records) for r in C.freeze_manifest(df).collect()}
+    assert got == {"a.txt": (1, 2, len(rows[1][4].encode()), 2), "b.txt": (4, 4, 0, 0)}
+    store = C.read_store(spark, C.consolidate(spark, df))
+    assert sorted((r.file_id, r.record) for r in store.collect()) == [(1, "l\tz\tr"), (1, "néw\ty\tr")]
+
+
+def test_lost_records_are_noticed_and_the_store_is_deleted(spark, tmp_path, monkeypatch):
+    out, real = tmp_path / "store", C.records_of
+    monkeypatch.setattr(C, "records_of", lambda *a: real(*a).where("line_no <> 3"))
+    with pytest.raises(RuntimeError):
+        C.consolidate(spark, listing(spark, ROWS), str(out))
+    assert not out.exists()
+
+
+def test_payloads_are_shuffled_once(spark):
+    df = listing(spark, ROWS)
+    plan = C.plan_groups(C.stash(C.freeze_manifest(df), "m"), 10, 3)
+    shown = C.records_of(C.stash(plan, "p"), df, 8)._jdf.queryExecution().executedPlan().toString()
+    main = [x for x in shown.split("\n") if "Exchange" in x and "content" in x]
+    assert sum("REPARTITION" in x for x in shown.split("\n")) == 1 and "SortMergeJoin" not in shown, (main, shown)
+
+
+def test_folder_tree(spark, tmp_path):
+    for name, text in {"a/x.txt": "u\tw\nl\tx\tr", "a/b/y.html": "u\tw\r\nl\té\tr\r\n", "a/z.gif": "u\tw\nl\tx\tr", "e.txt": ""}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode())
+    store = C.read_store(spark, C.consolidate(spark, C.listing_of_tree(spark, str(tmp_path))))
+    assert sorted((r.line_no, r.record) for r in store.collect()) == [(2, "l\tx\tr"), (2, "l\té\tr")]
+
+
 def test_empty_listing(spark, tmp_path):
     store = C.consolidate(spark, listing(spark, [])), str(tmp_path / "s")
     assert store[0].n_records == 0 and C.read_store(spark, store[0]).count() == 0
