@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from setweave.runtime import if_small, stash
+
 # The coefficients of Wichura's algorithm AS 241 (PPND16) for the inverse of the normal distribution,
 # numerator and denominator by falling power, for the middle, the near tail and the far tail.
 CENTRE = ((2.5090809287301226727e3, 3.3430575583588128105e4, 6.7265770927008700853e4, 4.5921953931549871457e4, 1.3731693765509461125e4, 1.9715909503065514427e3, 1.3314166789178437745e2, 3.387132872796366608e0),
@@ -41,7 +43,7 @@ def percentiles(values: DataFrame, keys: list[str], value: str, split_above: int
     values, approximate quantiles cut them into ``pieces``; the counts of the pieces before are added, so the result is
     exact wherever the cuts fall and no task sorts a hot key alone.
     """
-    counts = values.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    counts = stash(values.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c")), "counts")
     hot = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > split_above).drop("d")
     at = [(i + 1) / pieces for i in range(pieces - 1)]
     cuts = counts.join(hot, keys, "left_semi").groupBy(*keys).agg(F.percentile_approx(value, at, 10 * pieces).alias("cuts"))
@@ -67,19 +69,46 @@ def known(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
+def _of_whole_lists(current: DataFrame, scores: Mapping[str, float]) -> DataFrame:
+    """The mean normal scores of lists that one task can order: one shuffle by list, then a sort for each score."""
+    for k, name in enumerate(scores):
+        by = W.partitionBy("list_id").orderBy(F.col(name).asc_nulls_last())
+        below, upto, n = F.rank().over(by) - 1, F.count(name).over(by), F.count(name).over(by.rangeBetween(W.unboundedPreceding, W.unboundedFollowing))
+        # each normal score is worked out between two sorts, so no one stage of generated code has them all
+        current = current.withColumn("p", F.when(F.col(name).isNotNull(), (below + upto) / (2 * n))).withColumn(f"z{k}", F.expr(normal_quantile_sql("p"))).withColumn(f"z{k}", F.when(F.col("p").isNotNull(), F.col(f"z{k}"))).drop("p", name)
+    weights = [F.lit(float(w)) for w in scores.values()]
+    add = lambda parts: sum(parts[1:], parts[0])
+    total = add([F.coalesce(w * F.col(f"z{k}"), F.lit(0.0)) for k, w in enumerate(weights)])
+    weight = add([F.when(F.col(f"z{k}").isNotNull(), w).otherwise(0.0) for k, w in enumerate(weights)])
+    n_scores = add([F.col(f"z{k}").isNotNull().cast("bigint") for k in range(len(weights))])
+    return current.select("list_id", "entity_id", (total / weight).alias("score"), n_scores.alias("n_scores")).where("n_scores > 0")
+
+
+def _of_split_lists(current: DataFrame, scores: Mapping[str, float], split_above: int, pieces: int) -> DataFrame:
+    """The same of lists whose order is worked out in several tasks."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col(s).alias("v"), F.lit(float(w)).alias("w")) for i, (s, w) in enumerate(scores.items())])).alias("x")
+    long = current.select("list_id", "entity_id", each).select("list_id", "entity_id", "x.s", "x.v", "x.w").where("v IS NOT NULL")
+    ranks = percentiles(long, ["list_id", "s"], "v", split_above, pieces).select("list_id", "s", "v", F.expr(normal_quantile_sql("p")).alias("z"))
+    mean = F.sum(F.col("w") * F.col("z")) / F.sum("w")
+    return long.join(ranks, ["list_id", "s", "v"]).groupBy("list_id", "entity_id").agg(mean.alias("score"), F.count(F.lit(1)).alias("n_scores"))
+
+
 def fuse(rows: DataFrame, scores: Mapping[str, float], list_col: str = "list_id", entity_col: str = "entity_id", at: str = "scored_at", split_above: int = SPLIT_ABOVE, pieces: int = PIECES) -> DataFrame:
     """``list_id, entity_id, score, n_scores``: the weighted mean of the normal scores that an entity has.
 
     A score's percentile within its list is mapped through the inverse normal distribution, so neither range nor shape
     of a score matters. A missing score (null, NaN, infinite) is left out of the mean, it neither helps nor harms; an
-    entity without any has no row. A score on which all entities are equal counts 0 for each.
+    entity without any has no row. A score on which all entities are equal counts 0 for each. Lists of more than
+    ``split_above`` entities are ordered in pieces, the others whole.
     """
+    clean = [F.when(known(F.col(s)), F.col(s) + 0.0).alias(s) for s in scores]
     current = latest(rows.select(F.col(list_col).alias("list_id"), F.col(entity_col).alias("entity_id"), F.col(at).alias("at_"), *[F.col(s).alias(s) for s in scores]), ["list_id", "entity_id"], list(scores), "at_")
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col(s).alias("v"), F.lit(float(w)).alias("w")) for i, (s, w) in enumerate(scores.items())])).alias("x")
-    long = current.select("list_id", "entity_id", each).select("list_id", "entity_id", "x.s", (F.col("x.v") + 0.0).alias("v"), "x.w").where(known(F.col("v")))
-    ranks = percentiles(long, ["list_id", "s"], "v", split_above, pieces).select("list_id", "s", "v", F.expr(normal_quantile_sql("p")).alias("z"))
-    mean = F.sum(F.col("w") * F.col("z")) / F.sum("w")
-    return long.join(ranks, ["list_id", "s", "v"]).groupBy("list_id", "entity_id").agg(mean.alias("score"), F.count(F.lit(1)).alias("n_scores"))
+    current = stash(current.select("list_id", "entity_id", *clean), "current")
+    long_lists = stash(current.groupBy("list_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split_above).select("list_id"), "long_lists")
+    if long_lists.isEmpty():
+        return _of_whole_lists(current, scores)
+    whole, split = (current.join(if_small(long_lists), "list_id", how) for how in ("left_anti", "left_semi"))
+    return _of_whole_lists(whole, scores).unionByName(_of_split_lists(split, scores, split_above, pieces))
 
 
 def best(ranking: DataFrame, k: int) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from setweave.runtime import stash
+from setweave.runtime import if_small, stash
 
 #: Members from which a group counts as wide.
 WIDE = 1024
@@ -35,8 +35,6 @@ PER_TASK = 500_000
 #: Most items whose stripes are split; the bound of what is sent to all tasks for that.
 HOT_ITEMS = 1_000_000
 SEEDS = range(8)
-#: Most rows of a set of items that is sent to all tasks; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 500_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: ``more`` is the most that item and neighbour can share among hidden groups; there is none without wide groups.
@@ -51,11 +49,6 @@ def group_key(c: Column) -> list[Column]:
     return [F.xxhash64(F.lit(101), c).alias("g1"), F.xxhash64(c, F.lit(211)).alias("g2")]
 
 
-def _small(ids: DataFrame) -> DataFrame:
-    """``ids`` (a stored table of numbers) to be broadcast, if it is small enough."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
-
-
 def _sum_up(a: np.ndarray, b: np.ndarray, n: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, ...]:
     """Entries of one (a, b) added up, in the order of a, then b; ``more`` is the same for all of a pair."""
     if not len(a):
@@ -215,10 +208,10 @@ def log_likelihood_ratio(n_ab: Column, n_a: Column, n_b: Column, n: Column) -> C
 def _wide_groups(cells: DataFrame, widths: DataFrame, wide: int, min_shared: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cells outside wide groups, cells (i, g1, g2, w, hidden) of wide groups, and (i, wide) how many an item is in."""
     groups = stash(widths.where(F.col("w") > wide), "wide")
-    within = cells.join(_small(groups), ["g1", "g2"]).distinct()
+    within = cells.join(if_small(groups), ["g1", "g2"]).distinct()
     last = F.row_number().over(W.partitionBy("i").orderBy(F.col("w").desc(), "g1", "g2"))
     within = stash(within.withColumn("hidden", last < min_shared).select("i", "g1", "g2", "hidden"), "members")
-    return cells.join(_small(groups.select("g1", "g2")), ["g1", "g2"], "left_anti"), within, stash(within.groupBy("i").agg(F.count(F.lit(1)).cast("int").alias("wide")), "within")
+    return cells.join(if_small(groups.select("g1", "g2")), ["g1", "g2"], "left_anti"), within, stash(within.groupBy("i").agg(F.count(F.lit(1)).cast("int").alias("wide")), "within")
 
 
 def _blocks_that_meet(within: DataFrame, special: DataFrame, wide: int) -> DataFrame:
@@ -273,18 +266,18 @@ def co_occurrence(cells: DataFrame, item: str = "row_key", group: str = "column_
 
     # items in more than n / min_lift groups: cells bound them from above, so few need their groups counted
     suspects = items.where(F.col("cells") > n / min_lift).select("i")
-    heavy = stash(cells.join(_small(suspects), "i", "left_semi").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") * min_lift > n).select("i"), "heavy")
-    cells = cells.join(_small(heavy), "i", "left_anti")
+    heavy = stash(cells.join(if_small(suspects), "i", "left_semi").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") * min_lift > n).select("i"), "heavy")
+    cells = cells.join(if_small(heavy), "i", "left_anti")
 
     # stripes of items with many cells are split
     per_cell = max(1.0, entries / max(1, figures["cells"]))
-    hot = items.where(F.col("cells") > max(per_task / per_cell, figures["cells"] / HOT_ITEMS)).join(_small(heavy), "i", "left_anti")
+    hot = items.where(F.col("cells") > max(per_task / per_cell, figures["cells"] / HOT_ITEMS)).join(if_small(heavy), "i", "left_anti")
     special = stash(hot.select("i", F.ceil(F.col("cells") * per_cell / per_task).cast("int").alias("pieces")), "hot").withColumn("wide", F.lit(0))
     within = None
     if figures["widest"] > wide:
         cells, within, counts = _wide_groups(cells, widths, wide, min_shared)
         special = stash(special.drop("wide").join(counts, "i", "full"), "special")
-    groups = cells.join(_small(special), "i", "left").groupBy("g1", "g2").agg(F.collect_set("i").alias("items"), F.collect_set(F.when(F.col("pieces").isNotNull() | F.col("wide").isNotNull(), F.expr(SPECIAL))).alias("special"))
+    groups = cells.join(if_small(special), "i", "left").groupBy("g1", "g2").agg(F.collect_set("i").alias("items"), F.collect_set(F.when(F.col("pieces").isNotNull() | F.col("wide").isNotNull(), F.expr(SPECIAL))).alias("special"))
     stripes = groups.select("items", "special").mapInArrow(_stripes_of_groups, STRIPE)
     if within is not None:
         met = stash(_blocks_that_meet(within, special, wide).mapInArrow(_stripes_of_blocks, STRIPE), "met")
