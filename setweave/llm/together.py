@@ -227,6 +227,7 @@ def _blocks_that_meet(within: DataFrame, special: DataFrame, wide: int) -> DataF
 
 
 #: What tasks have to know of an item that is hot or in wide groups.
+SPECIALS = "array<struct<i: bigint, pieces: int, wide: int>>"
 SPECIAL = "struct(i, coalesce(pieces, 1) AS pieces, coalesce(wide, 0) AS wide)"
 
 
@@ -277,7 +278,11 @@ def co_occurrence(cells: DataFrame, item: str = "row_key", group: str = "column_
     if figures["widest"] > wide:
         cells, within, counts = _wide_groups(cells, widths, wide, min_shared)
         special = stash(special.drop("wide").join(counts, "i", "full"), "special")
-    groups = cells.join(if_small(special), "i", "left").groupBy("g1", "g2").agg(F.collect_set("i").alias("items"), F.collect_set(F.when(F.col("pieces").isNotNull() | F.col("wide").isNotNull(), F.expr(SPECIAL))).alias("special"))
+    if special.isEmpty():
+        told = F.array().cast(SPECIALS)
+    else:
+        cells, told = cells.join(if_small(special), "i", "left"), F.collect_set(F.when(F.col("pieces").isNotNull() | F.col("wide").isNotNull(), F.expr(SPECIAL)))
+    groups = cells.groupBy("g1", "g2").agg(F.collect_set("i").alias("items"), told.alias("special"))
     stripes = groups.select("items", "special").mapInArrow(_stripes_of_groups, STRIPE)
     if within is not None:
         met = stash(_blocks_that_meet(within, special, wide).mapInArrow(_stripes_of_blocks, STRIPE), "met")
