@@ -1,16 +1,19 @@
 """Evaluation texts that leaked into a corpus, found with suffix arrays of the corpus.
 
-The corpus is read in shards of bounded size. A shard's tokens (words, or letters and digits for languages without
+The corpus is read once, in shards of bounded size. A shard's tokens (words, or letters and digits for languages without
 spaces) become one array, of which the suffixes are sorted; every suffix of every evaluation text is then looked up by
 binary search, and the stretch of equal suffixes gives all places where it occurs, which are extended to the longest
 match. Only suffixes that could begin a match are sorted: a token that occurs in no evaluation text ends any match, so
-shards of a corpus that shares little with them need almost no sorting, and nothing is lost.
+shards of a corpus that shares little with them need almost no sorting, and nothing is lost. Equal suffixes of many
+evaluation texts are looked up once.
 
-Nothing is shuffled but the matches. The evaluation texts are sent to the tasks in blocks of a bounded size.
+Nothing is shuffled but the matches. The evaluation texts are tokenized by tasks, in blocks of a bounded size; each block
+is a broadcast of its own, and a task holds one of them at a time while it goes over them for a shard.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import sys
 import unicodedata
@@ -26,8 +29,10 @@ MIN_WORDS = 12
 MIN_CHARS = 24
 #: Languages whose items are compared by letters and digits.
 BY_CHARACTER = ("ja", "zh-CN")
-#: Bytes of evaluation texts that are sent to the tasks at once; more are taken block by block.
+#: Bytes of the evaluation texts of one block.
 BLOCK_BYTES = 32 * 1024 * 1024
+#: Matches that are extended at once; more are taken one part after the other.
+MATCHES = 2_000_000
 #: Tokens of one shard; a longer document is a shard of its own.
 SHARD_TOKENS = 2_000_000
 
@@ -63,32 +68,62 @@ def letters(text: str) -> np.ndarray:
     return points[_categories()[1][points]].astype(np.int32)
 
 
+def tokenized(text: str, by_character: bool) -> list:
+    return letters(text).tolist() if by_character else words(text)
+
+
 class Probe:
-    """The evaluation texts of one kind, as numbered tokens, ready to be looked up in shards."""
+    """The evaluation texts of one block and kind, as numbered tokens, ready to be looked up in shards."""
 
     def __init__(self, items: Sequence[tuple[int, str]], least: int, by_character: bool):
         self.least, self.by_character = least, by_character
         self.vocabulary: dict = {}
-        arrays, owners, places = [], [], []
+        arrays, self.items, self.begins, at = [], [], [], 0
         for item, text in items:
-            tokens = letters(text).tolist() if by_character else words(text)
-            ids = [self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in tokens]
-            arrays += [np.array(ids, np.int32), np.zeros(1, np.int32)]
-            owners += [item] * (len(ids) + 1)
-            places += range(len(ids) + 1)
+            ids = [self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in tokenized(text, by_character)]
+            if len(ids) >= least:
+                arrays += [np.array(ids, np.int32), np.zeros(1, np.int32)]
+                self.items.append(item)
+                self.begins.append(at)
+                at += len(ids) + 1
         self.tokens = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
-        self.owner, self.place = np.array(owners, np.int64), np.array(places, np.int32)
-        self.starts = np.flatnonzero(_room(self.tokens) >= least)
-        if by_character:
-            self.table = np.zeros(sys.maxunicode + 1, np.int32)
-            for point, k in self.vocabulary.items():
-                self.table[point] = k
+        self.items, self.begins = np.array(self.items, np.int64), np.array(self.begins, np.int64)
+        # suffixes in order; those that begin with the same tokens are one class, of which the first is looked up
+        places, rank = _ranked(self.tokens, least)
+        self.order = places[np.argsort(rank[places], kind="stable")].astype(np.int32)
+        self.classes = np.flatnonzero(np.diff(rank[self.order], prepend=-1)).astype(np.int32)
+
+    def owner(self, places: np.ndarray) -> np.ndarray:
+        """The number of the item that each place belongs to."""
+        return np.searchsorted(self.begins, places, side="right") - 1
+
+
+class Shard:
+    """Tokens of some documents, numbered within the shard; every document is followed by a break (token 0)."""
+
+    def __init__(self, by_character: bool):
+        self.by_character = by_character
+        self.vocabulary: dict = {}
+        self.arrays: list[np.ndarray] = []
+        self.docs: list[int] = []
+        self.size = 0
+
+    def add(self, doc: int, tokens: list) -> None:
+        number = self.vocabulary.setdefault
+        self.arrays += [np.array([number(t, len(self.vocabulary) + 1) for t in tokens], np.int32), np.zeros(1, np.int32)]
+        self.docs.append(doc)
+        self.size += len(tokens) + 1
 
-    def encode(self, text: str) -> np.ndarray:
-        if self.by_character:
-            return self.table[letters(text)]
-        known = self.vocabulary.get
-        return np.array([known(w, 0) for w in words(text)], np.int32)
+    def joined(self) -> np.ndarray:
+        return np.concatenate(self.arrays)
+
+    def as_in(self, probe: Probe, tokens: np.ndarray) -> np.ndarray:
+        """The tokens by the numbers of the probe; 0 for those that occur in no evaluation text of it."""
+        known = probe.vocabulary.get
+        return np.array([0, *[known(t, 0) for t in self.vocabulary]], np.int32)[tokens]
+
+    def starts(self) -> np.ndarray:
+        return np.cumsum([0] + [len(a) + 1 for a in self.arrays[::2]])
 
 
 def _room(tokens: np.ndarray) -> np.ndarray:
@@ -98,23 +133,27 @@ def _room(tokens: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(breaks[::-1])[::-1] - at if len(tokens) else at
 
 
-def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
-    """Places of all suffixes with ``depth`` tokens before a break, sorted by these tokens, then by place.
+def _ranked(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all suffixes with ``depth`` tokens before a break, and the rank of each place by these tokens.
 
     Ranks of prefixes of doubled length are merged until they cover the depth.
     """
     room = _room(tokens)
     places = np.flatnonzero(room >= depth)
-    if not len(places):
-        return places
     rank, length = tokens.astype(np.int64), 1
-    while length < depth:
+    while length < depth and len(places):
         step = min(length, depth - length)  # the second half may overlap the first
         valid = np.flatnonzero(room >= length + step)
         code = rank[valid] * (rank.max() + 1) + rank[valid + step]
         rank = np.zeros(len(tokens), np.int64)
         rank[valid] = np.unique(code, return_inverse=True)[1] + 1
         length += step
+    return places, rank
+
+
+def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
+    """Places of all suffixes with ``depth`` tokens before a break, sorted by these tokens, then by place."""
+    places, rank = _ranked(tokens, depth)
     return places[np.argsort(rank[places], kind="stable")]
 
 
@@ -140,18 +179,28 @@ def _search(tokens: np.ndarray, sa: np.ndarray, probe: np.ndarray, starts: np.nd
         high[open_[~goes_right]] = mid[~goes_right]
 
 
-def matches(probe: Probe, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All longest matches of at least the probe's length: (place in the items, place in the shard, tokens)."""
-    none = np.zeros(0, np.int64)
+def matches(probe: Probe, tokens: np.ndarray, at_once: int = MATCHES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All longest matches of at least the probe's length, in parts: (place in the items, place in the shard, tokens)."""
     sa = suffix_array(tokens, probe.least)
-    if not len(sa) or not len(probe.starts):
-        return none, none, none
-    first = _search(tokens, sa, probe.tokens, probe.starts, probe.least, False)
-    last = _search(tokens, sa, probe.tokens, probe.starts, probe.least, True)
-    count = last - first
+    if not len(sa) or not len(probe.order):
+        return
+    order = probe.order.astype(np.int64)
+    heads = order[probe.classes]
+    first = _search(tokens, sa, probe.tokens, heads, probe.least, False)
+    last = _search(tokens, sa, probe.tokens, heads, probe.least, True)
+    # every suffix of a class that was found, with the stretch of the shard's suffixes
+    sizes = np.diff(np.append(probe.classes, len(order)))
+    first, count, own = np.repeat(first, sizes), np.repeat(last - first, sizes), order
     hit = np.flatnonzero(count > 0)
-    own = np.repeat(probe.starts[hit], count[hit])
-    there = sa[np.repeat(first[hit], count[hit]) + np.arange(count[hit].sum()) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit])]
+    first, count, own = first[hit], count[hit], own[hit]
+    part = (np.cumsum(count) - count) // at_once
+    for cut in np.split(np.arange(len(own)), np.flatnonzero(np.diff(part)) + 1) if len(own) else ():
+        yield _extended(probe, tokens, sa, own[cut], first[cut], count[cut])
+
+
+def _extended(probe: Probe, tokens: np.ndarray, sa: np.ndarray, own: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    there = sa[np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+    own = np.repeat(own, count)
     # of matches that continue one another only the longest is kept: the one that can't begin a token earlier
     begins = (own == 0) | (there == 0) | (probe.tokens[own - 1] != tokens[there - 1]) | (tokens[there - 1] == 0)
     own, there = own[begins], there[begins]
@@ -166,57 +215,84 @@ def matches(probe: Probe, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return own, there, length
 
 
-def _look_up(probes: list[Probe], shard_tokens: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[[], [], 0] for _ in probes]  # arrays, documents, tokens
-
-        def close(k: int) -> pa.RecordBatch | None:
-            probe, (arrays, docs, _) = probes[k], held[k]
-            held[k] = [[], [], 0]
-            if not arrays:
-                return None
-            tokens = np.concatenate(arrays)
-            starts = np.cumsum([0] + [len(a) for a in arrays])
-            own, there, length = matches(probe, tokens)
-            if not len(own):
-                return None
-            doc = np.searchsorted(starts, there, side="right") - 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array(probe.owner[own]), pa.array(np.array(docs, np.int64)[doc]), pa.array(length.astype(np.int32)), pa.array(probe.place[own]), pa.array((there - starts[doc]).astype(np.int32))],
-                ["item_id", "doc_id", "length", "item_place", "doc_place"],
-            )
+def _found(probe: Probe, shard: Shard, tokens: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of each item and document of a shard that match: the longest match, and how many there are."""
+    starts, docs = shard.starts(), np.array(shard.docs, np.int64)
+    for own, there, length in matches(probe, shard.as_in(probe, tokens)):
+        if not len(own):
+            continue
+        item, doc = probe.owner(own), np.searchsorted(starts, there, side="right") - 1
+        own, there = own - probe.begins[item], there - starts[doc]
+        order = np.lexsort((there, own, -length, doc, item))
+        item, doc, own, there, length = (x[order] for x in (item, doc, own, there, length))
+        head = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]))))
+        n = np.diff(np.append(head, len(item)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(probe.items[item[head]]), pa.array(docs[doc[head]]), pa.array(length[head].astype(np.int32)), pa.array(n), pa.array(own[head].astype(np.int32)), pa.array(there[head].astype(np.int32))],
+            ["item_id", "doc_id", "length", "places", "item_place", "doc_place"],
+        )
+
+
+def _look_up(blocks: list, kinds: Sequence[tuple[bool, int]], shard_tokens: int):
+    """``blocks``: a broadcast of pickled probes each. ``kinds``: by character or not, and the least tokens of a match."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(shard: Shard) -> Iterator[pa.RecordBatch]:
+            tokens = shard.joined()
+            for block in blocks:
+                for probe in _probes(block, len(blocks) == 1):
+                    if probe.by_character == shard.by_character:
+                        yield from _found(probe, shard, tokens)
+
+        held = {by: Shard(by) for by, _ in kinds}
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for i, x in enumerate(batch.column(1)):
                 text = x.as_py()
-                for k, probe in enumerate(probes):
-                    tokens = probe.encode(text)
-                    if len(tokens) < probe.least:
+                for by, least in kinds:
+                    tokens = tokenized(text, by)
+                    if len(tokens) < least:
                         continue
-                    if held[k][2] + len(tokens) > shard_tokens and (out := close(k)):
-                        yield out
-                    held[k][0] += [tokens, np.zeros(1, np.int32)]
-                    held[k][1] += [ids[i], ids[i]]
-                    held[k][2] += len(tokens) + 1
-        for k in range(len(probes)):
-            if out := close(k):
-                yield out
+                    if held[by].size and held[by].size + len(tokens) > shard_tokens:
+                        yield from close(held[by])
+                        held[by] = Shard(by)
+                    held[by].add(ids[i], tokens)
+        for shard in held.values():
+            if shard.size:
+                yield from close(shard)
 
     return run
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list]:
-    """Items in blocks of bounded size; one block at a time is on the driver."""
-    block, size = [], 0
-    for row in items.toLocalIterator():
-        if size and size + len(row.text) * 4 > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append(row)
-        size += len(row.text) * 4
-    if block:
-        yield block
+_kept: dict = {}
+
+
+def _probes(block, keep: bool) -> list[Probe]:
+    """The probes of a block; those of the only one are kept for the next shard."""
+    if block.id not in _kept:
+        _kept.clear()
+        _kept[block.id] = pickle.loads(block.blob.value)
+        if hasattr(block.blob, "_value"):
+            del block.blob._value
+    return _kept[block.id]
+
+
+class _Block:
+    def __init__(self, blob):
+        self.blob, self.id = blob, blob._jbroadcast.id()
+
+    def __getstate__(self):
+        return {"blob": self.blob, "id": self.id}
+
+
+def _build(kinds: Sequence[tuple[bool, int]]):
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.select(["by_character", "item_id", "text"]).to_pylist()
+        probes = [Probe([(r["item_id"], r["text"]) for r in rows if r["by_character"] == by], least, by) for by, least in kinds]
+        probes = [p for p in probes if len(p.order)]
+        return pa.table({"has": [sorted(p.by_character for p in probes)], "blob": [pickle.dumps(probes)]})
+
+    return run
 
 
 def leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS, by_character: Sequence[str] = BY_CHARACTER, block_bytes: int = BLOCK_BYTES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -228,20 +304,24 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, min_cha
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).where("text IS NOT NULL AND doc_id IS NOT NULL")
     items = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("lang").alias("lang"), F.col("text").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL")
-    schema = "item_id bigint, doc_id bigint, length int, item_place int, doc_place int"
-    found = None
-    for block in _blocks(items, block_bytes):
-        split = {True: [], False: []}
-        for row in block:
-            split[row.lang in by_character].append((row.item_id, row.text))
-        probes = [p for p in (Probe(split[c], min_chars if c else min_words, c) for c in (False, True)) if len(p.starts)]
-        if probes:
-            part = docs.mapInArrow(_look_up(probes, shard_tokens), schema)
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], schema)
+    spark, schema = docs.sparkSession, "item_id bigint, doc_id bigint, length int, places bigint, item_place int, doc_place int"
+    kinds = [(False, min_words), (True, min_chars)]
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-size // block_bytes))
+    by = F.coalesce(F.col("lang").isin(list(by_character)), F.lit(False))
+    items = items.select(by.alias("by_character"), "item_id", "text").distinct().withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
+    built = items.groupBy("block").applyInArrow(_build(kinds), "has array<boolean>, blob binary")
+    blocks, used = [], set()
+    for row in built.toLocalIterator():  # one block at a time is on the driver
+        if row.has:
+            blocks.append(_Block(spark.sparkContext.broadcast(bytes(row.blob))))
+            used |= set(row.has)
+    if blocks:
+        found = docs.mapInArrow(_look_up(blocks, [k for k in kinds if k[0] in used], shard_tokens), schema)
+    else:
+        found = spark.createDataFrame([], schema)
     longest = F.max(F.struct(F.col("length"), (-F.col("item_place")).alias("i"), (-F.col("doc_place")).alias("d"))).alias("m")
-    best = found.groupBy("item_id", "doc_id").agg(longest, F.count(F.lit(1)).alias("n_places"))
+    best = found.groupBy("item_id", "doc_id").agg(longest, F.sum("places").alias("n_places"))
     return best.select("item_id", "doc_id", F.col("m.length").alias("length"), "n_places", (-F.col("m.i")).alias("item_place"), (-F.col("m.d")).alias("doc_place"))
 
 

@@ -80,3 +80,23 @@ def test_suffix_array():
         room = L._room(tokens)
         want = sorted((i for i in range(400) if room[i] >= depth), key=lambda i: (tuple(tokens[i : i + depth]), i))
         assert L.suffix_array(tokens, depth).tolist() == want
+
+
+def test_many_items_with_one_beginning(spark, monkeypatch):
+    """Equal suffixes are one class; matches are extended in parts, and blocks don't add passes over the corpus."""
+    monkeypatch.setattr(L, "MATCHES", 100)
+    start = " ".join(f"s{i}" for i in range(15))
+    items = [(i, "en", "qa", f"{start} end{i} of it") for i in range(60)]
+    docs = [(d, f"new {start} end{d} of it old {start}" if d < 60 else f"x {start}", "x", 1) for d in range(80)]
+    probe = L.Probe([(i, t) for i, _, _, t in items], 12, False)
+    assert len(probe.order) == 60 * 7 and len(probe.classes) == 4 + 60 * 3
+    found = L.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), block_bytes=500)
+    got = {(r.item_id, r.doc_id): (r.length, r.n_places) for r in found.collect()}
+    assert got == {(i, d): (18 if i == d else 15, 2 if d < 60 else 1) for i in range(60) for d in range(80)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_one_item_repeated(spark):
+    items = spark.createDataFrame([(1, "en", "qa", " ".join(map(str, range(20))))] * 500, ITEMS)
+    docs = spark.createDataFrame([(1, " ".join(map(str, range(3, 18))), "x", 1)], DOCS)
+    assert [(r.length, r.n_places, r.item_place) for r in L.leaks(docs, items, block_bytes=200).collect()] == [(15, 1, 3)]
