@@ -62,11 +62,17 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).copies
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), mixing.ALL).copies
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).shares
+    """All tokens used: the smallest source is out of reach and says so."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), mixing.ALL).shares
+
+
+def p7_reachable_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest mix in which every source reaches its share."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), mixing.REACHABLE).shares
 
 
 def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +122,16 @@ grams AS (SELECT DISTINCT kind, id, "by", hash(u[i:i + k - 1]) AS g FROM sized,
 leaked AS (SELECT DISTINCT i.id AS item_id, d.id AS doc_id FROM grams i JOIN grams d ON i.kind = 'i' AND d.kind = 'd' AND i."by" = d."by" AND i.g = d.g)
 """
 
+_PLACES = """
+spots AS (SELECT kind, id, "by", k, i - 1 AS at, hash(u[i:i + k - 1]) AS g FROM sized, unnest(range(1, greatest(len(u) - k + 2, 1))) AS t(i) WHERE len(u) >= k),
+met AS (SELECT i.id AS item_id, d.id AS doc_id, i.k, i.at AS item_at, d.at AS doc_at FROM spots i JOIN spots d ON i.kind = 'i' AND d.kind = 'd' AND i."by" = d."by" AND i.g = d.g),
+runs AS (SELECT *, item_at - row_number() OVER (PARTITION BY item_id, doc_id, item_at - doc_at ORDER BY item_at) AS run FROM (SELECT DISTINCT * FROM met)),
+longest AS (SELECT item_id, doc_id, min(item_at) AS item_place, min(doc_at) AS doc_place, count(*) + min(k) - 1 AS length FROM runs GROUP BY item_id, doc_id, item_at - doc_at, run),
+first AS (SELECT *, count(*) OVER (PARTITION BY item_id, doc_id) AS n_places, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY length DESC, item_place, doc_place) AS nth FROM longest)
+"""
+
 SQL = {
+    "p6_leaks": f"WITH {_LEAKS}, {_PLACES} SELECT item_id, doc_id, CAST(length AS INTEGER) AS length, n_places, CAST(item_place AS INTEGER) AS item_place, CAST(doc_place AS INTEGER) AS doc_place FROM first WHERE nth = 1",
     "p6_found": f"WITH {_LEAKS} SELECT item_id, doc_id FROM leaked",
     "p6_clean": f"WITH {_LEAKS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaked)",
     "p4_found": f"WITH {_PAIRS} SELECT a AS row_key_a, b AS row_key_b FROM pairs",
@@ -130,4 +145,4 @@ SELECT list_id, entity_id FROM placed WHERE k <= 10""",
     "p2_copies": f"WITH {_FORMS} SELECT min(ext_id) AS keep_id, count(*) AS n_copies FROM forms GROUP BY form",
 }
 
-QUERIES = {"p2_found": p2_found, "p2_copies": p2_copies, "p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_leaks": p6_leaks, "p6_clean": p6_clean, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_sentences": p8_sentences}
+QUERIES = {"p2_found": p2_found, "p2_copies": p2_copies, "p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_leaks": p6_leaks, "p6_clean": p6_clean, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_reachable_shares": p7_reachable_shares, "p8_found": p8_found, "p8_sentences": p8_sentences}
