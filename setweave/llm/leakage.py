@@ -17,8 +17,10 @@ import pickle
 import re
 import sys
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -68,10 +70,6 @@ def letters(text: str) -> np.ndarray:
     return points[_categories()[1][points]].astype(np.int32)
 
 
-def tokenized(text: str, by_character: bool) -> list:
-    return letters(text).tolist() if by_character else words(text)
-
-
 class Probe:
     """The evaluation texts of one block and kind, as numbered tokens, ready to be looked up in shards."""
 
@@ -80,7 +78,7 @@ class Probe:
         self.vocabulary: dict = {}
         arrays, self.items, self.begins, at = [], [], [], 0
         for item, text in items:
-            ids = [self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in tokenized(text, by_character)]
+            ids = [self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in (letters(text).tolist() if by_character else words(text))]
             if len(ids) >= least:
                 arrays += [np.array(ids, np.int32), np.zeros(1, np.int32)]
                 self.items.append(item)
@@ -99,18 +97,20 @@ class Probe:
 
 
 class Shard:
-    """Tokens of some documents, numbered within the shard; every document is followed by a break (token 0)."""
+    """Tokens of some documents, every document followed by a break (0). Words are numbered within the shard; characters
+    are their code points."""
 
     def __init__(self, by_character: bool):
         self.by_character = by_character
-        self.vocabulary: dict = {}
+        self.vocabulary: dict = defaultdict(count(1).__next__)
         self.arrays: list[np.ndarray] = []
         self.docs: list[int] = []
         self.size = 0
 
-    def add(self, doc: int, tokens: list) -> None:
-        number = self.vocabulary.setdefault
-        self.arrays += [np.array([number(t, len(self.vocabulary) + 1) for t in tokens], np.int32), np.zeros(1, np.int32)]
+    def add(self, doc: int, tokens) -> None:
+        if not self.by_character:
+            tokens = np.fromiter(map(self.vocabulary.__getitem__, tokens), np.int32, len(tokens))
+        self.arrays += [tokens, np.zeros(1, np.int32)]
         self.docs.append(doc)
         self.size += len(tokens) + 1
 
@@ -119,8 +119,13 @@ class Shard:
 
     def as_in(self, probe: Probe, tokens: np.ndarray) -> np.ndarray:
         """The tokens by the numbers of the probe; 0 for those that occur in no evaluation text of it."""
-        known = probe.vocabulary.get
-        return np.array([0, *[known(t, 0) for t in self.vocabulary]], np.int32)[tokens]
+        if self.by_character:
+            table = np.zeros(sys.maxunicode + 1, np.int32)
+            table[list(probe.vocabulary)] = list(probe.vocabulary.values())
+        else:
+            known = probe.vocabulary.get
+            table = np.array([0, *[known(t, 0) for t in self.vocabulary]], np.int32)
+        return table[tokens]
 
     def starts(self) -> np.ndarray:
         return np.cumsum([0] + [len(a) + 1 for a in self.arrays[::2]])
@@ -250,7 +255,7 @@ def _look_up(blocks: list, kinds: Sequence[tuple[bool, int]], shard_tokens: int)
             for i, x in enumerate(batch.column(1)):
                 text = x.as_py()
                 for by, least in kinds:
-                    tokens = tokenized(text, by)
+                    tokens = letters(text) if by else words(text)
                     if len(tokens) < least:
                         continue
                     if held[by].size and held[by].size + len(tokens) > shard_tokens:
