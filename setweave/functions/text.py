@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -56,6 +56,22 @@ def stopped(name: Column, words: Sequence[str] = STOPWORDS, phrases: Sequence[st
     return F.coalesce(bad, F.lit(False))
 
 
+def stopword_files(lines: DataFrame, line: str = "value") -> DataFrame:
+    """``word``: the stop-words of files with one a line, trimmed and lower-cased, each once."""
+    return lines.select(F.lower(F.trim(line)).alias("word")).where("word <> ''").distinct()
+
+
+def not_stopped(names: DataFrame, words: DataFrame, name: str = "entity", phrases: Sequence[str] = ()) -> DataFrame:
+    """Rows whose name is none of ``words`` (a table, of any size) nor part of any of the phrases; null names go."""
+    kept = names.where(F.col(name).isNotNull() & ~stopped(F.col(name), (), phrases))
+    return kept.join(words.select(F.col("word").alias("_word")).distinct(), F.lower(F.trim(name)) == F.col("_word"), "left_anti")
+
+
+def name_tokens(name: Column) -> Column:
+    """The tokens of a name: cut at each single space, so that two spaces in a row have an empty one between them."""
+    return F.split(name, " ", -1)
+
+
 _HAN = r"\x{4E00}-\x{9FFF}"
 # The letters of each language with spaces, and of each without.
 SPACED = {"en": "A-Za-z", "pt": "A-Za-zÁÂÃÀÇÉÊÍÓÔÕÚáâãàçéêíóôõú", "fr": "A-Za-z", "it": "A-IL-VZa-il-vz", "es": "A-Za-zÑñ", "de": "A-Za-zÄÖÜäöüß"}
@@ -72,6 +88,11 @@ def language_pattern(lang: str) -> str:
     return rf"[0-9{SOLID[lang]}]+" if lang in SOLID else UNIVERSAL
 
 
+def combined_language(fetch: str, extract: str) -> tuple[str, str]:
+    """The language that pages are asked for in, and the pattern of contents of the one that they are extracted in."""
+    return fetch, language_pattern(extract)
+
+
 def in_language(name: Column, lang: str) -> Column:
     """Whether all of a name is a content of the language; null is in none."""
     return F.coalesce(name.rlike(rf"^(?:{language_pattern(lang)})\z"), F.lit(False))

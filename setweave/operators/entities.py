@@ -136,20 +136,35 @@ def unique_relations(df: DataFrame, kind: int) -> DataFrame:
     return firsts.join(names, F.col("arg2").eqNullSafe(F.col("_arg")) & (F.col("_rank") <= F.col("rank")), "left_anti")
 
 
+def _spread(weight: Column, least: Column, most: Column, seeds: Column | None) -> Column:
+    w = weight if seeds is None else F.when(seeds, most + weight * TINY).otherwise(weight)
+    return (w - least) / (most + F.abs(most) * TINY - least)
+
+
+def _for_length(score: Column, n: Column, mean: Column, sigma: Column) -> Column:
+    p = gaussian(n, mean, sigma)
+    return F.when(sigma == 0, score).when(p < MIN_LENGTH_PROBABILITY, 0.0).otherwise(score + p * TINY)
+
+
 def assign_score(df: DataFrame, seeds: Column | None = None) -> DataFrame:
     """``score`` in [0, 1) from weights; entities for which ``seeds`` holds go above all others."""
     spread = _whole(df, _min=F.min("weight") - TINY, _max=F.max("weight"))
-    w = F.col("weight") if seeds is None else F.when(seeds, F.col("_max") + F.col("weight") * TINY).otherwise(F.col("weight"))
-    return spread.withColumn("score", (w - F.col("_min")) / (F.col("_max") + F.abs("_max") * TINY - F.col("_min"))).drop("_min", "_max")
+    return spread.withColumn("score", _spread(F.col("weight"), F.col("_min"), F.col("_max"), seeds)).drop("_min", "_max")
 
 
 def score_by_length(df: DataFrame) -> DataFrame:
     """Scores with a small bonus for names of usual length, and 0 for very unusual ones; as they are if all are as long."""
     n = F.length("entity").cast("double")
     stats = _whole(df, _avg=F.avg(n), _sigma=F.stddev_pop(n))
-    p = gaussian(n, F.col("_avg"), F.col("_sigma"))
-    new = F.when(F.col("_sigma") == 0, F.col("score")).when(p < MIN_LENGTH_PROBABILITY, 0.0).otherwise(F.col("score") + p * TINY)
-    return stats.withColumn("score", new).drop("_avg", "_sigma")
+    return stats.withColumn("score", _for_length(F.col("score"), n, F.col("_avg"), F.col("_sigma"))).drop("_avg", "_sigma")
+
+
+def scored(df: DataFrame, seeds: Column | None = None) -> DataFrame:
+    """``assign_score`` and ``score_by_length`` at once: the list is written once, and one aggregation serves both."""
+    df, n = stash(df, "weights"), F.length("entity").cast("double")
+    whole = _whole(df, _min=F.min("weight") - TINY, _max=F.max("weight"), _avg=F.avg(n), _sigma=F.stddev_pop(n))
+    score = _for_length(_spread(F.col("weight"), F.col("_min"), F.col("_max"), seeds), n, F.col("_avg"), F.col("_sigma"))
+    return whole.withColumn("score", score).drop("_min", "_max", "_avg", "_sigma")
 
 
 def shrink(df: DataFrame, power: float = 1.0) -> DataFrame:
@@ -157,8 +172,11 @@ def shrink(df: DataFrame, power: float = 1.0) -> DataFrame:
 
     From the longest name on, a shorter one of less than ``power`` times its weight is looked for; if it has the greater
     weight, that goes to the longer name, and the shorter one gets 0. As weights move on the way, a list is one group
-    here: it takes a list that was cut to a bounded size (``reduce_size``). Names of equal length go by weight, then name.
+    here: it takes a list that was cut to a bounded size (``reduce_size``), and raises ``ValueError`` for a longer one.
+    Names of equal length go by weight, then name.
     """
+    if df.limit(KEEP_ABOVE + 1).count() > KEEP_ABOVE:
+        raise ValueError(f"a list of more than {KEEP_ABOVE} entities has to be cut by reduce_size first")
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         order = sorted(zip(rows.entity, rows.weight), key=lambda r: (-len(r[0]), -r[1], r[0]))

@@ -42,8 +42,7 @@ def name_of(seed: Seed) -> str:
 def score(weights: DataFrame, seeds: Sequence[Seed], noisy: bool) -> DataFrame:
     """``entity, weight, score, is_seed`` from weights."""
     is_seed = F.col("entity").isin([name_of(s) for s in seeds])
-    scored = E.assign_score(weights, None if noisy else is_seed)
-    return E.score_by_length(scored).withColumn("is_seed", is_seed)
+    return E.scored(weights, None if noisy else is_seed).withColumn("is_seed", is_seed)
 
 
 def expand(pages: DataFrame, seeds: Sequence[Seed], how: Expansion = Expansion(), page_seeds: Sequence[Seed] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -52,9 +52,9 @@ def bayesian_sets(facts: DataFrame, seeds: Sequence[str], log: bool = True) -> D
     Feature by feature, beta priors are set from the feature's mean over all entities; N is the number of seeds, whether
     they were extracted or not.
     """
-    cells = features(facts)
+    cells = stash(features(facts), "cells")
     seeds = list(dict.fromkeys(seeds))
-    n_entities = cells.agg(F.count_distinct("entity").alias("n_entities"))
+    n_entities = cells.groupBy("entity").agg(F.first("entity")).agg(F.count(F.lit(1)).alias("n_entities"))
     n = len(seeds)
     stats = cells.groupBy("feature").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("entity").isin(seeds)).alias("k")).crossJoin(F.broadcast(n_entities))
     mean = F.col("m") / F.col("n_entities")
@@ -125,16 +125,22 @@ def distance(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "id", "full").agg(F.coalesce(F.sqrt(F.sum(d * d)), F.lit(0.0)).alias("distance"))
 
 
-def _step(moves: DataFrame, state: DataFrame, restart: Callable[[DataFrame], DataFrame], damping: float) -> DataFrame:
-    v = moves.join(normalized(state).withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg((F.sum(F.col("p") * F.col("value")) * damping).alias("value"))
-    return restart(v)
+#: Rounds of a walk after which its state is written, so that lineage stays short.
+WRITE_EVERY = 5
 
 
-def _walk(moves: DataFrame, state: DataFrame, restart, damping: float, rounds: int, converged: float | None) -> DataFrame:
-    for _ in range(rounds):
-        new = stash(_step(moves, state, restart, damping), "state")
-        if converged is not None and distance(new, normalized(state)).first()["distance"] < converged:
+def _walk(moves: DataFrame, state: DataFrame, total: float, back: Callable[[DataFrame], DataFrame], damping: float, rounds: int, converged: float | None, next_total: Callable[[float], float] | None) -> DataFrame:
+    """Rounds of a walk from ``state`` with the sum ``total``. ``back`` adds what doesn't come along edges; the sum of the
+    next state is what ``next_total`` says, without it a sum over the written state. A state is written where it is needed
+    twice, and after some rounds."""
+    for k in range(rounds):
+        moved = moves.join(state.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg((F.sum(F.col("p") * F.col("value")) * (damping / total)).alias("value"))
+        new = back(moved)
+        if converged is not None or next_total is None or k % WRITE_EVERY == WRITE_EVERY - 1:
+            new = stash(new, "state")
+        if converged is not None and distance(new, state.withColumn("value", F.col("value") / total)).first()["distance"] < converged:
             return new
+        total = next_total(total) if next_total else new.agg(F.sum("value")).first()[0] or 1.0
         state = new
     return state
 
@@ -143,33 +149,36 @@ def random_walk(edges: DataFrame, seeds: Sequence[str], restart: float = 0.01, r
     """``id, value`` after walking from the seeds (names of nodes) with restarts there.
 
     Seeds that aren't in the graph keep their share of the start, which is lost. With ``converged`` None exactly
-    ``rounds`` rounds are made.
+    ``rounds`` rounds are made. A node's transitions add up to 1, so the sums of all rounds follow from the number of
+    seeds that the graph has.
     """
     spark = edges.sparkSession
     seeds = list(dict.fromkeys(seeds))
     start = spark.createDataFrame([(s, 1.0) for s in seeds], "id string, value double")
     share = restart / max(1, len(seeds))
+    moves = stash(transitions(stash(edges, "edges")), "moves")
+    inside = moves.where(F.col("src").isin(seeds)).agg(F.count_distinct("src")).first()[0] if seeds else 0
+    outside = share * (len(seeds) - inside)
+    mass = [float(inside)]  # of the state, within the graph
+
+    def next_total(total: float) -> float:
+        mass[0] = (1 - restart) * mass[0] / total + share * inside
+        return mass[0] + outside
 
     def back(v: DataFrame) -> DataFrame:
         again = start.select("id", F.lit(share).alias("value"))
         return v.unionByName(again).groupBy("id").agg(F.sum("value").alias("value"))
 
-    moves = stash(transitions(stash(edges, "edges")), "moves")
-    return _walk(moves, start, back, 1 - restart, rounds, converged)
+    return _walk(moves, start, float(max(1, len(seeds))), back, 1 - restart, rounds, converged, next_total)
 
 
 def page_rank(edges: DataFrame, damping: float = 0.85, rounds: int = MAX_ROUNDS, converged: float | None = CONVERGED) -> DataFrame:
     """``id, value`` of all nodes by walking from everywhere, with jumps to any node."""
-    edges = stash(edges, "edges")
-    moves = stash(transitions(edges, labelled=False), "moves")
-    start = edges.select(F.col("src").alias("id")).distinct().withColumn("value", F.lit(1.0))
-
-    def jump(v: DataFrame) -> DataFrame:
-        v = stash(v, "moved")
-        n = v.agg(F.count(F.lit(1)).alias("_n"))
-        return v.crossJoin(F.broadcast(n)).select("id", (F.col("value") + (1 - damping) / F.col("_n")).alias("value"))
-
-    return _walk(moves, start, jump, damping, rounds, converged)
+    moves = stash(transitions(stash(edges, "edges"), labelled=False), "moves")
+    start = moves.select(F.col("src").alias("id")).distinct().withColumn("value", F.lit(1.0))
+    n = moves.select("dst").distinct().count()  # each edge has its inverse, so every node is reached in every round
+    jump = (1 - damping) / max(1, n)
+    return _walk(moves, start, float(max(1, n)), lambda v: v.withColumn("value", F.col("value") + jump), damping, rounds, converged, None)
 
 
 def contents(state: DataFrame) -> DataFrame:

@@ -157,9 +157,14 @@ fine AS (SELECT doc_id, lft, rgt, n_seeds FROM good GROUP BY ALL HAVING count(DI
 _FACTS = VERIFIED + ", facts AS (SELECT doc_id, lft, rgt, name, doc_len, length(lft) + length(rgt) AS ctx_len, count(*) AS tf FROM good SEMI JOIN fine USING (doc_id, lft, rgt) GROUP BY ALL)"
 _SCORE = """, m AS (SELECT min(weight) - 1e-8 AS lo, max(weight) AS hi FROM w),
 s AS (SELECT entity, weight, entity IN (SELECT name FROM names) AS is_seed, ({w} - lo) / (hi + abs(hi) * 1e-8 - lo) AS score FROM w, m), t AS (SELECT avg(length(entity)) AS a, stddev_pop(length(entity)) AS d FROM s),
-p AS (SELECT *, exp(-0.5 * pow((length(entity) - a) / d, 2)) / (d * sqrt(2 * pi())) AS p FROM s, t)
-SELECT entity, round(weight, 6) AS weight, round(CASE WHEN d = 0 THEN score WHEN p < 1e-4 THEN 0 ELSE score + p * 1e-8 END, 8) AS score, is_seed FROM p"""
+p AS (SELECT *, exp(-0.5 * pow((length(entity) - a) / d, 2)) / (d * sqrt(2 * pi())) AS p FROM s, t),
+scored AS (SELECT entity, weight, CASE WHEN d = 0 THEN score WHEN p < 1e-4 THEN 0 ELSE score + p * 1e-8 END AS score, is_seed FROM p)"""
+_SHOWN = " SELECT entity, round(weight, 6) AS weight, round(score, 8) AS score, is_seed FROM scored"
 _CLEAN = "CASE WHEN entity IN (SELECT name FROM names) THEN hi + weight * 1e-8 ELSE weight END"
+_WLW = ", w AS (SELECT name AS entity, sum(x) AS weight FROM (SELECT name, doc_id, lft, rgt, max(ln(ctx_len) / ln(doc_len)) AS x FROM facts GROUP BY ALL) GROUP BY name)"
+#: Scored entities of an expansion with noisy seeds.
+_SCORED = _FACTS + _WLW + _SCORE.format(w="weight")
+_FIRST_SEEDS = _FACTS.replace("bodies AS (SELECT record_id AS doc_id, body, lower(body) AS low FROM warc WHERE body IS NOT NULL)", "bodies AS (SELECT record_id AS doc_id, body, lower(body) AS low FROM warc WHERE " + " OR ".join(f"contains(lower(body), {q(s.lower())})" for s in SEEDS[:8]) + ")")
 
 SQL = {
     "seed_occurrences": f'WITH {OCCURRENCES} SELECT doc_id, seed, l AS "left", r AS "right" FROM occ',
@@ -171,6 +176,9 @@ SQL = {
     "original_forms": f"""WITH {VERIFIED}, v AS (SELECT DISTINCT doc_id, lft, rgt, name, {tidy_sql('c', True)} AS written FROM good SEMI JOIN fine USING (doc_id, lft, rgt)),
 w AS (SELECT name, written, sum(CASE WHEN name = written THEN 0.1 WHEN contains(written, '-') THEN 0.5 ELSE 1.0 END) AS weight FROM v GROUP BY ALL)
 SELECT name, written, round(CAST(weight AS DOUBLE), 6) AS weight, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY weight DESC, written) AS rank FROM w) WHERE rank <= 10""",
-    "expand_set": f"WITH {_FACTS}, w AS (SELECT name AS entity, sum(x) AS weight FROM (SELECT name, doc_id, lft, rgt, max(ln(ctx_len) / ln(doc_len)) AS x FROM facts GROUP BY ALL) GROUP BY name)" + _SCORE.format(w=_CLEAN),
+    "expand_set": f"WITH {_FACTS}{_WLW}{_SCORE.format(w=_CLEAN)}{_SHOWN}",
+    "expand_two_seed_sets": f"WITH {_FIRST_SEEDS}, w AS (SELECT name AS entity, CAST(count(DISTINCT doc_id) AS DOUBLE) AS weight FROM facts GROUP BY name){_SCORE.format(w='weight')}{_SHOWN}",
+    "ranked_combos": f"""WITH {_SCORED}, r AS (SELECT entity, weight, row_number() OVER (ORDER BY weight DESC, length(entity), entity) AS k FROM scored), f AS (SELECT * FROM r WHERE k <= 16),
+c AS (SELECT a.entity || '|' || b.entity AS combination, ln(a.weight) + ln(b.weight) AS v, a.entity AS x, b.entity AS y FROM f a JOIN f b ON a.k < b.k) SELECT CAST(row_number() OVER (ORDER BY v DESC, x, y) - 1 AS INTEGER) AS pos, combination, round(v, 6) AS weight FROM c""",
     "combinations": "SELECT a.source AS item_1, b.source AS item_2, c.source AS item_3 FROM mix_targets a JOIN mix_targets b ON a.source < b.source JOIN mix_targets c ON b.source < c.source",
 }

@@ -51,8 +51,13 @@ def rank_bsw(spark, sf):
     return _rounded(R.bayesian_sets(facts(spark, sf), _seeds(spark, sf)), 5)
 
 
+#: Added before rounding: many weights of a walk end in a 5 right after the last digit shown, where the order of additions
+#: would decide.
+OFF_TIES = 1e-13
+
+
 def rank_gww(spark, sf):
-    return _rounded(R.walk_weights(facts(spark, sf), _seeds(spark, sf), rounds=ROUNDS, converged=None), 9)
+    return _rounded(R.walk_weights(facts(spark, sf), _seeds(spark, sf), rounds=ROUNDS, converged=None).withColumn("weight", F.col("weight") + OFF_TIES), 9)
 
 
 def rank_gww_converged(spark, sf):
@@ -63,6 +68,10 @@ def rank_prw(spark, sf):
     return _rounded(R.page_rank_weights(facts(spark, sf), rounds=ROUNDS, converged=None), 9)
 
 
+def rank_prw_converged(spark, sf):
+    return _rounded(R.page_rank_weights(facts(spark, sf)), 6)
+
+
 def build_graph(spark, sf):
     return R.graph(facts(spark, sf))
 
@@ -97,7 +106,7 @@ def normalize_weights(spark, sf):
     return R.normalized(R.term_frequency(facts(spark, sf)), "weight").withColumn("weight", F.round("weight", 12))
 
 
-QUERIES = {f.__name__: f for f in (rank_etf, rank_edf, rank_ewf, rank_wlw, rank_bsw, rank_gww, rank_gww_converged, rank_prw, build_graph, transition_matrix, sparse_matvec, sparse_binarize, euclid_distance, normalize_weights)}
+QUERIES = {f.__name__: f for f in (rank_etf, rank_edf, rank_ewf, rank_wlw, rank_bsw, rank_gww, rank_gww_converged, rank_prw, rank_prw_converged, build_graph, transition_matrix, sparse_matvec, sparse_binarize, euclid_distance, normalize_weights)}
 
 FACTS = f"""
 pages AS (SELECT doc_id AS doc, length(text) AS doc_len FROM documents),
@@ -120,7 +129,7 @@ def _walk_sql() -> str:
     for k in range(ROUNDS):
         steps.append(f"""s{k + 1} AS MATERIALIZED (SELECT id, sum(value) AS value FROM (SELECT dst AS id, 0.99 * sum(p * value / (SELECT sum(value) FROM s{k})) AS value FROM moves JOIN s{k} ON id = src GROUP BY dst
   UNION ALL SELECT 'c:' || entity, 0.01 / (SELECT count(*) FROM seeds) FROM seeds) GROUP BY id)""")
-    return f"WITH {FACTS}, {_SEEDS}, {_GRAPH}, " + ", ".join(steps) + f" SELECT substr(id, 3) AS entity, round(value, 9) AS weight FROM s{ROUNDS} WHERE starts_with(id, 'c:')"
+    return f"WITH {FACTS}, {_SEEDS}, {_GRAPH}, " + ", ".join(steps) + f" SELECT substr(id, 3) AS entity, round(value + {OFF_TIES}, 9) AS weight FROM s{ROUNDS} WHERE starts_with(id, 'c:')"
 
 
 def _page_rank_sql() -> str:

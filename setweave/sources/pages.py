@@ -31,41 +31,73 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return tokens(docs, id_col, text_col).groupBy("term", id_col).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-def phrases_of(spark: SparkSession, phrases: Sequence[tuple[int, str]]) -> DataFrame:
-    """``query, phrase, term, offset, n`` of numbered phrases; as small as the queries are."""
-    from re import findall
+def phrases_of(spark: SparkSession, phrases: DataFrame | Sequence[tuple[int, str]]) -> DataFrame:
+    """``query, phrase, words``: the phrases of queries, given as a table (query, text) or as pairs. A phrase is known by
+    its words; one without words is none."""
+    if not isinstance(phrases, DataFrame):
+        phrases = spark.createDataFrame(list(phrases), "query int, text string")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    return phrases.select("query", words.alias("words")).where(F.size("words") > 0).select("query", F.array_join("words", " ").alias("phrase"), "words").distinct()
 
-    rows = [(q, i, t, k, len(words)) for i, (q, p) in enumerate(phrases) if (words := findall(r"[^\W_]+", p.lower())) for k, t in enumerate(words)]
-    return spark.createDataFrame(rows, "query int, phrase int, term string, offset int, n int")
 
+def phrase_counts(docs: DataFrame, phrases: DataFrame | Sequence[tuple[int, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``phrase, id_col, tf``: how often each phrase stands on each page; phrases are given as in ``search``.
 
-def phrase_counts(docs: DataFrame, phrases: Sequence[tuple[int, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``query, phrase, id_col, tf``: how often each phrase stands on each page; many queries in one pass.
-
-    Words meet phrases by an equi-join with the (small) table of the phrases' words; a phrase stands where all its words
-    follow each other.
+    Words of pages meet words of phrases by an equi-join, each phrase once however many queries ask for it; a phrase
+    stands where all its words follow each other.
     """
-    asked = phrases_of(docs.sparkSession, phrases)
-    hits = tokens(docs, id_col, text_col).join(F.broadcast(asked), "term").select("query", "phrase", "n", id_col, (F.col("pos") - F.col("offset")).alias("at"))
-    whole = hits.groupBy("query", "phrase", "n", id_col, "at").agg(F.count(F.lit(1)).alias("k")).where("k = n")
-    return whole.groupBy("query", "phrase", id_col).agg(F.count(F.lit(1)).alias("tf"))
+    words = phrases_of(docs.sparkSession, phrases).select("phrase", "words").distinct()
+    asked = words.select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term"))
+    hits = tokens(docs, id_col, text_col).join(asked, "term").select("phrase", "n", id_col, (F.col("pos") - F.col("offset")).alias("at"))
+    whole = hits.groupBy("phrase", "n", id_col, "at").agg(F.count(F.lit(1)).alias("k")).where("k = n")
+    return whole.groupBy("phrase", id_col).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def search(docs: DataFrame, phrases: Sequence[tuple[int, str]], most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def search(docs: DataFrame, phrases: DataFrame | Sequence[tuple[int, str]], most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``query, id_col, score, rank``: the ``most`` best pages of each query, any of whose phrases they hold.
 
-    A phrase counts the root of its frequency times the square of its inverse document frequency; the sum is divided by
-    the root of the page's words. Ties go by page.
+    Queries are a table (query, text), a row per phrase, of any size, or a few pairs; all are answered in one pass over
+    the pages. A phrase counts the root of its frequency times the square of its inverse document frequency; the sum is
+    divided by the root of the page's words. Ties go by page.
     """
+    asked = phrases_of(docs.sparkSession, phrases)
     counts = phrase_counts(docs, phrases, id_col, text_col)
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    rarity = counts.groupBy("query", "phrase").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n_docs)).select("query", "phrase", (1 + F.log(F.col("n_docs") / (F.col("df") + 1))).alias("idf"))
+    rarity = counts.groupBy("phrase").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n_docs)).select("phrase", (1 + F.log(F.col("n_docs") / (F.col("df") + 1))).alias("idf"))
     length = docs.select(id_col, F.size(F.regexp_extract_all(F.lower(text_col), F.lit(WORD), F.lit(0))).alias("words"))
-    scored = counts.join(F.broadcast(rarity), ["query", "phrase"]).groupBy("query", id_col).agg(F.sum(F.sqrt("tf") * F.col("idf") * F.col("idf")).alias("sum"))
+    weighed = counts.join(rarity, "phrase").select("phrase", id_col, (F.sqrt("tf") * F.col("idf") * F.col("idf")).alias("w"))
+    scored = weighed.join(asked.select("query", "phrase"), "phrase").groupBy("query", id_col).agg(F.sum("w").alias("sum"))
     scored = scored.join(length, id_col).select("query", id_col, F.round(F.col("sum") / F.sqrt("words"), 9).alias("score"))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), id_col))).where(F.col("rank") <= most)
 
 
+def fetched(snippets: DataFrame, pages: DataFrame, url: str = "url", cache_url: str | None = None, id_col: str = "doc_id", text_col: str = "text", unique: bool = False) -> DataFrame:
+    """``url, n_results, id_col, text``: the pages of search results, each URL once, as the first page that has it.
+
+    ``pages`` has ``url``, an id and a text. Where the page isn't there, its copy in a search engine's cache
+    (``cache_url``) is taken. With ``unique`` pages that differ in nothing but case and marks from an earlier one are
+    left out. URLs of which there is no page are left out.
+    """
+    cached = F.lit(None).cast("string") if cache_url is None else F.col(cache_url)
+    wanted = snippets.where(F.col(url).isNotNull()).groupBy(F.col(url).alias("url")).agg(F.count(F.lit(1)).alias("n_results"), F.min(cached).alias("_cache"))
+    first = pages.where("url IS NOT NULL").groupBy("url").agg(F.min(F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).alias("p"))
+    got = wanted.join(first, "url", "left").select("url", "n_results", "_cache", "p")
+    if cache_url is not None:
+        copies = first.select(F.col("url").alias("_cache"), F.col("p").alias("_p"))
+        got = got.join(copies, "_cache", "left").withColumn("p", F.coalesce("p", "_p"))
+    got = got.where("p IS NOT NULL").select("url", "n_results", F.col("p.id").alias(id_col), F.col("p.text").alias("text"))
+    return got.join(first_copies(got, id_col, "text"), id_col, "left_semi").select("url", "n_results", id_col, "text") if unique else got
+
+
+# Fixed value: what a page says that stands for one a server couldn't give.
+ERROR_PAGE = "service temporarily unavailable [C:28]"
+
+
+def purged(pages: DataFrame, text_col: str = "text") -> DataFrame:
+    """Cached pages without empty ones and without those that only report an error."""
+    return pages.where((F.length(text_col) > 0) & ~F.contains(F.col(text_col), F.lit(ERROR_PAGE)))
+
+
 def fingerprint(text: Column) -> Column:
     """Text without case and anything but letters, digits and ``_``."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", "")
@@ -101,6 +133,18 @@ def merged(docs: DataFrame, url_col: str = "url") -> DataFrame:
     return docs.where(F.col(url_col).isNotNull()).groupBy(key.alias("key")).agg(spelled, F.count(F.lit(1)).alias("n_pages"), F.max("weight").alias("weight")).select(F.col("s.u").alias("url"), "n_pages", "weight")
 
 
+def merged_parts(docs: DataFrame, parts: DataFrame, part: str, id_col: str = "doc_id", url_col: str = "url") -> DataFrame:
+    """``url, part``: what the pages that ``merged`` makes one have between them (patterns, snippets), each part once.
+
+    ``parts`` has the page's id and the column ``part``. ``url`` is that of ``merged``. A part is a row, so a page with
+    very many of them isn't one group.
+    """
+    key = without_www(F.col(url_col)).alias("key")
+    ids = docs.where(F.col(url_col).isNotNull()).select(id_col, key, F.col(url_col).alias("url"))
+    names = ids.groupBy("key").agg(F.min(F.struct(F.length("url").alias("n"), "url")).alias("s")).select("key", F.col("s.url").alias("url"))
+    return ids.select(id_col, "key").join(parts.where(F.col(part).isNotNull()).select(id_col, part), id_col).select("key", part).distinct().join(names, "key").select("url", part)
+
+
 HEADER = "<!-- Downloaded from: "
 
 
@@ -135,13 +179,13 @@ def charset_of(html: Column, header: Column | None = None) -> Column:
     return F.coalesce(named, F.lower(header), F.lit("utf-8")) if header is not None else F.coalesce(named, F.lit("utf-8"))
 
 
-#: Character sets that Spark's decoder knows.
-DECODABLE = ("us-ascii", "iso-8859-1", "utf-8", "utf-16be", "utf-16le", "utf-16", "utf-32")
+#: Character sets that Spark's decoder knows beside UTF-8; ASCII is read as the larger set that includes it.
+DECODABLE = {"us-ascii": "iso-8859-1", "iso-8859-1": "iso-8859-1", "utf-16be": "utf-16be", "utf-16le": "utf-16le", "utf-16": "utf-16", "utf-32": "utf-32"}
 
 
 def decoded(content: Column, charset: Column) -> Column:
-    """Binary content in its character set (unknown ones as UTF-8), trimmed."""
-    out = F.decode(content, "utf-8")
-    for c in DECODABLE:
-        out = F.when(charset == c, F.decode(content, c)).otherwise(out)
+    """Binary content in its character set, trimmed; unknown sets count as UTF-8, of which broken bytes are replaced."""
+    out = F.make_valid_utf8(content.cast("string"))
+    for name, reader in DECODABLE.items():
+        out = F.when(charset == name, F.decode(content, reader)).otherwise(out)
     return F.trim(out)

@@ -98,7 +98,7 @@ def merge_snippets(snippets: DataFrame, by: list[str] = ()) -> DataFrame:
     all different summaries, at most once each."""
     size = lambda c, sign: F.min(F.struct((F.length(c) * sign).alias("n"), F.col(c).alias("v"))).alias(c)
     keyed = snippets.where("url IS NOT NULL").withColumn("_key", without_www(F.col("url")))
-    got = keyed.groupBy(*by, "_key").agg(F.min("rank").alias("rank"), size("url", 1), size("title", -1), F.count_distinct("summary").alias("n_summaries"))
+    got = keyed.groupBy(*by, "_key").agg(F.min("rank").alias("rank"), size("url", 1), size("title", -1), F.count_distinct(F.md5("summary")).alias("n_summaries"))
     return got.select(*by, "rank", F.col("url.v").alias("url"), F.col("title.v").alias("title"), "n_summaries")
 
 

@@ -42,3 +42,11 @@ def phrase_query(phrase: Column) -> Column:
     """A quoted phrase in the batch search's language: an ordered window of its words, punctuation as spaces."""
     words = F.trim(F.regexp_replace(F.regexp_replace(phrase, r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
     return F.concat(F.lit("#1("), words, F.lit(")"))
+
+
+def batch_document(queries: DataFrame, number: str = "number", text: str = "text", full_text: bool = True) -> DataFrame:
+    """``pos, line``: a batch of queries as the parameter document that a search server takes, line by line in ``pos``."""
+    each = queries.select(F.col(number).cast("bigint").alias("pos"), F.array(F.lit("<query>"), F.concat(F.lit("<number>"), F.col(number).cast("string"), F.lit("</number>")), F.concat(F.lit("<text>"), text, F.lit("</text>")), F.lit("</query>")).alias("lines"))
+    body = each.select("pos", F.posexplode("lines").alias("k", "line")).select((F.col("pos") * 4 + F.col("k") + 1).alias("pos"), "line")
+    ends = [(0, "<parameters>" + "<printDocuments>true</printDocuments>" * full_text), (2**62, "</parameters>")]
+    return body.unionByName(queries.sparkSession.createDataFrame(ends, "pos bigint, line string"))

@@ -19,7 +19,7 @@ def test_scan_and_search(spark, tmp_path):
     assert sorted(r.doc_id for r in docs.collect()) == ["a.html", "b.txt"]
     found = pages.search(docs, [(0, "new york"), (1, "York"), (2, ""), (3, "nothing")], 10)
     assert sorted((r.query, r.doc_id, r["rank"]) for r in found.collect()) == [(0, "a.html", 1), (1, "a.html", 2), (1, "b.txt", 1)]
-    tf = {(r.query, r.doc_id): r.tf for r in pages.phrase_counts(docs, [(0, "new york")]).collect()}
+    tf = {(0, r.doc_id): r.tf for r in pages.phrase_counts(docs, [(0, "new york")]).collect()}
     assert tf == {(0, "a.html"): 2}
     assert pages.search(docs.limit(0), [(0, "new")], 10).count() == 0
 
@@ -96,3 +96,58 @@ def test_expander_keeps_its_state_and_sinks(spark, tmp_path):
     assert sinks.entity_xml(x.entities).first().xml.startswith("<entity")
     with pytest.raises(KeyError):
         X.expand(df, ["bob", "cy"], X.Expansion(P.Settings(bracket=2), "NONE"))
+
+
+def test_search_takes_tables_of_queries(spark):
+    docs = spark.createDataFrame([(1, "new york is new"), (2, "york new"), (3, None), (4, "")], "doc_id bigint, text string")
+    pairs = [(7, "New York"), (7, "is"), (8, "york"), (9, "..."), (9, "none")]
+    table = spark.createDataFrame(pairs, "query bigint, text string")
+    by = lambda df: sorted((r.query, r.doc_id, r.score, r["rank"]) for r in df.collect())
+    assert by(pages.search(docs, table, 10)) == by(pages.search(docs, pairs, 10)) and {(q, d) for q, d, *_ in by(pages.search(docs, table, 10))} == {(7, 1), (8, 1), (8, 2)}
+
+
+def test_fetching_and_purging(spark):
+    found = spark.createDataFrame([("a", "ca"), ("a", "ca"), ("b", "cb"), ("c", None), (None, "x")], "url string, cache string")
+    known = spark.createDataFrame([("a", 2, "Text!"), ("a", 5, "later"), ("cb", 3, "text"), ("e", 9, "z")], "url string, doc_id bigint, text string")
+    got = lambda df: sorted((r.url, r.n_results, r.doc_id, r.text) for r in df.collect())
+    assert got(pages.fetched(found, known)) == [("a", 2, 2, "Text!")]
+    assert got(pages.fetched(found, known, cache_url="cache")) == [("a", 2, 2, "Text!"), ("b", 1, 3, "text")]
+    assert got(pages.fetched(found, known, cache_url="cache", unique=True)) == [("a", 2, 2, "Text!")]
+    rows = spark.createDataFrame([(1, ""), (2, None), (3, f"x {pages.ERROR_PAGE}"), (4, " ")], "id int, text string")
+    assert [r.id for r in pages.purged(rows).collect()] == [4]
+
+
+def test_parts_of_merged_pages(spark):
+    docs = spark.createDataFrame([(1, "http://www.a.test/x"), (2, "http://a.test/x"), (3, "http://b.test"), (4, None)], "doc_id bigint, url string")
+    parts = spark.createDataFrame([(1, "w1"), (2, "w1"), (2, "w2"), (3, None), (4, "w3")], "doc_id bigint, w string")
+    assert sorted((r.url, r.w) for r in pages.merged_parts(docs, parts, "w").collect()) == [("http://a.test/x", "w1"), ("http://a.test/x", "w2")]
+
+
+def test_decoding_by_the_detected_set(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "é".encode(), "utf-8"), (2, b"\xe9", "iso-8859-1"), (3, b"\xe9", "us-ascii"), (4, "é".encode("utf-16"), "utf-16"), (5, b"a\xff", "utf-8"), (6, b"x", "klingon"), (7, None, "utf-8")]
+    df = spark.createDataFrame(rows, "id int, content binary, charset string")
+    assert {r.id: r.t for r in df.select("id", pages.decoded(F.col("content"), F.col("charset")).alias("t")).collect()} == {1: "é", 2: "é", 3: "é", 4: "é", 5: "a\ufffd", 6: "x", 7: None}
+
+
+def test_response_document(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    from setweave.sources import sinks
+
+    scored = spark.createDataFrame([("a & b", 2.0, 0.9), ("<c>", 1.0, 0.1)], "entity string, weight double, score double")
+    saved = spark.createDataFrame([(1, "<b>[...]</b>", "a & b")], "doc bigint, wrapper string, entity string")
+    out = tmp_path / "out"
+    sinks.write_response(sinks.response_lines(scored, ["s & t"], "en", "ja", saved), str(out))
+    root = ET.fromstring("".join(p.read_text() for p in sorted(out.glob("part-*"))))
+    assert [e.text for e in root.iter("seed")] == ["s & t"] and root.find("setting/fetch-language").text == "ja"
+    assert [(e.get("rank"), e.text) for e in root.iter("entity")] == [("1", "a & b"), ("2", "<c>")] and root.find("entities").get("numEntities") == "2"
+    assert [(e.get("context"), e.text) for e in root.iter("wrapper")] == [("<b>[...]</b>", "a & b")]
+
+
+def test_batch_document(spark):
+    from setweave.sources import warc
+
+    rows = warc.batch_document(spark.createDataFrame([(0, "#1(a b)"), (1, "c")], "number int, text string")).orderBy("pos").collect()
+    assert [r.line for r in rows] == ["<parameters><printDocuments>true</printDocuments>", "<query>", "<number>0</number>", "<text>#1(a b)</text>", "</query>", "<query>", "<number>1</number>", "<text>c</text>", "</query>", "</parameters>"]

@@ -54,3 +54,12 @@ def test_languages_and_levels(spark):
 def test_gaussian(spark):
     x = spark.range(1).select(T.gaussian(F.lit(1.0), F.lit(0.0), F.lit(2.0))).first()[0]
     assert x == pytest.approx(math.exp(-0.125) / (2 * math.sqrt(2 * math.pi)))
+
+
+def test_names_and_stop_words(spark):
+    df = spark.createDataFrame([("a  b",), ("",), (None,), ("The",), ("red fox",), (" AND ",)], "entity string")
+    assert [r.t for r in df.select(T.name_tokens(F.col("entity")).alias("t")).collect()] == [["a", "", "b"], [""], None, ["The"], ["red", "fox"], ["", "AND", ""]]
+    words = T.stopword_files(spark.createDataFrame([("the ",), ("And",), ("",), ("the",)], "value string"))
+    assert sorted(r.word for r in words.collect()) == ["and", "the"]
+    assert sorted(r.entity for r in T.not_stopped(df, words, phrases=["a red fox ran"]).collect()) == ["a  b"]
+    assert T.combined_language("ja", "en") == ("ja", T.language_pattern("en"))
