@@ -230,7 +230,7 @@ def jaro(a: str, b: str) -> float:
     if not ours:
         return 0.0
     theirs = [x for x, u in zip(b, used) if u]
-    m, swapped = len(ours), sum(x != y for x, y in zip(ours, theirs)) / 2
+    m, swapped = len(ours), sum(x != y for x, y in zip(ours, theirs)) // 2
     return (m / len(a) + m / len(b) + (m - swapped) / m) / 3
 
 

@@ -86,13 +86,13 @@ def ranked(df: DataFrame, k: int, by: str = "weight") -> DataFrame:
     return top(df, k, by=by).withColumn("rank", F.row_number().over(W.orderBy(*natural_order(by))))
 
 
-def numbered(df: DataFrame, keys: Sequence[str] = (), by: str = "weight") -> DataFrame:
-    """``df`` with ``rank`` from 1 over the whole list in natural order, or over the list of each of ``keys``.
+def numbered(df: DataFrame, keys: Sequence[str] = (), by: str = "weight", order: Sequence[Column] | None = None) -> DataFrame:
+    """``df`` with ``rank`` from 1 over the whole list in natural order (or ``order``), or over the list of each of ``keys``.
 
     The order is split by range, wherever the cuts fall; a piece's ranks go on from the counts of the pieces before it,
     so ranks are exact and no task sorts a long list alone. The pieces are written once, as ranges come from a sample.
     """
-    keys, order = list(keys), natural_order(by)
+    keys, order = list(keys), list(order or natural_order(by))
     placed = stash(df.repartitionByRange(*keys, *order).withColumn("_piece", F.spark_partition_id()), "pieces")
     counts = placed.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from setweave.functions.text import language_pattern
+from setweave.operators.entities import numbered
 from setweave.operators.expansion import _order
 
 OPTIONAL = "[.·・-]"
@@ -26,6 +29,66 @@ def answer_patterns(lines: DataFrame, line: str) -> DataFrame:
     return lines.where(F.size(parts) == 2).select(parts[0].alias("qid"), parts[1].alias("pattern"))
 
 
+def true_answers(lines: DataFrame, line: str = "line", pos: str = "pos", by: Sequence[str] = ()) -> DataFrame:
+    """``by, qid, answer``: a file of answers, where a line ``# N`` begins question N, ``Q:`` lines and blank ones are
+    skipped, and an answer is what stands before the first comma. ``pos`` is the order of lines, ``by`` names the file."""
+    text = F.trim(line)
+    marked = lines.withColumn("_q", F.when(text.startswith("# "), F.trim(F.substring(text, F.lit(3), F.length(text)))))
+    qid = F.last("_q", True).over(W.partitionBy(*by).orderBy(pos))
+    rest = marked.withColumn("qid", qid).where(F.col("_q").isNull() & (text != "") & ~text.startswith("Q:"))
+    return rest.select(*by, "qid", F.trim(F.split(text, ",")[0]).alias("answer"))
+
+
+def run_answers(lines: DataFrame, line: str = "line") -> DataFrame:
+    """``qid, answer``: lines of a system's run, of four fields (question, any two, answer); lines of Q0, empty answers
+    (``NIL``) and single characters are skipped, quotes and a last comma go."""
+    f = F.split(line, r"\s+", 4)
+    raw = lines.where(F.size(f) == 4).select(f[0].alias("qid"), f[1].alias("second"), F.trim(f[3]).alias("answer")).where("second <> 'Q0' AND answer <> 'NIL' AND length(answer) <> 1")
+    return raw.select("qid", F.lower(F.regexp_replace(F.trim(F.regexp_replace("answer", "[ _]+", " ")), "``|''|,$", "")).alias("answer"))
+
+
+def question_files(pages: DataFrame, xml: str = "xml") -> DataFrame:
+    """``question, qid, focus, types, keywords, answers`` of questions' XML files beside their other columns; other files
+    than those of list questions give no row. Keywords and answers are arrays of (value, weight), the greatest first."""
+    root = "AnswerGenerator/RequestObject"
+    path = lambda x: F.expr(f"xpath(`{xml}`, '/{x}')")
+    one = lambda x: F.expr(f"xpath_string(`{xml}`, '/{x}')")
+    weighed = lambda v, w: F.reverse(F.array_sort(F.transform(F.arrays_zip(v.alias("value"), w.alias("weight")), lambda x: F.struct(x["weight"].cast("double").alias("weight"), x["value"].alias("value")))))
+    turned = lambda a: F.transform(a, lambda x: F.struct(x["value"].alias("value"), x["weight"].alias("weight")))
+    term, fill = f"{root}/Keywords/Keyword/Term", "AnswerGenerator/RequestFillSet/RequestFill/Answer"
+    keep = [c for c in pages.columns if c != xml]
+    types = F.flatten(F.transform(path(f"{root}/AnswerTypeInfo/AnswerType/text()"), lambda t: F.split(t, "->")))
+    rows = pages.where(one(f"{root}/Question/@type") == "list").select(
+        *keep, one(f"{root}/Question").alias("question"), one(f"{root}/Question/@trecID").alias("qid"), one(f"{root}/AnswerTypeInfo/Focus").alias("focus"), types.alias("types"),
+        turned(weighed(path(f"{term}/text()"), path(f"{term}/@relFrequency"))).alias("keywords"), turned(weighed(path(f"{fill}/text()"), path(f"{fill}/@confidence"))).alias("answers"),
+    )
+    first = F.transform("keywords", lambda x: x["value"])
+    return rows.withColumn("keywords", F.filter("keywords", lambda x, i: F.array_position(first, x["value"]) == i + 1))
+
+
+def gold_files(spark: SparkSession, folder: str, lang: str | None = None, suffix: str = ".txt") -> DataFrame:
+    """``lang, name, gold_id, pos, synonym``: the gold lists of a folder with a folder for each language; a file is a list,
+    a line an entity. ``gold_id`` counts the lines of a file from 0."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    named = text.select(F.url_decode(F.element_at(parts, -2)).alias("lang"), F.url_decode(F.element_at(parts, -1)).alias("name"), F.posexplode(F.split("value", "\r?\n")).alias("gold_id", "line"))
+    named = named.withColumn("name", F.substring("name", F.lit(1), F.length("name") - len(suffix)))
+    return gold_of_lines(named if lang is None else named.where(F.col("lang") == lang), ["lang", "name", "gold_id"], "line")
+
+
+def top_answers(answers: DataFrame, k: int) -> DataFrame:
+    """``qid, item, weight``: the ``k`` best answers of each question, as seeds of an expansion."""
+    order = W.partitionBy("qid").orderBy(F.col("weight").desc(), "item")
+    return answers.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).drop("_k")
+
+
+def hints(keywords: DataFrame, k: int = 3) -> DataFrame:
+    """``qid, hint``: the ``k`` weightiest keywords of each question (qid, keyword, weight), the least of them first."""
+    order = W.partitionBy("qid").orderBy(F.col("weight").desc(), "keyword")
+    best = keywords.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k)
+    return best.groupBy("qid").agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("_k", "keyword")))), lambda x: x["keyword"]), " ").alias("hint"))
+
+
 def synonyms(name: Column) -> Column:
     """What a gold entity's name may be written as: lower-cased, hyphens as spaces; with and without optional characters;
     English plurals and article where there is a Latin letter."""
@@ -125,23 +188,29 @@ def answer_top(a: DataFrame, share: float) -> DataFrame:
 
 def match_answers(answers: DataFrame, patterns: DataFrame) -> DataFrame:
     """``qid, item, weight, rank, correct``: in the order of a question's list, an answer is right if it matches one of its
-    patterns in full that no answer before has used. A question's list is one group of it; lists are result lists."""
-    wanted = patterns.groupBy("qid").agg(F.sort_array(F.collect_set("pattern")).alias("patterns"))
+    patterns in full, whatever the case, that no answer before has used; of several it uses the first by name.
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        import re
+    Ranks come from range pieces. Of the answers that match a pattern only the first few, as many as the question has
+    patterns, can be the one that uses it, so no more than that come together for a question.
+    """
+    ranked = numbered(answers.select("qid", "item", "weight"), ["qid"], order=[F.col("weight").desc(), F.col("item")]).withColumn("rank", F.col("rank").cast("int"))
+    wanted = patterns.select("qid", "pattern").distinct()
+    wanted = wanted.join(wanted.groupBy("qid").agg(F.count(F.lit(1)).alias("most")), "qid")
+    hits = ranked.join(wanted, "qid").where(F.expr("item RLIKE concat('(?is)^(?:', pattern, ')\\\\z')"))
+    nth = F.row_number().over(W.partitionBy("qid", "pattern").orderBy("rank"))
+    few = hits.withColumn("nth", nth).where("nth <= most").select("qid", "rank", "pattern")
 
-        rows = rows.sort_values(["weight", "item"], ascending=[False, True])
-        left = list(rows.patterns.iloc[0]) if rows.patterns.iloc[0] is not None else []
-        correct = []
-        for item in rows["item"]:
-            hit = next((p for p in left if re.fullmatch(p, item, re.I)), None)
-            if hit is not None:
-                left.remove(hit)
-            correct.append(hit is not None)
-        return pd.DataFrame({"qid": rows.qid, "item": rows["item"], "weight": rows.weight, "rank": np.arange(1, len(rows) + 1), "correct": correct})
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        used, right = set(), []
+        for rank, group in rows.sort_values(["rank", "pattern"]).groupby("rank", sort=True):
+            free = next((p for p in group.pattern if p not in used), None)
+            if free is not None:
+                used.add(free)
+                right.append(rank)
+        return pd.DataFrame({"qid": [rows.qid.iloc[0]] * len(right), "rank": np.array(right, "int32")})
 
-    return answers.join(wanted, "qid", "left").groupBy("qid").applyInPandas(walk, "qid string, item string, weight double, rank int, correct boolean")
+    right = few.groupBy("qid").applyInPandas(walk, "qid string, rank int").withColumn("hit", F.lit(True))
+    return ranked.join(right, ["qid", "rank"], "left").select("qid", "item", "weight", "rank", F.coalesce("hit", F.lit(False)).alias("correct"))
 
 
 def rank_metrics(judged: DataFrame, n_gold: DataFrame) -> DataFrame:
@@ -207,6 +276,8 @@ def hybrid(method: str, own: DataFrame, other: DataFrame, default: float = 1e-3)
         return answer_intersect(own, other)
     if method == "UNION":
         return answer_union(own, other, default)
+    if method == "METHOD1":  # what one list lacks doesn't lessen the other's weight
+        return answer_union(own, other, 1.0)
     raise ValueError(f"no method {method}")
 
 
@@ -228,6 +299,67 @@ def prefix_likelihood(words: DataFrame, word: str = "word", n: str = "n") -> Dat
     return child.join(counts, "prefix").join(parents, "parent").groupBy("word").agg(F.sum(F.log(F.col("n") / F.col("m"))).alias("log_likelihood"))
 
 
+def likely_strings(words: DataFrame, threshold: float, prefixes: bool = False, word: str = "word", n: str = "n") -> DataFrame:
+    """``string, probability``: the strings of which at least the share ``threshold`` of all counted words begins with
+    them; with ``prefixes`` the longest beginnings of which that holds, whether words or not."""
+    counts = prefix_counts(words, word, n)
+    total = counts.where("prefix = ''").select(F.col("n").alias("_total"))
+    likely = counts.crossJoin(F.broadcast(total)).select(F.col("prefix").alias("string"), (F.col("n") / F.col("_total")).alias("probability")).where(F.col("probability") >= threshold)
+    if not prefixes:
+        return likely.join(words.select(F.col(word).alias("string")).distinct(), "string", "left_semi")
+    longer = likely.where("string <> ''").select(F.substring("string", F.lit(1), F.length("string") - 1).alias("string")).distinct()
+    return likely.where("string <> ''").join(longer, "string", "left_anti")
+
+
+def string_counts(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: str = "text", word: str = "word") -> DataFrame:
+    """``id_col, word, n``: how often each word stands in each text, within words too and overlapping ones each.
+
+    Of a few words those of one length are looked for at once, by one expression that takes no text, so that every place
+    counts. Of many, texts are cut into all pieces of the lengths that words have, which meet the words by an equi-join.
+    """
+    wanted = words.select(F.col(word).alias("word")).where("word <> ''").distinct()
+    few = [r.word for r in wanted.limit(FEW_WORDS + 1).collect()]
+    if len(few) <= FEW_WORDS:
+        by: dict[int, list[str]] = {}
+        for w in few:
+            by.setdefault(len(w), []).append(w)
+        found = [F.regexp_extract_all(text_col, F.lit(f"(?=({'|'.join(map(re.escape, sorted(ws)))}))"), F.lit(1)) for ws in by.values()] or [F.array().cast("array<string>")]
+        pieces = docs.select(id_col, F.explode(F.flatten(F.array(*found))).alias("word"))
+        return pieces.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"))
+    lengths = sorted(r.n for r in wanted.select(F.length("word").alias("n")).distinct().collect())
+    sized = docs.select(id_col, F.col(text_col).alias("_t"), F.explode(F.array(*map(F.lit, lengths))).alias("_n")).where(F.length("_t") >= F.col("_n"))
+    pieces = sized.select(id_col, F.explode(F.transform(F.sequence(F.lit(1), F.length("_t") - F.col("_n") + 1), lambda i: F.substring("_t", i, F.col("_n")))).alias("word"))
+    return pieces.join(wanted, "word", "left_semi").groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Words that one expression per length looks for.
+FEW_WORDS = 1000
+
+
+def any_of_pattern(words: Sequence[str]) -> str:
+    """A regular expression that one of the words matches in full, with common beginnings written once."""
+
+    def group(rest: list[str]) -> str:
+        by: dict[str, list[str]] = {}
+        for w in rest:
+            if w:
+                by.setdefault(w[0], []).append(w[1:])
+        inner = "|".join(re.escape(c) + group(tails) for c, tails in sorted(by.items()))
+        return "" if not by else f"(?:{inner})" + "?" * ("" in rest)
+
+    return group(sorted(set(words)))
+
+
+def with_dictionary(relations: DataFrame, dictionary: DataFrame, line: str = "line", lang: str = "en") -> DataFrame:
+    """``relation``: the pairs ``a::b`` of which b is in a dictionary, and a pair for each acronym that it explains.
+
+    A dictionary's line begins with a name in the language; ``(ABC)`` at its end is the name's acronym.
+    """
+    found = dictionary.select(F.trim(F.regexp_extract(line, language_pattern(lang), 0)).alias("name"), F.regexp_extract(line, r"\(([A-Z]+)\)$", 1).alias("short")).where("name <> ''")
+    known = relations.where(F.col("relation").contains("::")).select("relation", F.split("relation", "::")[1].alias("name")).join(found.select("name").distinct(), "name", "left_semi").select(F.trim("relation").alias("relation"))
+    return known.unionByName(found.where("short <> ''").select(F.concat_ws("::", "short", "name").alias("relation"))).distinct()
+
+
 def relation_cross(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """``key, relation``: pairs ``a::b`` of the names that two gold lists have for the same entity."""
     return a.select(key, F.col("name").alias("x")).join(b.select(key, F.col("name").alias("y")), key).select(key, F.concat_ws("::", "x", "y").alias("relation"))

@@ -38,9 +38,19 @@ def phrase_pattern(query: str) -> str:
     return between.join(re.escape(w) for w in words)
 
 
+def around(a: int, b: int, taken: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of the stretch from ``a`` to ``b`` without those that are taken."""
+    left = []
+    for c, d in sorted(x for x in taken if x[0] < b and a < x[1]):
+        if a < c:
+            left.append((a, c))
+        a = max(a, d)
+    return [*left, (a, b)] if a < b else left
+
+
 def annotate(texts: DataFrame, sources: Sequence[str], targets: Sequence[str], keys: Sequence[str] = ("doc_id", "excerpt"), text_col: str = "text") -> DataFrame:
-    """``keys, kind, start, end``: where sources and targets stand, trimmed of punctuation; what overlaps an earlier
-    annotation (sources first, then as they stand in the lists) is left out."""
+    """``keys, kind, start, end``: where sources and targets stand, trimmed of punctuation; what overlaps earlier
+    annotations (sources first, then as they stand in the lists) is cut around them."""
     patterns = [(kind, re.compile(phrase_pattern(p), re.I)) for kind, ps in (("source", sources), ("target", targets)) for p in ps]
     edge = re.compile(f"^{T.PUNCT}+|{T.PUNCT}+$")
     schema = texts.select(*keys).schema
@@ -53,16 +63,15 @@ def annotate(texts: DataFrame, sources: Sequence[str], targets: Sequence[str], k
                 text = x.as_py()
                 for kind, p in patterns:
                     for m in p.finditer(text):
-                        a, b = m.span()
-                        core = edge.sub("", m.group())
-                        a += m.group().find(core) if core else 0
-                        b = a + len(core) if core else b
-                        if a < b and all(b <= c or d <= a for c, d in taken):
-                            taken.append((a, b))
-                            at.append(i)
-                            kinds.append(kind)
-                            starts.append(a)
-                            ends.append(b)
+                        for a, b in around(*m.span(), taken):
+                            core = edge.sub("", text[a:b])
+                            if core:
+                                a += text[a:b].find(core)
+                                taken.append((a, a + len(core)))
+                                at.append(i)
+                                kinds.append(kind)
+                                starts.append(a)
+                                ends.append(a + len(core))
             if at:
                 where = pa.array(at)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(where) for k in range(len(keys))), pa.array(kinds), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], [*keys, "kind", "start", "end"])
@@ -234,3 +243,18 @@ def legacy_scores(found: DataFrame, n_snippets: int, n_excerpts: int) -> DataFra
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     score = ratio("cf", zero("t_cf")) + ratio("csf", F.lit(n_snippets)) + ratio("ctf", F.lit(n_snippets)) + ratio("cef", F.lit(n_excerpts)) + F.log(F.col("dist") / F.col("t_dist")) - ratio("sf", zero("t_sf"))
     return per.crossJoin(F.broadcast(logs)).select("entity", score.alias("score"))
+
+
+def collapsed(scores: DataFrame) -> DataFrame:
+    """``entity, score`` without names that are a part of a name before them in the order of scores (then of names).
+
+    As a part of a part is a part, it doesn't matter whether the longer name stays itself. Every name gives its parts, of
+    which only the first owner is kept, so names meet by an equi-join.
+    """
+    rank = F.struct((-F.col("score")).alias("s"), F.col("entity").alias("e"))
+    n = F.length("entity")
+    ends = lambda i: F.sequence(i, n)
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(ends(i), lambda j: F.substring("entity", i, j - i + 1))))
+    owners = scores.where("entity <> ''").select(F.explode(F.filter(F.array_distinct(parts), lambda p: p != F.col("entity"))).alias("part"), rank.alias("r")).groupBy("part").agg(F.min("r").alias("r"))
+    joined = scores.join(owners, scores["entity"] == owners["part"], "left")
+    return joined.where(F.col("r").isNull() | (F.col("r") >= rank)).select("entity", "score")

@@ -146,7 +146,7 @@ SQL = {
     "entity_difference": _W + "SELECT entity, round(weight, 9) AS weight FROM b ANTI JOIN a USING (entity)",
     "entity_filters": _W + "SELECT 'absolute' AS kind, entity FROM a WHERE weight >= 10 UNION ALL SELECT 'relative', entity FROM a WHERE weight >= 0.5 * (SELECT max(weight) FROM a) UNION ALL SELECT 'mean', entity FROM a WHERE weight >= (SELECT avg(weight) FROM a)",
     "top_entities": _W + "SELECT entity FROM a WHERE weight >= 1 ORDER BY weight DESC, length(entity), entity LIMIT 100",
-    "entity_order": _W + "SELECT CAST(row_number() OVER (ORDER BY weight DESC, length(entity), entity) AS INTEGER) AS rank, entity FROM b ORDER BY 1 LIMIT 1000",
+    "entity_order": _W + "SELECT CAST(row_number() OVER (ORDER BY weight DESC, length(entity), entity) AS INTEGER) AS rank, entity FROM b",
     "reduce_size": _W + ", r AS (SELECT *, row_number() OVER (ORDER BY weight DESC, length(entity), entity) AS k FROM a) SELECT entity, round(CASE WHEN (SELECT count(*) FROM a) > 1000 THEN weight - (SELECT weight FROM r WHERE k = 501) ELSE weight END, 9) AS weight FROM r WHERE k <= CASE WHEN (SELECT count(*) FROM a) > 1000 THEN 500 ELSE k END",
     "relation_filter": _PAIRS + ", x AS (SELECT *, row_number() OVER (PARTITION BY arg1 ORDER BY rank) AS k1, row_number() OVER (PARTITION BY arg2 ORDER BY rank) AS k2 FROM p) SELECT 1 AS kind, arg1, arg2 FROM x WHERE k1 = 1 UNION ALL SELECT 2, arg1, arg2 FROM x WHERE k2 = 1",
     "assign_score": _W + ", " + _SCORED.format(w="CASE WHEN length(entity) <= 6 THEN hi + weight * 1e-8 ELSE weight END") + " SELECT entity, round(score, 9) AS score FROM z",

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from setweave.functions import text as T
 from setweave.operators import entities as E
 from setweave.operators import evaluation as V
 from setweave.operators import expansion as X
 from setweave.plans.expansion_queries import SEEDS, TWO, pages
 from setweave.plans.ranking_queries import FACTS, facts
-from setweave.plans.text_queries import load
-
-LONGEST = 1000  # entities of a result list in the SQL; the queries take all
+from setweave.plans.text_queries import load, q
+from setweave.runtime import scratch_path
 
 
 def lists(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,8 +122,59 @@ def answer_topk(spark, sf):
 
 
 def qa_hybrid(spark, sf):
-    out = [V.hybrid(m, _own(spark, sf), _other(spark, sf)).select(F.lit(m).alias("method"), "qid", F.lower("item").alias("item"), "weight") for m in ("OWN", "OTHER", "INTERSECT", "UNION")]
-    return _r(out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]), "weight")
+    out = [V.hybrid(m, _own(spark, sf), _other(spark, sf)).select(F.lit(m).alias("method"), "qid", F.lower("item").alias("item"), "weight") for m in ("OWN", "OTHER", "INTERSECT", "UNION", "METHOD1")]
+    return _r(reduce(DataFrame.unionByName, out), "weight")
+
+
+def qa_seeds(spark, sf):
+    """The two best answers of each question, as seeds."""
+    return _r(V.top_answers(_own(spark, sf), 2), "weight")
+
+
+def qa_hints(spark, sf):
+    """Three hints of each question: the most frequent words of its titles."""
+    word = F.explode(F.regexp_extract_all(F.lower("title"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("keyword")
+    words = load(spark, sf, "warc").where("query_idx IS NOT NULL").select(F.col("query_idx").cast("string").alias("qid"), word).groupBy("qid", "keyword").agg(F.count(F.lit(1)).alias("weight"))
+    return V.hints(words)
+
+
+def _question_xml() -> Column:
+    """A question's file made of an evaluation item."""
+    text = T.escape_entities(F.regexp_replace("text", r"[\x00-\x1F]+", " "))
+    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    terms = F.array_join(F.transform(words, lambda w, i: F.concat(F.lit('<Keyword><Term relFrequency="'), (1 / (i + 2)).cast("string"), F.lit('">'), w, F.lit("</Term></Keyword>"))), "")
+    answers = F.array_join(F.transform(words, lambda w, i: F.concat(F.lit('<RequestFill><Answer confidence="'), (i % 3).cast("string"), F.lit('">'), w, F.lit("</Answer></RequestFill>"))), "")
+    kind = F.when(F.col("item_id") % 4 == 0, "factoid").otherwise("list")
+    return F.concat(F.lit('<AnswerGenerator><RequestObject><Question type="'), kind, F.lit('" trecID="'), F.col("item_id").cast("string"), F.lit('">'), text, F.lit("</Question><AnswerTypeInfo><AnswerType>A-&gt;B</AnswerType><Focus>f</Focus></AnswerTypeInfo><Keywords>"), terms, F.lit("</Keywords></RequestObject><RequestFillSet>"), answers, F.lit("</RequestFillSet></AnswerGenerator>"))
+
+
+def load_questions(spark, sf):
+    """Questions' files, each made of an evaluation item: its keywords and answers, by weight."""
+    found = V.question_files(load(spark, sf, "eval_items").select("item_id", _question_xml().alias("xml")))
+    values = lambda c: F.array_join(F.transform(c, lambda x: x["value"]), "|")
+    return found.select("item_id", "qid", "focus", F.array_join("types", "|").alias("types"), F.size("keywords").alias("n_keywords"), F.size("answers").alias("n_answers"), values("answers").alias("answers"))
+
+
+def load_runs(spark, sf):
+    """A system's run, of which every result is a line."""
+    line = F.concat_ws(" ", "query_idx", F.when(F.col("rank") == 1, "Q0").otherwise("r"), "rank", "title")
+    return V.run_answers(load(spark, sf, "warc").where("query_idx IS NOT NULL AND rank IS NOT NULL").select(line.alias("line")))
+
+
+def load_answers(spark, sf):
+    """A file of answers for each saved file: its first line is the question, the others are answers."""
+    lines = load(spark, sf, "wrapper_files").select("file_id", F.posexplode(F.split("payload", "\r?\n")).alias("pos", "text"))
+    text = F.regexp_replace("text", r"^\s+|\s+$", "")
+    line = F.when(F.col("pos") == 0, F.concat(F.lit("# "), F.col("file_id").cast("string"))).otherwise(text)
+    return V.true_answers(lines.select("file_id", "pos", line.alias("line")), by=["file_id"])
+
+
+def gold_discovery(spark, sf):
+    """Gold lists found in a folder with a folder for each language: the documents of a language, as one list of lines."""
+    folder = scratch_path(spark, "gold")
+    rows = load(spark, sf, "documents").where("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.regexp_replace("text", r"[\r\n]+", " ").alias("line"))
+    rows.repartition("lang").write.partitionBy("lang").text(folder)
+    return V.gold_files(spark, folder).groupBy("lang").agg(F.count_distinct("name", "gold_id").alias("n_gold"), F.count(F.lit(1)).alias("n_synonyms")).withColumn("lang", F.replace("lang", F.lit("lang="), F.lit("")))
 
 
 def _patterns(spark, sf) -> DataFrame:
@@ -149,11 +202,11 @@ def stat_metrics(spark, sf):
 
 
 def threshold_sweep(spark, sf):
-    return _r(V.threshold_sweep(_judged(spark, sf), _n_right(spark, sf), 100), "threshold", "precision", "recall", "f1")
+    return _r(V.threshold_sweep(_judged(spark, sf), _n_right(spark, sf)), "threshold", "precision", "recall", "f1")
 
 
 def cv_threshold(spark, sf):
-    return _r(V.cross_validated(_judged(spark, sf), _n_right(spark, sf), steps=100), "threshold", "f1")
+    return _r(V.cross_validated(_judged(spark, sf), _n_right(spark, sf)), "threshold", "f1")
 
 
 def translation_accuracy(spark, sf):
@@ -169,6 +222,39 @@ def prefix_likelihood(spark, sf):
     return _r(V.prefix_likelihood(words), "log_likelihood")
 
 
+def _word_counts(spark, sf) -> DataFrame:
+    return facts(spark, sf).groupBy(F.col("entity").alias("word")).agg(F.sum("tf").alias("n")).where("n IS NOT NULL")
+
+
+def likely_strings(spark, sf):
+    return _r(V.likely_strings(_word_counts(spark, sf), 2e-4), "probability")
+
+
+def likely_prefixes(spark, sf):
+    return _r(V.likely_strings(_word_counts(spark, sf), 1e-2, prefixes=True), "probability")
+
+
+def string_counts(spark, sf):
+    """How often the sources' names stand in every document."""
+    names = load(spark, sf, "mix_targets").select(F.col("source").alias("word"))
+    return V.string_counts(load(spark, sf, "documents").select("doc_id", F.lower("text").alias("text")), names.unionByName(spark.createDataFrame([("such as",), ("in",)], "word string")))
+
+
+def trie_pattern(spark, sf):
+    """The contents that one pattern of all part names matches, and those that are such a name: the same."""
+    names = [r.p_name for r in load(spark, sf, "part").select("p_name").distinct().collect()]
+    pattern = f"^(?:{V.any_of_pattern(names)})$"
+    return load(spark, sf, "part").select("p_partkey", F.col("p_name").rlike(pattern).alias("whole"), F.concat("p_name", F.lit("x")).rlike(pattern).alias("longer"))
+
+
+def relation_dictionary(spark, sf):
+    """Pairs of contents whose second part the titles of pages begin with."""
+    relations = load(spark, sf, "extractions").where(F.col("content").contains("::")).select(F.regexp_replace("content", r"\s+", " ").alias("relation"))
+    relations = relations.select(F.concat_ws("::", F.trim(F.split("relation", "::", 2)[0]), F.trim(F.split("relation", "::", 2)[1])).alias("relation"))
+    lines = load(spark, sf, "extractions").where(~F.col("content").contains("::")).select(F.regexp_replace("content", r"\s+", " ").alias("line"))
+    return V.with_dictionary(relations, lines)
+
+
 def relation_cross(spark, sf):
     a = load(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
     b = load(spark, sf, "customer").select(F.col("c_nationkey").alias("key"), F.col("c_name").alias("name"))
@@ -200,7 +286,7 @@ def seed_trials(spark, sf):
     return out
 
 
-QUERIES = {f.__name__: f for f in (gold_synonyms, mark_correct, precision_recall, mean_avg_precision, best_f1, metrics_at_threshold, pr_at_k, merge_eval, experiment_grid, answer_intersect, answer_union, answer_topk, qa_hybrid, match_answers, stat_metrics, threshold_sweep, cv_threshold, translation_accuracy, prefix_likelihood, relation_cross, relation_verify, voted_perceptron, seed_trials)}
+QUERIES = {f.__name__: f for f in (gold_synonyms, mark_correct, precision_recall, mean_avg_precision, best_f1, metrics_at_threshold, pr_at_k, merge_eval, experiment_grid, answer_intersect, answer_union, answer_topk, qa_hybrid, qa_seeds, qa_hints, load_questions, load_runs, load_answers, gold_discovery, match_answers, stat_metrics, threshold_sweep, cv_threshold, translation_accuracy, prefix_likelihood, likely_strings, likely_prefixes, string_counts, trie_pattern, relation_dictionary, relation_cross, relation_verify, voted_perceptron, seed_trials)}
 
 
 def _synonyms(c: str) -> str:
@@ -214,7 +300,7 @@ def _synonyms(c: str) -> str:
 
 _LISTS = f"""
 best AS (SELECT list_id AS list, entity, max(wlw) AS weight FROM entity_scores WHERE list_id IS NOT NULL AND entity IS NOT NULL AND wlw IS NOT NULL AND NOT isnan(wlw) AND abs(wlw) < 1e300 GROUP BY ALL),
-ranked AS (SELECT list, entity, rank, weight / 20 AS score FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY weight DESC, length(entity), entity) AS rank FROM best) WHERE rank <= {LONGEST}),
+ranked AS (SELECT list, entity, weight / 20 AS score, row_number() OVER (PARTITION BY list ORDER BY weight DESC, length(entity), entity) AS rank FROM best),
 ids AS (SELECT list_id AS list, entity, min(entity_id) AS gold_id FROM entity_scores WHERE list_id IS NOT NULL AND entity IS NOT NULL AND edf >= 20 GROUP BY ALL),
 gold AS (SELECT list, gold_id, {_synonyms('entity')} AS synonym FROM ids),
 n_gold AS (SELECT list, count(DISTINCT gold_id) AS n_gold FROM gold GROUP BY list),
@@ -235,7 +321,35 @@ judged AS (SELECT qid, item, weight / max(weight) OVER (PARTITION BY qid) AS wei
 n_right AS (SELECT qid, count(*) FILTER (correct) + 1 AS n_gold FROM judged GROUP BY qid)
 """
 
+_W = f"WITH {FACTS}, w AS (SELECT entity AS word, sum(tf) AS n FROM facts GROUP BY entity HAVING sum(tf) IS NOT NULL), c AS (SELECT substr(word, 1, k) AS string, sum(n) / (SELECT sum(n) FROM w) AS p FROM w, unnest(range(0, length(word) + 1)) AS u(k) GROUP BY 1)"
+
 SQL = {
+    "qa_seeds": f"WITH {_ANSWERS} SELECT qid, item, round(weight, 9) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY weight DESC, item) AS k FROM own) WHERE k <= 2",
+    "qa_hints": r"""WITH w AS (SELECT CAST(query_idx AS VARCHAR) AS qid, unnest(regexp_extract_all(lower(title), '[\p{L}]+')) AS keyword FROM warc WHERE query_idx IS NOT NULL), c AS (SELECT qid, keyword, count(*) AS n FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, keyword) AS k FROM c)
+SELECT qid, string_agg(keyword, ' ' ORDER BY k DESC) AS hint FROM r WHERE k <= 3 GROUP BY qid""",
+    "load_questions": r"""WITH w AS (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_id % 4 <> 0), a AS (SELECT item_id, w, i, w[i + 1] AS v FROM w, unnest(range(0, len(w))) AS u(i))
+SELECT item_id, CAST(item_id AS VARCHAR) AS qid, 'f' AS focus, 'A|B' AS types, CAST(count(DISTINCT v) AS INTEGER) AS n_keywords, CAST(count(*) AS INTEGER) AS n_answers, string_agg(v, '|' ORDER BY i % 3 DESC, v DESC) AS answers FROM a GROUP BY item_id""",
+    "load_runs": r"""WITH l AS (SELECT CAST(query_idx AS VARCHAR) AS qid, trim(regexp_replace(title, '^[ \t\n\x0B\f\r]+', '')) AS a FROM warc WHERE query_idx IS NOT NULL AND rank IS NOT NULL AND rank <> 1 AND title IS NOT NULL)
+SELECT qid, lower(regexp_replace(trim(regexp_replace(a, '[ _]+', ' ', 'g'), ' '), '``|' || chr(39) || chr(39) || '|,$', '', 'g')) AS answer FROM l WHERE a <> 'NIL' AND length(a) <> 1""",
+    "load_answers": r"""WITH l AS (SELECT file_id, unnest(string_split(replace(payload, chr(13) || chr(10), chr(10)), chr(10))[2:]) AS line FROM wrapper_files WHERE payload IS NOT NULL), t AS (SELECT file_id, regexp_replace(line, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS line FROM l)
+SELECT file_id, CAST(file_id AS VARCHAR) AS qid, trim(split_part(line, ',', 1), ' ') AS answer FROM t WHERE line <> '' AND NOT starts_with(line, 'Q:') AND NOT starts_with(line, '# ')""",
+    "gold_discovery": r"""WITH l AS (SELECT doc_id, lang, unnest(string_split(regexp_replace(text, '[\r\n]+', ' ', 'g'), chr(9))) AS s FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL) SELECT lang, count(DISTINCT doc_id) AS n_gold, count(*) AS n_synonyms FROM l WHERE trim(s, ' ') <> '' GROUP BY lang""",
+    "likely_strings": _W + " SELECT string, round(p, 9) AS probability FROM c WHERE p >= 2e-4 AND string IN (SELECT word FROM w)",
+    "likely_prefixes": _W + " SELECT string, round(p, 9) AS probability FROM c WHERE p >= 1e-2 AND string <> '' AND NOT EXISTS (SELECT 1 FROM c d WHERE d.p >= 1e-2 AND length(d.string) = length(c.string) + 1 AND starts_with(d.string, c.string))",
+    "string_counts": """WITH n AS (SELECT source AS word FROM mix_targets UNION ALL SELECT 'such as' UNION ALL SELECT 'in'), p AS (SELECT doc_id, word, len(list_filter(range(1, length(text) + 1), lambda i: substr(lower(text), i, length(word)) = word)) AS n FROM documents, n WHERE contains(lower(text), word))
+SELECT doc_id, word, n FROM p WHERE n > 0""",
+    "trie_pattern": "SELECT p_partkey, true AS whole, p_name || 'x' IN (SELECT p_name FROM part) AS longer FROM part",
+    "relation_dictionary": f"""WITH d AS (SELECT regexp_replace(content, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS line FROM extractions WHERE NOT contains(content, '::')), m AS (SELECT trim(regexp_extract(line, {q(T.language_pattern('en'))}), ' ') AS name, regexp_extract(line, '\\(([A-Z]+)\\)$', 1) AS short FROM d),
+r AS (SELECT regexp_replace(content, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS c FROM extractions WHERE contains(content, '::')), p AS (SELECT trim(substr(c, 1, strpos(c, '::') - 1), ' ') AS a, trim(substr(c, strpos(c, '::') + 2), ' ') AS b FROM r)
+SELECT DISTINCT trim(a || '::' || b, ' ') AS relation FROM p WHERE split_part(a || '::' || b, '::', 2) IN (SELECT name FROM m WHERE name <> '') UNION SELECT short || '::' || name FROM m WHERE short <> '' AND name <> ''""",
+    "match_answers": f"""WITH RECURSIVE {_ANSWERS}, pats AS (SELECT DISTINCT CAST(query_idx AS VARCHAR) AS qid, regexp_extract(lower(title), '^([a-z]+)', 1) || '.*' AS pattern FROM warc WHERE query_idx IS NOT NULL AND regexp_extract(lower(title), '^([a-z]+)', 1) <> ''),
+ranked AS (SELECT qid, item, CAST(row_number() OVER (PARTITION BY qid ORDER BY weight DESC, item) AS INTEGER) AS rank FROM own),
+hits AS (SELECT qid, rank, list(pattern ORDER BY pattern) AS ps FROM ranked JOIN pats USING (qid) WHERE regexp_full_match(item, pattern, 'is') GROUP BY ALL),
+nth AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS k FROM hits),
+walk AS (SELECT qid, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS INTEGER) AS rank, false AS hit FROM (SELECT DISTINCT qid FROM nth)
+  UNION ALL SELECT n.qid, n.k, CASE WHEN len(list_filter(n.ps, lambda p: NOT list_contains(w.used, p))) > 0 THEN list_append(w.used, list_filter(n.ps, lambda p: NOT list_contains(w.used, p))[1]) ELSE w.used END, n.rank, len(list_filter(n.ps, lambda p: NOT list_contains(w.used, p))) > 0 FROM walk w JOIN nth n ON n.qid = w.qid AND n.k = w.k + 1)
+SELECT qid, item, rank, coalesce(hit, false) AS correct FROM ranked LEFT JOIN (SELECT qid, rank, hit FROM walk WHERE hit) USING (qid, rank)""",
+    "experiment_grid": "WITH " + ", ".join(f"m_{f} AS (WITH {_LISTS.replace('wlw', f)} SELECT '{f}' AS feature, map FROM maps)" for f in ("log_score", "cell_value", "wlw", "gww", "edf")) + ", a AS (" + " UNION ALL ".join(f"SELECT * FROM m_{f}" for f in ("log_score", "cell_value", "wlw", "gww", "edf")) + ") SELECT coalesce(feature, 'mean') AS feature, round(avg(map), 9) AS map, count(*) AS n_lists FROM a GROUP BY ROLLUP (feature)",
     "gold_synonyms": f"SELECT content, {_synonyms('content')} AS synonym FROM (SELECT DISTINCT content FROM extractions WHERE content IS NOT NULL)",
     "mark_correct": _M + "SELECT list, entity, correct FROM marked",
     "precision_recall": _M + "SELECT list, CAST(rank AS INTEGER) AS rank, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM measured",
@@ -249,13 +363,14 @@ SELECT list, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p
     "answer_union": f"WITH {_ANSWERS} SELECT qid, item, round(coalesce(own.weight, 1e-3) * coalesce(other.weight, 1e-3), 9) AS weight FROM own FULL JOIN other USING (qid, item)",
     "answer_topk": f"WITH {_ANSWERS} SELECT qid, item, round(w, 9) AS weight FROM (SELECT qid, title AS item, weight / max(weight) OVER (PARTITION BY qid) AS w FROM raw) WHERE w >= 0.5",
     "qa_hybrid": f"""WITH {_ANSWERS} SELECT 'OWN' AS method, qid, item, round(weight, 9) AS weight FROM own UNION ALL SELECT 'OTHER', qid, item, round(weight, 9) FROM other
-UNION ALL SELECT 'INTERSECT', qid, item, round(own.weight * other.weight, 9) FROM own JOIN other USING (qid, item) UNION ALL SELECT 'UNION', qid, item, round(coalesce(own.weight, 1e-3) * coalesce(other.weight, 1e-3), 9) FROM own FULL JOIN other USING (qid, item)""",
+UNION ALL SELECT 'INTERSECT', qid, item, round(own.weight * other.weight, 9) FROM own JOIN other USING (qid, item) UNION ALL SELECT 'UNION', qid, item, round(coalesce(own.weight, 1e-3) * coalesce(other.weight, 1e-3), 9) FROM own FULL JOIN other USING (qid, item)
+UNION ALL SELECT 'METHOD1', qid, item, round(coalesce(own.weight, 1.0) * coalesce(other.weight, 1.0), 9) FROM own FULL JOIN other USING (qid, item)""",
     "stat_metrics": f"""WITH {_JUDGED}, run AS (SELECT *, count(*) FILTER (correct) OVER (PARTITION BY qid ORDER BY rank) AS hits FROM judged JOIN n_right USING (qid)), f AS (SELECT *, 2.0 * hits / (rank + n_gold) AS f1, row_number() OVER (PARTITION BY qid ORDER BY 2.0 * hits / (rank + n_gold) DESC, rank) AS k FROM run)
 SELECT qid, round(sum(CASE WHEN correct THEN hits / CAST(rank AS DOUBLE) ELSE 0 END) / max(n_gold), 9) AS avg_precision, round(max(f1), 9) AS best_f1, CAST(min(rank) FILTER (k = 1) AS INTEGER) AS best_rank FROM f GROUP BY qid""",
-    "threshold_sweep": f"""WITH {_JUDGED}, steps AS (SELECT *, least(floor(weight * 100), 100) AS step FROM judged), grid AS (SELECT unnest(range(0, 101)) AS s),
+    "threshold_sweep": f"""WITH {_JUDGED}, steps AS (SELECT *, least(floor(weight * 10000), 10000) AS step FROM judged), grid AS (SELECT unnest(range(0, 10001)) AS s),
 c AS (SELECT s, qid, count(*) AS n, count(*) FILTER (correct) AS hits FROM grid JOIN steps ON step >= s GROUP BY ALL), m AS (SELECT s, hits / CAST(n AS DOUBLE) AS p, hits / CAST(n_gold AS DOUBLE) AS r FROM c JOIN n_right USING (qid)),
 t AS (SELECT s, sum(p) AS p, sum(r) AS r, sum(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) AS f FROM m GROUP BY s)
-SELECT round(s / 100.0, 9) AS threshold, round(coalesce(p, 0) / (SELECT count(*) FROM n_right), 9) AS precision, round(coalesce(r, 0) / (SELECT count(*) FROM n_right), 9) AS recall, round(coalesce(f, 0) / (SELECT count(*) FROM n_right), 9) AS f1 FROM grid LEFT JOIN t USING (s)""",
+SELECT round(s / 10000.0, 9) AS threshold, round(coalesce(p, 0) / (SELECT count(*) FROM n_right), 9) AS precision, round(coalesce(r, 0) / (SELECT count(*) FROM n_right), 9) AS recall, round(coalesce(f, 0) / (SELECT count(*) FROM n_right), 9) AS f1 FROM grid LEFT JOIN t USING (s)""",
     "translation_accuracy": """WITH p AS (SELECT DISTINCT trim(split_part(lower(content), '::', 1), ' ') AS a, trim(substr(lower(content), strpos(content, '::') + 2), ' ') AS b FROM extractions WHERE contains(content, '::'))
 SELECT count(*) AS n, count(*) FILTER ((b, a) IN (SELECT (a, b) FROM p)) AS n_correct FROM p""",
     "prefix_likelihood": f"""WITH {FACTS}, w AS (SELECT entity AS word, sum(tf) AS n FROM facts GROUP BY entity HAVING sum(tf) IS NOT NULL), c AS (SELECT substr(word, 1, k) AS prefix, sum(n) AS n FROM w, unnest(range(0, length(word) + 1)) AS u(k) GROUP BY 1),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setweave.functions import text as T
+from setweave.operators import bilingual as B
 from setweave.operators import category as K
 from setweave.operators import entities as E
 from setweave.operators import expansion as X
@@ -85,10 +86,14 @@ def hearst_queries(spark, sf):
 
 
 def backoff_queries(spark, sf):
-    from pyspark.sql.types import StringType
+    return load(spark, sf, "extractions").select("ext_id", K.back_off(F.concat(F.lit('"'), "wrapper_id", F.lit('" '), F.regexp_replace("content", '"', ""))).alias("query"))
 
-    back = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else K.back_off(x)), StringType())
-    return load(spark, sf, "extractions").select("ext_id", back(F.concat(F.lit('"'), "wrapper_id", F.lit('" '), F.regexp_replace("content", '"', ""))).alias("query"))
+
+def general_queries(spark, sf):
+    """What the back-off asks for a category of each source: its quoted phrases and words, from both sides."""
+    sources = [r.source for r in load(spark, sf, "mix_targets").select("source").collect()]
+    rows = [(s, p, first) for s in sources for p, first in K.general_queries(f'"{s} of all" {s} list')]
+    return spark.createDataFrame(rows, "category string, phrase string, class_first boolean")
 
 
 def noisy_expand(spark, sf):
@@ -102,17 +107,38 @@ def bootstrap(spark, sf):
     return K.bootstrap(pages(spark, sf), E.top(scored, 40), WAY).withColumn("weight", F.round("weight", 8))
 
 
+_LISTS = [(p, True) for p in PHRASES]
+
+
+def category_extract(spark, sf):
+    """Instances that list phrases introduce; how sure they are is 2."""
+    got = K.extracted(_docs(spark, sf), "of", phrases=_LISTS)
+    return got.entities.select("entity", F.round("weight", 9).alias("weight"), F.lit(got.confidence).alias("confidence"))
+
+
+def category_backoff(spark, sf):
+    """No list phrase has the category, so what stands near its word counts; how sure that is is 1."""
+    got = K.extracted(_docs(spark, sf), "glayide")
+    return got.entities.select("entity", F.round("weight", 9).alias("weight"), F.lit(got.confidence).alias("confidence"))
+
+
+def _members(spark, sf) -> K.Members:
+    docs = _docs(spark, sf)
+    return K.members(docs, docs, "of", how=WAY, phrases=_LISTS, hints=False)
+
+
 def category_instances(spark, sf):
-    return K.members(spark, _docs(spark, sf), pages(spark, sf), "of", how=WAY).withColumn("weight", F.round("weight", 8))
+    found = _members(spark, sf)
+    return found.entities.select("entity", F.round("weight", 8).alias("weight"), F.lit(found.confidence).alias("confidence"))
 
 
 def category_save_wrappers(spark, sf):
-    from setweave.sources import sinks
+    return K.saved_members(_members(spark, sf)).select("doc", "wrapper", "entity", F.round("score", 8).alias("score"))
+
 
-    best = E.top(K.members(spark, _docs(spark, sf), pages(spark, sf), "of", how=WAY), 40)
-    seeds = [r.entity for r in best.collect()]
-    facts = X.facts_of(P.induce(pages(spark, sf), seeds, TWO))
-    return sinks.worthwhile(facts, X.score(R.rank(facts, seeds, "ETF"), seeds, True), 1).select("doc", "wrapper", "entity")
+def hinted_pages(spark, sf):
+    """The pages that the hint of a category asks for."""
+    return K.hinted(_docs(spark, sf), "glossary").select("doc_id")
 
 
 def predict_category(spark, sf):
@@ -153,29 +179,38 @@ def similar_names(spark, sf):
     return N.similar_pairs(a, _names(spark, sf).select(F.col("entity").alias("name"))).withColumn("similarity", F.round("similarity", 9))
 
 
-def legacy_translate(spark, sf):
+def _legacy(spark, sf) -> DataFrame:
     found = _found(spark, sf)
     n = load(spark, sf, "documents").count()
-    inside = F.col("entity").contains(" ")
-    return N.legacy_scores(found.withColumn("inside", inside), n, n).withColumn("score", F.round("score", 6))
+    return N.legacy_scores(found.withColumn("inside", F.col("entity").contains(" ")), n, n)
+
+
+def legacy_translate(spark, sf):
+    return _legacy(spark, sf).withColumn("score", F.round("score", 6))
+
+
+def collapse_parts(spark, sf):
+    """Scored entities without those that are a part of one with a greater score."""
+    rows = load(spark, sf, "entity_scores").where("entity IS NOT NULL AND edf IS NOT NULL").groupBy("entity").agg(F.max("edf").alias("score"))
+    return N.collapsed(rows.where("length(entity) <= 64"))
 
 
 def bilingual_expand(spark, sf):
-    """Rounds in turn over Spanish and Portuguese pages; seeds of a round are the other one's entities it also knows."""
-    out, seeds = None, None
-    docs = load(spark, sf, "documents")
-    for i, lang in enumerate(("es", "pt", "es", "pt")):
+    """Rounds in turn over Spanish and Portuguese pages, whose seeds are names that lists there begin with."""
+    docs, sides = load(spark, sf, "documents"), []
+    for k, lang in enumerate(("es", "pt")):
         own = docs.where(F.col("lang") == lang).select("doc_id", "text")
-        found = K.noisy_instances(own, [(PHRASES[1 + i % 2], True)], min_snippets=1)
-        if seeds is not None:
-            found = E.merge(found, N.cross_verify(seeds, found).select("entity", "weight"))
-        seeds = E.top(found, 50).select(F.col("entity").alias("source"), "entity", F.col("weight").alias("score"))
-        row = found.select(F.lit(i).alias("round"), F.lit(lang).alias("lang"), "entity", F.round("weight", 8).alias("weight"))
-        out = row if out is None else out.unionByName(row)
+        first = K.noisy_instances(own, [(PHRASES[1 + k], True)], min_snippets=1)
+        seeds = [r.entity for r in E.top(first, 12).collect()]
+        sides.append(B.Side(lang, X.SetExpander(own, X.Expansion(P.Settings(bracket=2), "ETF", noisy=True)), X.SeedSelector("FSS_SEMI_SUPERVISED", seeds, n_true=8, n_possible=2)))
+    same = lambda known, lang: known.select(F.col("entity").alias("source"), "entity", F.lit(1.0).alias("score"))
+    out = spark.createDataFrame([], "round int, lang string, seeds string, entity string, weight double")
+    for i, done in enumerate(B.alternate(*sides, rounds=4, translate=same)):
+        out = out.unionByName(done.entities.select(F.lit(i).alias("round"), F.lit(done.lang).alias("lang"), F.lit("|".join(done.seeds)).alias("seeds"), "entity", F.round("weight", 8).alias("weight")))
     return out
 
 
-QUERIES = {f.__name__: f for f in (excerpt_split, annotate, proximity_score, chop_excerpt, extract_chunks, split_list_text, hier_counts, instance_score, noisy_extract, hearst_queries, backoff_queries, noisy_expand, bootstrap, category_instances, category_save_wrappers, predict_category, translate_score, roundtrip_translate, cross_verify, similar_names, legacy_translate, bilingual_expand)}
+QUERIES = {f.__name__: f for f in (excerpt_split, annotate, proximity_score, chop_excerpt, extract_chunks, split_list_text, hier_counts, instance_score, noisy_extract, hearst_queries, backoff_queries, general_queries, noisy_expand, bootstrap, category_extract, category_backoff, hinted_pages, category_instances, category_save_wrappers, predict_category, translate_score, roundtrip_translate, cross_verify, similar_names, legacy_translate, collapse_parts, bilingual_expand)}
 
 _CUT = N.CUT
 _SEEN = f"{FACTS}, langs AS (SELECT doc_id AS doc, coalesce(lang, 'un') AS source FROM documents), seen AS (SELECT facts.*, source, 1.0 / tf AS dist FROM facts JOIN langs USING (doc))"
@@ -192,7 +227,22 @@ _RANK = f"""hits AS (SELECT * FROM ({_hits(PHRASES, 'source', 0)} UNION ALL {_hi
 _NEAR = "near AS (SELECT doc_id, excerpt, kind, least(a - max(CASE WHEN kind = 'source' THEN b END) OVER (PARTITION BY doc_id, excerpt ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), min(CASE WHEN kind = 'source' THEN a END) OVER (PARTITION BY doc_id, excerpt ORDER BY a ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - b) AS d FROM hits)"
 _CHOP = "chopped AS (SELECT doc_id, excerpt, text, regexp_extract(text, '(?i)such[ \\t\\n\\x0B\\f\\r_''-]+as') AS hit FROM excerpts), parts AS (SELECT doc_id, excerpt, substr(text, strpos(text, hit) + length(hit)) AS rest, substr(text, 1, strpos(text, hit) - 1) AS before FROM chopped WHERE hit <> '')"
 
+_HEARST = "UNION ALL ".join(f"SELECT {q(lang)} AS lang, replace(p, '<1>', source) AS phrase, starts_with(p, '<1>') OR starts_with(p, 'such') AS class_first, source AS category, '(' || {q(' OR '.join(K.LIST_WORDS[lang]))} || ' OR ' || source || ')' AS hint FROM mix_targets, (SELECT unnest([{', '.join(map(q, ps))}]) AS p) " for lang, ps in K.PHRASES.items())
+_WORD_CUTS = "|".join(f"(?i:{w})" for w in (x.replace(".", "\\.") for x in N.SPLIT_WORDS["en"]))
+_HINTS = " OR ".join(f"contains(lower(text), {q(w)})" for w in (*K.LIST_WORDS["en"], "glossary"))
+
 SQL = {
+    "hearst_queries": _HEARST,
+    "backoff_queries": r"""WITH s AS (SELECT ext_id, '"' || wrapper_id || '" ' || replace(content, '"', '') AS s FROM extractions),
+p AS (SELECT ext_id, s, array_to_string(regexp_extract_all(s, '"[^"]+"'), ' ') AS a, trim(regexp_replace(regexp_replace(s, '"[^"]*"', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS b FROM s) SELECT ext_id, CASE WHEN s IS NULL THEN '' WHEN a = '' THEN b WHEN b = '' THEN a ELSE a || ' ' || b END AS query FROM p""",
+    "general_queries": "SELECT source AS category, p AS phrase, f AS class_first FROM mix_targets, unnest([lower(source) || ' of all', lower(source), 'list']) AS u(p), unnest([true, false]) AS v(f)",
+    "hinted_pages": f"SELECT doc_id FROM documents WHERE {_HINTS}",
+    "split_list_text": f"""WITH {_EXCERPTS}, {_CHOP}, c AS (SELECT doc_id, excerpt, rest, list_filter(list_transform(string_split_regex(regexp_replace(' ' || rest || ' ', '([a-z]{{3}})\\.', '\\1' || chr(1), 'g'), {q(_WORD_CUTS + "|")} || chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS p FROM parts),
+d AS (SELECT doc_id, excerpt, CASE WHEN len(p) > 0 THEN p ELSE [trim(rest, ' ')] END AS p FROM c) SELECT doc_id, excerpt, CAST(k AS INTEGER) AS pos, p[k + 1] AS part FROM d, unnest(range(0, len(p))) AS u(k)""",
+    "collapse_parts": """WITH s AS (SELECT entity, max(edf) AS score FROM entity_scores WHERE entity IS NOT NULL AND edf IS NOT NULL AND length(entity) <= 64 GROUP BY entity)
+SELECT entity, score FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.entity <> s.entity AND contains(t.entity, s.entity) AND s.entity <> '' AND (t.score > s.score OR t.score = s.score AND t.entity < s.entity))""",
+    "predict_category": """WITH k AS (SELECT doc_id, coalesce(weight, 0) AS w, lower(site) AS t, lower(text) AS d, unnest(list_distinct(list_filter(list_transform(string_split_regex(lower(concat_ws(',', regexp_extract(url, '/([^/.]*)[^/]*$', 1), regexp_extract(url, '://[^/]+/([a-z]+)/', 1))), '[-:,|]'), lambda x: trim(x, ' ')), lambda x: x <> ''))) AS keyword FROM documents WHERE url IS NOT NULL),
+p AS (SELECT keyword, count(DISTINCT doc_id) AS n, sum(w) AS w, sum(coalesce(CAST(contains(t, keyword) AS INTEGER), 0) + coalesce(CAST(contains(d, keyword) AS INTEGER), 0)) AS hits FROM k GROUP BY keyword) SELECT keyword, round(w + n + hits, 6) AS score FROM p WHERE n * 2 >= (SELECT max(n) FROM p)""",
     "excerpt_split": f"WITH {_EXCERPTS} SELECT doc_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM excerpts GROUP BY doc_id",
     "annotate": f"WITH {_EXCERPTS}, {_RANK} SELECT doc_id, excerpt, kind, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS until FROM hits",
     "proximity_score": f"WITH {_EXCERPTS}, {_RANK}, {_NEAR} SELECT doc_id, excerpt, round(sum(1.0 / (d + 2)), 9) AS score FROM near WHERE kind = 'target' AND d IS NOT NULL GROUP BY ALL",

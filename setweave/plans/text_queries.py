@@ -84,6 +84,24 @@ def porter_stem(spark, sf):
     return words.withColumn("stem", T.stem("word")).groupBy("stem").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_words"))
 
 
+def name_tokens(spark, sf):
+    tokens = T.name_tokens(F.col("entity"))
+    return load(spark, sf, "entity_scores").where("entity IS NOT NULL").select("entity_id", "list_id", "scored_at", F.size(tokens).cast("bigint").alias("n_tokens"), F.array_join(tokens, "|").alias("tokens"))
+
+
+def stopword_file(spark, sf):
+    """Contents that are none of the scored names, which stand for a stop-word file here, nor part of two phrases."""
+    words = T.stopword_files(load(spark, sf, "entity_scores"), "entity")
+    return T.not_stopped(load(spark, sf, "extractions").select("ext_id", T.tidy(F.col("content")).alias("entity")), words, phrases=PHRASES).select("ext_id")
+
+
+def combined_language(spark, sf):
+    """Which contents of pages fetched in any language are contents of each language."""
+    names = load(spark, sf, "extractions").select("ext_id", T.tidy(F.col("content")).alias("name"))
+    hits = F.filter(F.array(*[F.when(F.coalesce(F.col("name").rlike(rf"^(?:{T.combined_language('un', x)[1]})\z"), F.lit(False)), F.lit(x)) for x in T.LANGUAGES]), lambda x: x.isNotNull())
+    return names.select("ext_id", F.explode(hits).alias("extract_lang"))
+
+
 def wrapper_escape(spark, sf):
     return load(spark, sf, "extractions").select("ext_id", T.escape_field(F.col("content")).alias("escaped"), T.unescape_field(T.escape_field(F.col("content"))).alias("back"))
 
@@ -103,7 +121,7 @@ def name_density(spark, sf):
     return rows.join(stats, "list_id").where("s > 0").select("list_id", "entity", F.round(T.gaussian(F.length("entity"), F.col("m"), F.col("s")), 9).alias("density"))
 
 
-QUERIES = {f.__name__: f for f in (tidy_content, content_filter, stopword_filter, lang_pattern, lang_detect, wrapper_level, strip_tags, escape_entities, unescape_entities, extract_between, string_helpers, levenshtein_sim, jaro_winkler, porter_stem, wrapper_escape, page_meta, hiragana_filter, name_density)}
+QUERIES = {f.__name__: f for f in (tidy_content, content_filter, stopword_filter, lang_pattern, lang_detect, wrapper_level, strip_tags, escape_entities, unescape_entities, extract_between, string_helpers, levenshtein_sim, jaro_winkler, porter_stem, name_tokens, stopword_file, combined_language, wrapper_escape, page_meta, hiragana_filter, name_density)}
 
 
 def q(s: str) -> str:
@@ -136,7 +154,21 @@ _RIGHT = {0: "TRUE", 1: "(contains(r, '<') OR contains(r, '>'))", 2: "starts_wit
 _ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;'), '''', '&#039;')"
 _FIELD = "replace(replace(replace(replace(replace(content, '%', '%%'), '\"', '%22'), chr(9), '%09'), chr(10), '%0a'), chr(13), '%0d')"
 
+def same_letters_sql(a: str, b: str) -> tuple[str, str]:
+    """Two strings with their characters replaced by ASCII ones, the same for the same, as DuckDB's distances count bytes."""
+    known = f"array_to_string(list_distinct(regexp_extract_all({a} || {b}, '(?s).')), '')"
+    return tuple(f"translate({x}, {known}, {q(''.join(chr(i) for i in range(33, 127)))})" for x in (a, b))
+
+
+_A, _B = same_letters_sql("a", "b")
+_HALVES = "h AS (SELECT ext_id, substr(content, 1, strpos(content, '::') - 1) AS a, substr(content, strpos(content, '::') + 2) AS b FROM extractions WHERE contains(content, '::'))"
+
 SQL = {
+    "levenshtein_sim": f"WITH {_HALVES} SELECT ext_id, round(CASE WHEN a = '' AND b = '' THEN 1.0 ELSE 1 - levenshtein({_A}, {_B}) / CAST(greatest(length(a), length(b)) AS DOUBLE) END, 9) AS similarity FROM h",
+    "jaro_winkler": f"WITH {_HALVES} SELECT ext_id, round(jaro_winkler_similarity({_A}, {_B}), 9) AS similarity FROM h",
+    "name_tokens": "SELECT entity_id, list_id, scored_at, len(string_split(entity, ' ')) AS n_tokens, array_to_string(string_split(entity, ' '), '|') AS tokens FROM entity_scores WHERE entity IS NOT NULL",
+    "stopword_file": f"SELECT ext_id FROM (SELECT ext_id, {tidy_sql('content')} AS entity FROM extractions) WHERE entity IS NOT NULL AND lower(trim(entity, ' ')) NOT IN (SELECT lower(trim(entity, ' ')) FROM entity_scores WHERE entity IS NOT NULL) AND NOT contains('north fort marsh', lower(trim(entity, ' '))) AND NOT contains('little king of old port', lower(trim(entity, ' ')))",
+    "combined_language": "SELECT ext_id, x.extract_lang FROM (SELECT ext_id, " + tidy_sql('content') + " AS name FROM extractions), (VALUES " + ", ".join(f"({q(x)})" for x in T.LANGUAGES) + ") AS x(extract_lang) WHERE CASE " + " ".join(f"WHEN extract_lang = {q(x)} THEN {language_sql('name', x)}" for x in T.LANGUAGES) + " END",
     "tidy_content": f"SELECT ext_id, {tidy_sql('content')} AS name, {tidy_sql('content', True)} AS original FROM extractions",
     "content_filter": f"WITH n AS (SELECT ext_id, {tidy_sql('content')} AS name FROM extractions) SELECT ext_id, {plausible_sql('name')} AS ok FROM n",
     "stopword_filter": f"WITH w AS (SELECT unnest(string_split(text, ' ')) AS word FROM documents) SELECT word, count(*) AS n FROM w WHERE {stopped_sql('word', PHRASES)} GROUP BY word",

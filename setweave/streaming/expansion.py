@@ -24,9 +24,16 @@ def batch_weights(pages: DataFrame, seeds: Sequence[X.Seed], settings: P.Setting
     return per.groupBy("entity").agg(F.sum("tf").cast("double").alias("etf"), F.count_distinct("doc").cast("double").alias("edf"), F.count(F.lit(1)).cast("double").alias("ewf"), F.sum("w").alias("wlw"))
 
 
-def expand_stream(pages: DataFrame, seeds: Sequence[X.Seed], store: str, checkpoint: str, settings: P.Settings = P.Settings(bracket=2), id_col: str = "doc_id", text_col: str = "text", **trigger) -> StreamingQuery:
+def once(pages: DataFrame, id_col: str = "doc_id", at: str = "fetched_at", late: str = "1 day") -> DataFrame:
+    """A stream of pages without those that come again under the same id while the watermark is within ``late`` of the
+    first one; what is later than the watermark is dropped. The state is an id for each page of that time."""
+    return pages.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark([id_col])
+
+
+def expand_stream(pages: DataFrame, seeds: Sequence[X.Seed], store: str, checkpoint: str, settings: P.Settings = P.Settings(bracket=2), id_col: str = "doc_id", text_col: str = "text", at: str | None = None, late: str = "1 day", **trigger) -> StreamingQuery:
     """Start expanding a stream of pages; ``store`` gets a partition of sums per batch. Give a trigger, such as
-    ``availableNow=True``. Pages that come twice are dropped by their id if the stream has a watermark."""
+    ``availableNow=True``. With ``at``, the column of a page's time, pages that come twice count once (``once``)."""
+    pages = pages if at is None else once(pages, id_col, at, late)
 
     def one(batch: DataFrame, number: int) -> None:
         batch_weights(batch, seeds, settings, id_col, text_col).write.mode("overwrite").parquet(f"{store}/batch={number}")
@@ -40,7 +47,10 @@ def running_weights(spark: SparkSession, store: str) -> DataFrame:
 
 
 def extraction_counts(contents: DataFrame, at: str = "seen_at", late: str = "2 hours", window: str = "1 day") -> DataFrame:
-    """``window_start, wrapper_id, n, tf`` of a stream of extracted contents: counts per wrapper and window of event time,
-    final once the watermark has passed."""
+    """``window_start, wrapper_id, n, tf`` of a stream of extracted contents: counts per wrapper and window of event time.
+
+    A window is final once the watermark, the greatest time seen less ``late``, has passed its end; then it comes out in
+    append mode, and contents of it that come later are dropped.
+    """
     contents = contents.withColumn(at, F.col(at).cast("timestamp"))
     return contents.withWatermark(at, late).groupBy(F.window(at, window), "wrapper_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("tf")).select(F.col("window.start").alias("window_start"), "wrapper_id", "n", "tf")
