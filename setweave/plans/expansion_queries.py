@@ -180,5 +180,6 @@ SELECT name, written, round(CAST(weight AS DOUBLE), 6) AS weight, CAST(rank AS I
     "expand_two_seed_sets": f"WITH {_FIRST_SEEDS}, w AS (SELECT name AS entity, CAST(count(DISTINCT doc_id) AS DOUBLE) AS weight FROM facts GROUP BY name){_SCORE.format(w='weight')}{_SHOWN}",
     "ranked_combos": f"""WITH {_SCORED}, r AS (SELECT entity, weight, row_number() OVER (ORDER BY weight DESC, length(entity), entity) AS k FROM scored), f AS (SELECT * FROM r WHERE k <= 16),
 c AS (SELECT a.entity || '|' || b.entity AS combination, ln(a.weight) + ln(b.weight) AS v, a.entity AS x, b.entity AS y FROM f a JOIN f b ON a.k < b.k) SELECT CAST(row_number() OVER (ORDER BY v DESC, x, y) - 1 AS INTEGER) AS pos, combination, round(v, 6) AS weight FROM c""",
+    "seed_policy_cis_supervised": f"WITH s(k, seed) AS (VALUES {', '.join(f'({i}, {q(x)})' for i, x in enumerate(SEEDS[:6]))}) SELECT CAST(a.k AS INTEGER) AS round, a.seed || '|' || b.seed AS seeds FROM s a JOIN s b ON b.k = a.k + 1",
     "combinations": "SELECT a.source AS item_1, b.source AS item_2, c.source AS item_3 FROM mix_targets a JOIN mix_targets b ON a.source < b.source JOIN mix_targets c ON b.source < c.source",
 }

@@ -15,7 +15,7 @@ from setweave.operators import proximity as N
 from setweave.operators import ranking as R
 from setweave.plans.expansion_queries import TWO, pages
 from setweave.plans.ranking_queries import FACTS
-from setweave.plans.text_queries import load, plausible_sql, q, stopped_sql, tidy_sql
+from setweave.plans.text_queries import load, plausible_sql, q, same_letters_sql, stopped_sql, tidy_sql
 
 # Phrases of the documents that introduce lists.
 PHRASES = ("such as", "tales como", "tais como", "tels que")
@@ -231,7 +231,39 @@ _HEARST = "UNION ALL ".join(f"SELECT {q(lang)} AS lang, replace(p, '<1>', source
 _WORD_CUTS = "|".join(f"(?i:{w})" for w in (x.replace(".", "\\.") for x in N.SPLIT_WORDS["en"]))
 _HINTS = " OR ".join(f"contains(lower(text), {q(w)})" for w in (*K.LIST_WORDS["en"], "glossary"))
 
+def _near_sql(a: str, b: str) -> str:
+    """The edit similarity of two columns."""
+    x, y = same_letters_sql(a, b)
+    return f"1 - (CASE WHEN strlen({a}) = length({a}) AND strlen({b}) = length({b}) THEN levenshtein({a}, {b}) ELSE levenshtein({x}, {y}) END) / CAST(greatest(length({a}), length({b})) AS DOUBLE)"
+
+
+_BETWEEN = chr(91) + " " + r"\t\n\x0B\f\r_'-]+"
+_PHRASE_HITS = " UNION ALL ".join(f"SELECT {q(p)} AS source, doc_id, excerpt, text, regexp_extract(text, {q('(?i)' + p.replace(' ', _BETWEEN))}) AS h FROM excerpts" for p in PHRASES)
+_PARTS = f"list_filter(list_transform(string_split_regex(regexp_replace(' ' || run || ' ', '([a-z]{{3}})\\.', '\\1' || chr(1), 'g'), {q(_WORD_CUTS + '|')} || chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '')"
+_FOUND = f"""{_EXCERPTS}, hit AS ({_PHRASE_HITS}),
+rests AS (SELECT source, doc_id, excerpt, substr(text, strpos(text, h) + length(h)) AS rest FROM hit WHERE h <> ''),
+runs AS (SELECT source, doc_id, excerpt, rest, unnest(regexp_extract_all(rest, {q(T.language_pattern('en'))})) AS run FROM rests),
+split AS (SELECT source, doc_id, excerpt, rest, unnest(CASE WHEN len({_PARTS}) > 0 THEN {_PARTS} ELSE [trim(run, ' ')] END) AS part FROM runs),
+named AS (SELECT source, doc_id, excerpt, rest, {tidy_sql("regexp_replace(trim(part, ' '), '(?i)^(?:the |a )', '')")} AS entity FROM split),
+found AS (SELECT source, doc_id, excerpt, entity, 1.0 / (greatest(strpos(lower(rest), entity) - 1, 0) + 2) AS dist FROM named WHERE {plausible_sql('entity')} AND NOT {stopped_sql('entity')} AND NOT regexp_matches(entity, '^[0-9]'))"""
+_TRANSLATION = """x{k} AS (SELECT *, sum(weight) OVER (PARTITION BY source) AS in_source, count(*) OVER (PARTITION BY source) AS targets, sum(weight) OVER (PARTITION BY entity) AS in_all FROM w{k}),
+t{k} AS (SELECT sum(weight) AS everything, count(DISTINCT entity) AS entities FROM w{k}),
+s{k} AS (SELECT source, entity, 0.1 * (weight + 1) / (in_source + targets) + 0.9 * (1 - (in_all - weight + 1) / (everything - in_source + entities)) AS score FROM x{k}, t{k}),
+top{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, entity) AS k FROM s{k}) WHERE k <= 3)"""
+_NAMES = f"{FACTS}, names AS (SELECT {tidy_sql('content')} AS name, CAST(sum(tf) AS DOUBLE) AS weight FROM extractions WHERE {tidy_sql('content')} <> '' AND length({tidy_sql('content')}) <= 48 GROUP BY 1 HAVING sum(tf) IS NOT NULL)"
+_CLOSE = f"close AS (SELECT e.entity, n.name, n.weight, {_near_sql('entity', 'name')} AS similarity FROM e JOIN names n ON least(length(entity), length(name)) >= 0.8 * greatest(length(entity), length(name)) - 1e-9)"
+
 SQL = {
+    "noisy_extract": f"""WITH {_FOUND}, c AS (SELECT entity, count(DISTINCT source) AS k, count(DISTINCT doc_id) AS s, count(DISTINCT (doc_id, excerpt)) AS e, sum(dist) AS d FROM found GROUP BY entity HAVING count(DISTINCT doc_id) >= 2),
+t AS (SELECT count(DISTINCT source) AS tk, count(DISTINCT doc_id) AS ts, count(DISTINCT (doc_id, excerpt)) AS te, count(*) AS tc FROM found) SELECT entity, round((k / CAST(tk AS DOUBLE) + s / CAST(ts AS DOUBLE) + e / CAST(te AS DOUBLE) + d / tc) / 4, 9) AS weight FROM c, t""",
+    "legacy_translate": f"""WITH {_FOUND}, c AS (SELECT entity, count(*) AS cf, count(DISTINCT doc_id) AS csf, count(DISTINCT (doc_id, excerpt)) AS cef, sum(dist) AS d, count(*) FILTER (contains(entity, ' ')) AS sf FROM found GROUP BY entity), n AS (SELECT count(*) AS n FROM documents),
+t AS (SELECT sum(ln(cf)) AS tc, coalesce(sum(CASE WHEN sf > 0 THEN ln(sf) END), 0) AS ts, sum(d) AS td FROM c) SELECT entity, round(ln((cf + 1) / (tc + 1)) + ln((csf + 1) / (n + 1.0)) + ln(1 / (n + 1.0)) + ln((cef + 1) / (n + 1.0)) + ln(d / td) - ln((sf + 1) / (ts + 1)), 6) AS score FROM c, t, n""",
+    "roundtrip_translate": f"""WITH {_FOUND}, w1 AS (SELECT source, entity, sum(dist) AS weight FROM found GROUP BY ALL), w2 AS (SELECT entity AS source, source AS entity, weight FROM w1), {_TRANSLATION.format(k=1)}, {_TRANSLATION.format(k=2)},
+trips AS (SELECT a.source, a.entity AS target, a.score AS w1, b.score AS w2, b.entity AS back FROM top1 a JOIN top2 b ON b.source = a.entity), near AS (SELECT *, {_near_sql('back', 'source')} AS s FROM trips)
+SELECT source, target, round(weight, 9) AS weight FROM (SELECT *, w1 * w2 * s AS weight, row_number() OVER (PARTITION BY source ORDER BY w1 * w2 * s DESC, target DESC) AS k FROM near WHERE s >= 0.8) WHERE k = 1""",
+    "similar_names": f"WITH {_NAMES}, e AS (SELECT DISTINCT entity FROM entity_scores WHERE entity IS NOT NULL AND entity <> ''), {_CLOSE} SELECT entity AS name_a, name AS name_b, round(similarity, 9) AS similarity FROM close WHERE similarity >= 0.8 - 1e-12",
+    "cross_verify": f"""WITH {_NAMES}, e AS (SELECT entity, CAST(max(edf) AS DOUBLE) AS score FROM entity_scores WHERE entity IS NOT NULL AND entity <> '' GROUP BY entity HAVING max(edf) IS NOT NULL), {_CLOSE},
+r AS (SELECT entity, name, score * weight * similarity AS w FROM close JOIN e USING (entity) WHERE similarity >= 0.8 - 1e-12) SELECT entity AS source, name AS entity, round(w, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY w DESC, name DESC) AS k FROM r) WHERE k = 1""",
     "hearst_queries": _HEARST,
     "backoff_queries": r"""WITH s AS (SELECT ext_id, '"' || wrapper_id || '" ' || replace(content, '"', '') AS s FROM extractions),
 p AS (SELECT ext_id, s, array_to_string(regexp_extract_all(s, '"[^"]+"'), ' ') AS a, trim(regexp_replace(regexp_replace(s, '"[^"]*"', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS b FROM s) SELECT ext_id, CASE WHEN s IS NULL THEN '' WHEN a = '' THEN b WHEN b = '' THEN a ELSE a || ' ' || b END AS query FROM p""",

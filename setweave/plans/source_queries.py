@@ -244,7 +244,14 @@ _TITLE = "trim(regexp_replace(regexp_replace(title, ' +', ' ', 'g'), '\\.\\.\\.$
 _TITLE = "regexp_replace(trim(regexp_replace(title, ' +', ' ', 'g'), ' '), '\\.\\.\\.$', '')"
 _LINES = "string_split(replace(payload, chr(13) || chr(10), chr(10)), chr(10))"
 
+def _field(c: str) -> str:
+    return f"replace(replace(replace(replace(replace({c}, '%', '%%'), '\"', '%22'), chr(9), '%09'), chr(10), '%0a'), chr(13), '%0d')"
+
+
 SQL = {
+    "cache_bins": "SELECT CAST(CAST('0x' || substr(md5(url), 1, 15) AS BIGINT) % 16 AS VARCHAR) AS bin, count(*) AS n FROM documents WHERE url IS NOT NULL GROUP BY 1",
+    "saved_wrapper_lines": f"""WITH {_FACTS} SELECT doc_id, CAST(doc_id AS VARCHAR) || chr(9) || {_field("lft || '[...]' || rgt")} AS line FROM (SELECT DISTINCT doc_id, lft, rgt FROM facts)
+UNION ALL SELECT doc_id, {_field('lft')} || chr(9) || {_field('name')} || chr(9) || {_field('rgt')} FROM facts""",
     "scan_pages": "SELECT CAST(doc_id % 16 AS INTEGER) AS bin, CAST(sum(length(text) + 1) AS INTEGER) AS n_chars FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "index_saved_wrappers": f"WITH {_FILES} SELECT file_id, CAST(line_no AS INTEGER) AS line_no, string_split(line, chr(9))[2] AS content FROM lines WHERE line_no > 1 AND contains(line, chr(9))",
     "batch_document": r"""WITH l AS (SELECT item_id, unnest(['<query>', '<number>' || item_id || '</number>', '<text>#1(' || trim(regexp_replace(regexp_replace(text, '[^\p{L}\p{N} \t\n\x0B\f\r]', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') || ')</text>', '</query>']) AS line, unnest(range(0, 4)) AS k FROM eval_items)

@@ -149,8 +149,8 @@ HEADER = "<!-- Downloaded from: "
 
 
 def cache_path(url: Column, bins: int = 1024) -> Column:
-    """Where a page is kept: its bin, then bin and hash."""
-    h = F.abs(F.xxhash64(url))
+    """Where a page is kept: its bin, then bin and hash (the first 60 bits of the URL's MD5)."""
+    h = F.conv(F.substring(F.md5(url), 1, 15), 16, 10).cast("bigint")
     b = F.pmod(h, F.lit(bins))
     return F.concat_ws("/", b.cast("string"), F.concat_ws(".", b.cast("string"), F.hex(h), F.lit("html")))
 
