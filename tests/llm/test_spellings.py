@@ -40,3 +40,12 @@ def test_ignored_characters_are_those_of_the_definition(spark):
     df = spark.createDataFrame([(c,) for c in points], "c string").selectExpr("c", f"regexp_replace(c, r'{S.IGNORED}', '') = '' AS gone")
     odd = [r.c for r in df.collect() if r.gone != (r.c.isspace() and not "\x1c" <= r.c <= "\x1f" or unicodedata.category(r.c)[0] == "P" or r.c in string.punctuation)]
     assert not re.sub(r"[\x1c-\x1f]", "", "".join(odd))
+
+
+def test_folded_characters(spark):
+    rows = [(1, "Straße"), (2, "STRASSE"), (3, "ﬁx"), (4, "FIX"), (5, "ＡＢ"), (6, "a b"), (7, "café"), (8, "cafe\u0301"), (9, None), (10, "ΣΊΣΥΦΟΣ"), (11, "σίσυφος")]
+    df = spark.createDataFrame(rows, "ext_id bigint, content string")
+    pairs = lambda fold: sorted((r.keep_id, r.dup_id) for r in S.redundant(df, fold=fold).collect())
+    assert pairs(True) == [(1, 2), (3, 4), (5, 6), (7, 8), (10, 11)]
+    assert pairs(False) == [(10, 11)] or pairs(False) == []
+    assert sorted(r.n_copies for r in S.collapse(df, fold=True).collect()) == [2] * 5
