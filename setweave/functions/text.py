@@ -22,7 +22,7 @@ PUNCT = rf"[!-/:-@\[-`{{-~{SPACE}、。·・]"
 MIN_LENGTH, MAX_LENGTH = 2, 48
 #: Characters that a seed may have or lack.
 OPTIONAL = ".-·・"
-# English function words that are no entities; a longer list is a parameter.
+#: English function words that are no entities; a longer list is a parameter.
 STOPWORDS = ("a about above after again all also although always among an and another any are as at be because been before being between both but by can could did do does each either else etc even ever every few for from further had has have he her here him his how however if in instead into is it its itself just last least less like many may me might more most much must my near neither never next no none nor not nothing now of off often on once one only onto or other others our out over own per perhaps rather same several she should since so some such than that the their them then there these they this those though through thus to together too toward under until up upon us very was we well were what when where whether which while who whose why will with within without would yes yet you your").split()
 
 

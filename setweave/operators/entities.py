@@ -19,7 +19,9 @@ KEEP_ABOVE, KEEP = 10_000, 5_000
 
 
 def _whole(df: DataFrame, **aggregates: Column) -> DataFrame:
-    """``df`` with aggregates over all its rows, which are worked out in partial sums and joined as one row."""
+    """``df`` with aggregates over all its rows, which are worked out in partial sums and joined as one row. The list is
+    written once before, as it is read twice."""
+    df = stash(df, "list")
     return df.crossJoin(F.broadcast(df.agg(*[c.alias(k) for k, c in aggregates.items()])))
 
 
@@ -160,8 +162,8 @@ def score_by_length(df: DataFrame) -> DataFrame:
 
 
 def scored(df: DataFrame, seeds: Column | None = None) -> DataFrame:
-    """``assign_score`` and ``score_by_length`` at once: the list is written once, and one aggregation serves both."""
-    df, n = stash(df, "weights"), F.length("entity").cast("double")
+    """``assign_score`` and ``score_by_length`` at once: one aggregation serves both."""
+    n = F.length("entity").cast("double")
     whole = _whole(df, _min=F.min("weight") - TINY, _max=F.max("weight"), _avg=F.avg(n), _sigma=F.stddev_pop(n))
     score = _for_length(_spread(F.col("weight"), F.col("_min"), F.col("_max"), seeds), n, F.col("_avg"), F.col("_sigma"))
     return whole.withColumn("score", score).drop("_min", "_max", "_avg", "_sigma")

@@ -248,13 +248,14 @@ def legacy_scores(found: DataFrame, n_snippets: int, n_excerpts: int) -> DataFra
 def collapsed(scores: DataFrame) -> DataFrame:
     """``entity, score`` without names that are a part of a name before them in the order of scores (then of names).
 
-    As a part of a part is a part, it doesn't matter whether the longer name stays itself. Every name gives its parts, of
-    which only the first owner is kept, so names meet by an equi-join.
+    As a part of a part is a part, it doesn't matter whether the longer name stays itself. Every name gives its parts of
+    the lengths that names have, of which only the first owner is kept, so names meet by an equi-join.
     """
     rank = F.struct((-F.col("score")).alias("s"), F.col("entity").alias("e"))
     n = F.length("entity")
-    ends = lambda i: F.sequence(i, n)
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(ends(i), lambda j: F.substring("entity", i, j - i + 1))))
-    owners = scores.where("entity <> ''").select(F.explode(F.filter(F.array_distinct(parts), lambda p: p != F.col("entity"))).alias("part"), rank.alias("r")).groupBy("part").agg(F.min("r").alias("r"))
+    lengths = scores.where("entity <> ''").agg(F.collect_set(n).alias("_lengths"))
+    shorter = F.filter("_lengths", lambda k: k < n)
+    parts = F.flatten(F.transform(shorter, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring("entity", i, k))))
+    owners = scores.crossJoin(F.broadcast(lengths)).select(F.explode(F.array_distinct(parts)).alias("part"), rank.alias("r")).groupBy("part").agg(F.min("r").alias("r"))
     joined = scores.join(owners, scores["entity"] == owners["part"], "left")
     return joined.where(F.col("r").isNull() | (F.col("r") >= rank)).select("entity", "score")

@@ -10,7 +10,7 @@ from setweave.operators import expansion as X
 from setweave.operators import patterns as P
 from setweave.plans.text_queries import language_sql, load, plausible_sql, q, stopped_sql, tidy_sql
 
-# Entities that lists of the pages name.
+#: Entities that lists of the pages name.
 SEEDS = (
     "セズ", "ブズヤホ", "モグテイ", "Kairuklartbitream", "Kolooglaindvuwai", "Preavotweaquuyai", "Stabocogleand", "Tealedimkleaskea", "Bostecakain", "Quiliquilaitu", "Praiwuskaimroopart", "Yayeawidreamert", "Cairocksto", "Crilimiteadai",
     "Lästuchkraukaudrul", "Schöschiengpauze", "Druskistimoodu", "Trinlipuvick", "Cremproskooquan", "Giteamotike", "Skorglubrer", "Druboobrahot", "Teamuhumhifea", "Meaprukolprearu", "Deanaickboprim", "Praiquadri", "Lunamo", "Naistustootril",

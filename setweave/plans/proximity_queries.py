@@ -17,7 +17,7 @@ from setweave.plans.expansion_queries import TWO, pages
 from setweave.plans.ranking_queries import FACTS
 from setweave.plans.text_queries import load, plausible_sql, q, same_letters_sql, stopped_sql, tidy_sql
 
-# Phrases of the documents that introduce lists.
+#: Phrases of the documents that introduce lists.
 PHRASES = ("such as", "tales como", "tais como", "tels que")
 WORDS = ("under", "entre", "sobre", "dans")
 WAY = X.Expansion(P.Settings(bracket=2), "ETF")
@@ -192,7 +192,7 @@ def legacy_translate(spark, sf):
 def collapse_parts(spark, sf):
     """Scored entities without those that are a part of one with a greater score."""
     rows = load(spark, sf, "entity_scores").where("entity IS NOT NULL AND edf IS NOT NULL").groupBy("entity").agg(F.max("edf").alias("score"))
-    return N.collapsed(rows.where("length(entity) <= 64"))
+    return N.collapsed(rows)
 
 
 def bilingual_expand(spark, sf):
@@ -271,7 +271,7 @@ p AS (SELECT ext_id, s, array_to_string(regexp_extract_all(s, '"[^"]+"'), ' ') A
     "hinted_pages": f"SELECT doc_id FROM documents WHERE {_HINTS}",
     "split_list_text": f"""WITH {_EXCERPTS}, {_CHOP}, c AS (SELECT doc_id, excerpt, rest, list_filter(list_transform(string_split_regex(regexp_replace(' ' || rest || ' ', '([a-z]{{3}})\\.', '\\1' || chr(1), 'g'), {q(_WORD_CUTS + "|")} || chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS p FROM parts),
 d AS (SELECT doc_id, excerpt, CASE WHEN len(p) > 0 THEN p ELSE [trim(rest, ' ')] END AS p FROM c) SELECT doc_id, excerpt, CAST(k AS INTEGER) AS pos, p[k + 1] AS part FROM d, unnest(range(0, len(p))) AS u(k)""",
-    "collapse_parts": """WITH s AS (SELECT entity, max(edf) AS score FROM entity_scores WHERE entity IS NOT NULL AND edf IS NOT NULL AND length(entity) <= 64 GROUP BY entity)
+    "collapse_parts": """WITH s AS (SELECT entity, max(edf) AS score FROM entity_scores WHERE entity IS NOT NULL AND edf IS NOT NULL GROUP BY entity)
 SELECT entity, score FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.entity <> s.entity AND contains(t.entity, s.entity) AND s.entity <> '' AND (t.score > s.score OR t.score = s.score AND t.entity < s.entity))""",
     "predict_category": """WITH k AS (SELECT doc_id, coalesce(weight, 0) AS w, lower(site) AS t, lower(text) AS d, unnest(list_distinct(list_filter(list_transform(string_split_regex(lower(concat_ws(',', regexp_extract(url, '/([^/.]*)[^/]*$', 1), regexp_extract(url, '://[^/]+/([a-z]+)/', 1))), '[-:,|]'), lambda x: trim(x, ' ')), lambda x: x <> ''))) AS keyword FROM documents WHERE url IS NOT NULL),
 p AS (SELECT keyword, count(DISTINCT doc_id) AS n, sum(w) AS w, sum(coalesce(CAST(contains(t, keyword) AS INTEGER), 0) + coalesce(CAST(contains(d, keyword) AS INTEGER), 0)) AS hits FROM k GROUP BY keyword) SELECT keyword, round(w + n + hits, 6) AS score FROM p WHERE n * 2 >= (SELECT max(n) FROM p)""",

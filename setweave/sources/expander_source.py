@@ -6,16 +6,20 @@ Another engine is added by an entry in ``sources.results`` (formats) or by subcl
 from __future__ import annotations
 
 import json
-import os
 import re
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from setweave.sources.results import JSON_FORMATS
 
 
+def _system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
 class _Files(InputPartition):
     def __init__(self, paths: list[str]):
         super().__init__(paths)
@@ -23,7 +27,8 @@ class _Files(InputPartition):
 
 
 class SearchResults(DataSource):
-    """Options: ``path`` (a folder of saved pages), ``kind`` (a JSON format), ``split`` (files to a task)."""
+    """Options: ``path`` (a folder of saved pages, or its URI on a file system that all machines reach), ``kind`` (a JSON
+    format), ``split`` (files to a task)."""
 
     @classmethod
     def name(cls) -> str:
@@ -57,11 +62,13 @@ class _Reader(DataSourceReader):
         self.path, self.kind, self.split = options["path"], options.get("kind", "items"), int(options.get("split", 100))
 
     def partitions(self) -> list[_Files]:
-        paths = sorted(e.path for e in os.scandir(self.path) if e.is_file())
+        system, root = _system(self.path)
+        paths = sorted(e.path for e in system.get_file_info(fs.FileSelector(root)) if e.is_file)
         return [_Files(paths[i : i + self.split]) for i in range(0, len(paths), self.split)] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
+        system, _ = _system(self.path)
         for path in partition.paths:
-            with open(path, encoding="utf-8", errors="replace") as f:
-                for row in SearchResults.parse(self.kind, f.read()):
-                    yield (os.path.basename(path), *row)
+            with system.open_input_stream(path) as f:
+                for row in SearchResults.parse(self.kind, f.read().decode("utf-8", "replace")):
+                    yield (path.rpartition("/")[2], *row)
