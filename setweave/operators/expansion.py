@@ -146,8 +146,9 @@ class SeedSelector:
         return picked
 
 
-def iterate(pages: DataFrame, selector: SeedSelector, rounds: int, how: Expansion = Expansion(), id_col: str = "doc_id", text_col: str = "text", each: Callable[[int, tuple, DataFrame], None] | None = None) -> DataFrame:
-    """Expansion in rounds: seeds are selected, expanded, and what was found feeds the next selection.
+def iterate(pages: DataFrame, selector: SeedSelector, rounds: int, how: Expansion = Expansion(), id_col: str = "doc_id", text_col: str = "text", each: Callable[[int, tuple, DataFrame], None] | None = None, reuse: bool = False) -> DataFrame:
+    """Expansion in rounds: seeds are selected, expanded, and what was found feeds the next selection. With ``reuse`` the
+    later rounds look at the pages only that the first one found patterns on.
 
     Facts of all rounds are kept (once each), so weights accumulate over the rounds as over pages. Between rounds only
     the first entities of the list come to the driver. Ends early if no seeds are left.
@@ -160,6 +161,8 @@ def iterate(pages: DataFrame, selector: SeedSelector, rounds: int, how: Expansio
         chosen += [s for s in seeds if s not in chosen]
         new = facts_of(P.induce(pages, list(seeds), how.settings, id_col, text_col), id_col)
         facts = stash(new if facts is None else facts.unionByName(new).distinct(), "facts")
+        if reuse and i == 0:
+            pages = stash(pages.join(facts.select(F.col("doc").alias(id_col)).distinct(), id_col, "left_semi"), "pages")
         weights = R.rank(facts, [name_of(s) for s in chosen], how.feature)
         result = stash(score(weights, chosen, how.noisy), "round")
         ranked = [(r.entity, r.weight) for r in E.top(result, MAX_COMBINATIONS, by="score").select("entity", "weight").collect()]

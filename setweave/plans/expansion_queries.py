@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,8 +57,11 @@ def uniseed_wrappers(spark, sf):
 
 
 def bracketing_modes(spark, sf):
-    out = [P.induce(pages(spark, sf), SEEDS, P.Settings(bracket=b)).groupBy("n_seeds").agg(F.count(F.lit(1)).alias("n_patterns")).select(F.lit(b).alias("bracket"), "n_seeds", "n_patterns") for b in (0, -1, 2)]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    """All seeds, the most, the heaviest (later seeds weigh less) and any two, over all pages."""
+    weights = {i: 1 / (i + 1) for i in range(len(SEEDS))}
+    modes = {0: P.Settings(bracket=0), -1: P.Settings(bracket=-1), -2: P.Settings(bracket=-2, weights=weights), 2: TWO}
+    out = [P.induce(pages(spark, sf), SEEDS, how).groupBy("n_seeds").agg(F.count(F.lit(1)).alias("n_patterns")).select(F.lit(b).alias("bracket"), "n_seeds", "n_patterns") for b, how in modes.items()]
+    return reduce(DataFrame.unionByName, out)
 
 
 def context_prefixes(spark, sf):
@@ -91,6 +96,12 @@ def expand_iterative(spark, sf):
     return _rounded(X.iterate(pages(spark, sf), chosen, 2, X.Expansion(TWO, "ETF")))
 
 
+def expand_iterative_reuse(spark, sf):
+    """The same with the pages of the first round only."""
+    chosen = X.SeedSelector("FSS_SEMI_SUPERVISED", SEEDS, n_true=10, n_possible=1)
+    return _rounded(X.iterate(pages(spark, sf), chosen, 2, X.Expansion(TWO, "ETF"), reuse=True))
+
+
 def _policy(name: str):
     def query(spark, sf):
         best = E.top(X.expand(pages(spark, sf), SEEDS, X.Expansion(TWO, "ETF", noisy=True)), 40, by="score")
@@ -120,7 +131,7 @@ def combinations(spark, sf):
     return X.combination_table(items, 3)
 
 
-QUERIES = {f.__name__: f for f in (seed_occurrences, wrapper_induction, wrapper_extract, wrapper_verify, wrapper_extract_binary, uniseed_wrappers, bracketing_modes, context_prefixes, list_quality, original_forms, expand_set, expand_two_seed_sets, expand_iterative, ranked_combos, paired_combos, combinations)} | {f"seed_policy_{p.lower()}": _policy(p) for p in X.POLICIES}
+QUERIES = {f.__name__: f for f in (seed_occurrences, wrapper_induction, wrapper_extract, wrapper_verify, wrapper_extract_binary, uniseed_wrappers, bracketing_modes, context_prefixes, list_quality, original_forms, expand_set, expand_two_seed_sets, expand_iterative, expand_iterative_reuse, ranked_combos, paired_combos, combinations)} | {f"seed_policy_{p.lower()}": _policy(p) for p in X.POLICIES}
 
 _SEED_ROWS = ", ".join(f"({q(s.lower())})" for s in SEEDS)
 OCCURRENCES = f"""

@@ -91,6 +91,19 @@ def sparse_matvec(spark, sf):
     return R.matvec(cells, cells.groupBy(F.col("col").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("value"))).withColumn("value", F.round("value", 3))
 
 
+def sparse_matmul(spark, sf):
+    """Sites by language times sources by site: how often a language's pages share a site with a source's."""
+    docs = load(spark, sf, "documents").where("site IS NOT NULL")
+    by = lambda a, b: docs.where(f"{a} IS NOT NULL AND {b} IS NOT NULL").groupBy(F.col(a).alias("row"), F.col(b).alias("col")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return R.matmul(by("lang", "site"), by("site", "source"))
+
+
+def rank_bsw_linear(spark, sf):
+    """Bayesian scores without logarithms, to six digits."""
+    plain = R.bayesian_sets(facts(spark, sf), _seeds(spark, sf), log=False)
+    return plain.select("entity", F.format_string("%.5e", "weight").alias("weight"))
+
+
 def sparse_binarize(spark, sf):
     return R.binarized(_cells(spark, sf))
 
@@ -106,7 +119,7 @@ def normalize_weights(spark, sf):
     return R.normalized(R.term_frequency(facts(spark, sf)), "weight").withColumn("weight", F.round("weight", 12))
 
 
-QUERIES = {f.__name__: f for f in (rank_etf, rank_edf, rank_ewf, rank_wlw, rank_bsw, rank_gww, rank_gww_converged, rank_prw, rank_prw_converged, build_graph, transition_matrix, sparse_matvec, sparse_binarize, euclid_distance, normalize_weights)}
+QUERIES = {f.__name__: f for f in (rank_etf, rank_edf, rank_ewf, rank_wlw, rank_bsw, rank_bsw_linear, rank_gww, rank_gww_converged, rank_prw, rank_prw_converged, build_graph, transition_matrix, sparse_matvec, sparse_matmul, sparse_binarize, euclid_distance, normalize_weights)}
 
 FACTS = f"""
 pages AS (SELECT doc_id AS doc, length(text) AS doc_len FROM documents),
@@ -142,23 +155,27 @@ s{k + 1} AS MATERIALIZED (SELECT id, value + 0.15 / (SELECT count(*) FROM v{k})
 
 _CELLS = "cells AS (SELECT row_key AS row, column_key AS col, max(cell_value) AS value FROM matrix_cells WHERE row_key IS NOT NULL AND column_key IS NOT NULL AND cell_value IS NOT NULL AND NOT isnan(cell_value) GROUP BY ALL)"
 
+_BAYES = f"""WITH {FACTS}, {_SEEDS},
+cells AS (SELECT DISTINCT entity, feature FROM (SELECT entity, 'd:' || doc AS feature FROM facts UNION ALL SELECT entity, 'w:' || wrapper FROM facts) WHERE feature IS NOT NULL),
+n AS (SELECT count(DISTINCT entity) AS entities, 5 AS n FROM cells),
+f AS (SELECT feature, count(*) AS m, count(*) FILTER (entity IN (SELECT entity FROM seeds)) AS k FROM cells GROUP BY feature),
+ab AS (SELECT *, 2.0 * m / entities + 1e-10 AS a, 2.0 * (1 - CAST(m AS DOUBLE) / entities) + 1e-10 AS b FROM f, n),
+s AS (SELECT feature, ln(a + k) - ln(a) - ln(b + n - k) + ln(b) AS has, ln(a + b) - ln(a + b + n) + ln(b + n - k) - ln(b) AS base FROM ab)"""
+
 SQL = {
     "rank_etf": f"WITH {FACTS} SELECT entity, CAST(sum(tf) AS DOUBLE) AS weight FROM facts GROUP BY entity",
     "rank_edf": f"WITH {FACTS} SELECT entity, CAST(count(DISTINCT doc) AS DOUBLE) AS weight FROM facts GROUP BY entity",
     "rank_ewf": f"WITH {FACTS} SELECT entity, CAST(count(DISTINCT (doc, wrapper)) AS DOUBLE) AS weight FROM facts WHERE doc IS NOT NULL AND wrapper IS NOT NULL GROUP BY entity",
     "rank_wlw": f"WITH {FACTS}, each AS (SELECT entity, doc, wrapper, max(ln(ctx_len) / ln(doc_len)) AS w FROM facts WHERE ctx_len > 0 AND doc_len > 1 GROUP BY ALL) SELECT entity, round(sum(w), 6) AS weight FROM each GROUP BY entity",
-    "rank_bsw": f"""WITH {FACTS}, {_SEEDS},
-cells AS (SELECT DISTINCT entity, feature FROM (SELECT entity, 'd:' || doc AS feature FROM facts UNION ALL SELECT entity, 'w:' || wrapper FROM facts) WHERE feature IS NOT NULL),
-n AS (SELECT count(DISTINCT entity) AS entities, 5 AS n FROM cells),
-f AS (SELECT feature, count(*) AS m, count(*) FILTER (entity IN (SELECT entity FROM seeds)) AS k FROM cells GROUP BY feature),
-ab AS (SELECT *, 2.0 * m / entities + 1e-10 AS a, 2.0 * (1 - CAST(m AS DOUBLE) / entities) + 1e-10 AS b FROM f, n),
-s AS (SELECT feature, ln(a + k) - ln(a) - ln(b + n - k) + ln(b) AS has, ln(a + b) - ln(a + b + n) + ln(b + n - k) - ln(b) AS base FROM ab)
-SELECT entity, round(sum(has) + (SELECT sum(base) FROM s), 5) AS weight FROM cells JOIN s USING (feature) GROUP BY entity""",
+    "rank_bsw": f"{_BAYES} SELECT entity, round(sum(has) + (SELECT sum(base) FROM s), 5) AS weight FROM cells JOIN s USING (feature) GROUP BY entity",
+    "rank_bsw_linear": f"{_BAYES} SELECT entity, format('{{:.5e}}', exp(sum(has) + (SELECT sum(base) FROM s))) AS weight FROM cells JOIN s USING (feature) GROUP BY entity",
     "rank_gww": _walk_sql(),
     "rank_prw": _page_rank_sql(),
     "build_graph": f"WITH {FACTS}, {_GRAPH} SELECT src, label, dst FROM edges",
     "transition_matrix": f"WITH {FACTS}, {_GRAPH} SELECT src, dst, round(p, 9) AS p FROM moves",
     "sparse_matvec": f"WITH {_CELLS}, widths AS (SELECT col, count(*) AS w FROM cells GROUP BY col) SELECT row AS id, round(sum(value * w), 3) AS value FROM cells JOIN widths USING (col) GROUP BY row",
+    "sparse_matmul": """WITH a AS (SELECT lang, site, count(*) AS v FROM documents WHERE lang IS NOT NULL AND site IS NOT NULL GROUP BY ALL), b AS (SELECT site, source, count(*) AS v FROM documents WHERE source IS NOT NULL AND site IS NOT NULL GROUP BY ALL)
+SELECT lang AS row, source AS col, CAST(sum(a.v * b.v) AS DOUBLE) AS value FROM a JOIN b USING (site) GROUP BY ALL""",
     "sparse_binarize": f"""WITH {_CELLS}, shares AS (SELECT *, value / sum(value) OVER (PARTITION BY row) AS share FROM cells), means AS (SELECT col, sum(share) / (SELECT count(DISTINCT row) FROM cells) AS mean FROM shares GROUP BY col)
 SELECT row, col FROM shares JOIN means USING (col) WHERE share > 2 * mean""",
     "euclid_distance": """WITH k AS (SELECT concat_ws('/', list_id, entity) AS id, max(wlw) FILTER (wlw IS NOT NULL AND NOT isnan(wlw) AND abs(wlw) < 1e300) AS x, max(cell_value) FILTER (cell_value IS NOT NULL AND NOT isnan(cell_value) AND abs(cell_value) < 1e300) AS y

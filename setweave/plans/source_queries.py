@@ -120,7 +120,10 @@ def parse_serp_json(spark, sf):
 def parse_serp_xml(spark, sf):
     row = F.concat(F.lit("<Result><Url>"), T.escape_entities(F.col("uri")), F.lit("</Url><Title>"), "title", F.lit("</Title><Summary>x</Summary><Cache><Url>c</Url></Cache></Result>"))
     page = F.concat(F.lit("<ResultSet>"), row, row, F.lit("</ResultSet>"))
-    return S.parse_xml(_results(spark, sf).where("title <> ''").select("record_id", page.alias("page")), "page", "resultset").select("record_id", "rank", "url", "cache_url")
+    boss = F.concat(F.lit("<ysearchresponse><resultset_web><result><url>"), T.escape_entities(F.col("uri")), F.lit("</url><title>"), "title", F.lit("</title><abstract>x</abstract></result></resultset_web></ysearchresponse>"))
+    rows = _results(spark, sf).where("title <> ''").select("record_id", page.alias("resultset"), boss.alias("boss"))
+    found = [S.parse_xml(rows.select("record_id", F.col(kind).alias("page")), "page", kind).select(F.lit(kind).alias("kind"), "record_id", "rank", "url", "cache_url") for kind in S.XML_FORMATS]
+    return found[0].unionByName(found[1])
 
 
 def parse_warc(spark, sf):
@@ -274,7 +277,7 @@ SELECT query, doc_id, score, rank FROM ranked WHERE rank <= 100""",
     "search_paging": "SELECT p_partkey, CAST(p AS INTEGER) AS page_no, CAST((p - 1) * 8 AS INTEGER) AS first, CAST(least(8, p_size - (p - 1) * 8) AS INTEGER) AS n_rows FROM part, unnest(range(1, CAST(ceil(p_size / 8.0) AS BIGINT) + 1)) AS u(p)",
     "parse_serp_html": f"WITH {_RESULTS} SELECT record_id, 1 AS rank, uri AS url, {_TITLE} AS title, 'A first part|and a second' AS excerpts, 'http://cache.test/1' AS cache_url FROM r WHERE title <> '' AND starts_with(uri, 'http://')",
     "parse_serp_json": f"WITH {_RESULTS}, k(kind) AS (VALUES ('ajax'), ('items'), ('web')) SELECT kind, record_id, rank, uri AS url, {_TITLE} AS title FROM r, k, (VALUES (1), (2)) AS n(rank) WHERE uri <> ''",
-    "parse_serp_xml": f"WITH {_RESULTS} SELECT record_id, rank, uri AS url, 'c' AS cache_url FROM r, (VALUES (1), (2)) AS n(rank) WHERE uri <> '' AND title <> ''",
+    "parse_serp_xml": f"WITH {_RESULTS} SELECT kind, record_id, rank, uri AS url, cache_url FROM r, (VALUES ('resultset', 1, 'c'), ('resultset', 2, 'c'), ('boss', 1, NULL)) AS n(kind, rank, cache_url) WHERE uri <> '' AND title <> ''",
     "parse_warc": """SELECT record_id, nullif(trim(regexp_replace(warc_target_uri, '^[ \\t]+', '')), '') AS uri, CAST(length(body) + 41 AS INTEGER) AS content_length, replace(body, chr(13) || chr(10), chr(10)) AS body,
 nullif(trim(regexp_replace(regexp_extract(body, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '') AS title FROM warc WHERE body IS NOT NULL""",
     "batch_result_lines": "SELECT query_idx, docid, rank FROM warc WHERE query_idx IS NOT NULL AND docid IS NOT NULL AND rank IS NOT NULL",

@@ -110,3 +110,13 @@ def test_seeds_that_share_their_longest_word(spark):
     want = list(P.patterns_of(page, known, settings, P.ContentFilter(settings, known.shortest)))
     got = P.induce(spark.createDataFrame([(1, page)], "doc_id bigint, text string"), seeds, settings).collect()
     assert want and {(r.left, r.right) for r in got} == {(p["left"], p["right"]) for p in want}
+
+
+def test_rounds_that_reuse_pages(spark):
+    from setweave.operators import expansion as X
+
+    page = lambda i, names: (i, "".join(f"<b{i}>{n}</b{i}>" for n in names))
+    rows = [page(1, ["seed1", "seed2", "found1", "found2", "x"]), page(2, ["y", "found1", "found2", "other1", "z"])]
+    pages = spark.createDataFrame(rows, "doc_id int, text string")
+    run = lambda reuse: {r.entity for r in X.iterate(pages, X.SeedSelector("FSS_UNSUPERVISED_V2", ["seed1", "seed2"], n_true=2), 2, X.Expansion(P.Settings(bracket=2), "ETF", noisy=True), reuse=reuse).collect()}
+    assert run(True) <= run(False) and "other1" not in run(True)

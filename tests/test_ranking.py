@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -23,6 +24,7 @@ def test_worked_example(spark):
     assert weights(R.pattern_length(facts))["sch"] == pytest.approx(0.896046, abs=1e-6)
     bayes = weights(R.bayesian_sets(facts, ["aulich", "für"]))
     assert bayes["sch"] == pytest.approx(0.190620, abs=1e-6) and bayes["enau"] == pytest.approx(-0.597837, abs=1e-6)
+    assert weights(R.bayesian_sets(facts, ["aulich", "für"], log=False))["sch"] == pytest.approx(math.exp(0.190620), abs=1e-6)
     edges = R.graph(facts)
     assert edges.count() == 36 and edges.select("src").distinct().count() == 9
     moves = R.transitions(edges).groupBy("src").agg(F.sum("p").alias("p")).collect()
@@ -46,6 +48,23 @@ def test_walks_by_hand(spark):
     assert set(weights(R.page_rank_weights(facts))) == {"a", "b"}
 
 
+def test_walk_totals(spark):
+    """Sums of all rounds follow from the seeds in the graph, also if some are outside."""
+    facts = spark.createDataFrame([(d, f"w{d % 2}", e, 1, 3, 9) for d in range(4) for e in "abcd"[d % 3 :]], FACTS)
+    edges = R.graph(facts)
+    for seeds in (["c:a"], ["c:a", "c:b", "c:nowhere"], ["c:nowhere"]):
+        moves = {(r.src, r.dst): r.p for r in R.transitions(edges).collect()}
+        state = dict.fromkeys(seeds, 1.0)
+        for _ in range(7):
+            total, new = sum(state.values()), dict.fromkeys(seeds, 0.01 / len(seeds))
+            for (s, d), p in moves.items():
+                if s in state:
+                    new[d] = new.get(d, 0) + 0.99 * p * state[s] / total
+            state = new
+        got = {r.id: r.value for r in R.random_walk(edges, seeds, rounds=7, converged=None).collect()}
+        assert got.keys() == state.keys() and all(got[k] == pytest.approx(state[k]) for k in got)
+
+
 def test_sparse_algebra(spark):
     m = spark.createDataFrame([("0", "0", 0.86), ("0", "1", 0.08), ("1", "0", -0.12), ("1", "1", 1.14)], "row string, col string, value double")
     v = spark.createDataFrame([("0", 200.0), ("1", 100.0)], "id string, value double")
