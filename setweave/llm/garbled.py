@@ -372,9 +372,13 @@ def unpercent(uri: str) -> str:
 
 _REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);")
 
+#: An ampersand written as a reference once or many times over.
+_NESTED = re.compile(r"&(?:(?:amp|AMP|#0*38|#[xX]0*26);)+")
+
 
 def resolved(text: str) -> str:
     """``text`` with its character references resolved, also those that are written as references themselves."""
+    text = _NESTED.sub("&", text)
     while _REFERENCE.search(text) and (new := unescape(text)) != text:
         text = new
     return text
