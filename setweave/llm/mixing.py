@@ -122,7 +122,9 @@ def _budget(sources: list[Source], total: int | str) -> None:
         total = min(sum(s.tokens for s in able), min(s.most * weight / s.share for s in able))
     elif total == ALL:
         total = sum(s.tokens for s in able)
-    left, free = float(total), list(able)
+    left, free, shares = float(total), list(able), sum(s.share for s in able)
+    for s in able:
+        s.short = total * s.share / shares > s.most * (1 + 1e-9)
     while free:
         weight = sum(s.share for s in free)
         short = [s for s in free if left * s.share / weight >= s.most * (1 - 1e-12)]
@@ -130,8 +132,6 @@ def _budget(sources: list[Source], total: int | str) -> None:
             for s in free:
                 s.wanted = left * s.share / weight
             return
-        for s in short:
-            s.short = left * s.share / weight > s.most * (1 + 1e-9)
         for s in short:
             s.wanted, s.saturated = float(s.most), True
             left -= s.most

@@ -60,6 +60,13 @@ def test_all_tokens(spark):
     assert abs(sum(r.tokens for r in got.values()) - total) <= 2 * 41 and abs(got["big"].tokens / got["mid"].tokens - 2) < 0.1
 
 
+def test_what_others_lack_puts_nothing_out_of_reach(spark):
+    """A source that gives all it has, and its share, is in reach, though it can't fill up what another one lacks."""
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.3, 1), ("mid", 0.2, 9)], TARGETS)
+    got = {r.source: r for r in M.mix(docs(spark, {"big": 360, "small": 60, "mid": 260}), targets, M.ALL).shares.collect()}
+    assert [got[s].in_reach for s in ("big", "small", "mid")] == [True, False, True] and got["big"].reached_share >= 0.5
+
+
 def test_nearer_side(spark):
     """Of single tokens exactly as many are used as are wanted; of large documents the nearer number."""
     single = spark.createDataFrame([(i, "s", "a") for i in range(1000)], "doc_id bigint, source string, text string")
