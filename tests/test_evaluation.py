@@ -78,6 +78,28 @@ def test_similar_pairs_misses_none(spark):
         assert {(r.name_a, r.name_b) for r in N.similar_pairs(da, db, least).collect()} == want
 
 
+def test_similar_pairs_gathers_no_keys_in_the_driver(spark, tmp_path):
+    rng = random.Random(7)
+    bases = ["".join(rng.choice("abcé") for _ in range(n)) for n in range(4, 25) for _ in range(2)]
+
+    def changed(s):
+        for _ in range(rng.randrange(5)):
+            i, c = rng.randrange(len(s)), rng.choice(["", "a", "bé"])
+            s = s[:i] + c + s[i + rng.randrange(2) :]
+        return s or "a"
+
+    for side in "ab":
+        spark.createDataFrame([(changed(x),) for x in bases for _ in range(6)], "name string").distinct().write.parquet(f"{tmp_path}/{side}")
+    da, db = (spark.read.parquet(f"{tmp_path}/{side}") for side in "ab")
+    pairs = N.similar_pairs(da, db)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key" in plan and "BroadcastHashJoin" not in plan
+    every = da.select(F.col("name").alias("x")).crossJoin(db.select(F.col("name").alias("y")))
+    near = every.where(F.levenshtein("x", "y") <= 0.2 * F.greatest(F.length("x"), F.length("y")) + 1e-9)
+    want = {(r.x, r.y) for r in near.collect()}
+    assert len(want) > 300 and {(r.name_a, r.name_b) for r in pairs.collect()} == want
+
+
 def test_annotations_and_chunks(spark):
     texts = spark.createDataFrame([(1, 0, "Foo such as Bar near Baz, Bar"), (2, 0, "nothing"), (3, 0, None)], "doc_id int, excerpt int, text string")
     got = N.annotate(texts, ["such as"], ["bar", "+near baz"])
