@@ -100,6 +100,17 @@ def test_similar_pairs_gathers_no_keys_in_the_driver(spark, tmp_path):
     assert len(want) > 300 and {(r.name_a, r.name_b) for r in pairs.collect()} == want
 
 
+def test_cross_verify_gathers_no_keys_in_the_driver(spark, tmp_path):
+    scores = [("fort alpha", 3), ("fort alpha", 5), ("port beta", 2), ("gamma", None), ("", 9), (None, 9)]
+    names = [("Fort  Alpha", 1), ("fort_alpho", 1), ("fort alpho!", 3), ("Port Bet", 2), ("port betu", 2), ("gamma", 1), ("x" * 49, 1), ("", 1), (None, 1), ("port beta", None)]
+    spark.createDataFrame(scores, "entity string, edf bigint").write.parquet(f"{tmp_path}/entity_scores.parquet")
+    spark.createDataFrame(names, "content string, tf int").write.parquet(f"{tmp_path}/extractions.parquet")
+    best = Q.cross_verify(spark, str(tmp_path))
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key" in plan and "BroadcastHashJoin [key" not in plan and plan.count("struct<content:string") == 1
+    assert {r.source: (r.entity, r.weight) for r in best.collect()} == {"fort alpha": ("fort alpho", 18.0), "port beta": ("port betu", 3.555556)}
+
+
 def test_annotations_and_chunks(spark):
     texts = spark.createDataFrame([(1, 0, "Foo such as Bar near Baz, Bar"), (2, 0, "nothing"), (3, 0, None)], "doc_id int, excerpt int, text string")
     got = N.annotate(texts, ["such as"], ["bar", "+near baz"])
